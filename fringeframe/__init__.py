@@ -1 +1,8 @@
 """Hyperspectral table analytics on Spark: every operator maps DataFrames to DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions run inside tasks travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

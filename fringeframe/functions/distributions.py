@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -67,12 +68,12 @@ def t_quantile(p: float, df: float) -> float:
     return (lo + hi) / 2.0
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_critical_95(df: pd.Series) -> pd.Series:
     return df.map(lambda v: t_quantile(0.975, v) if pd.notna(v) and v > 0 else None).astype("float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [t_two_sided(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype="float64"

@@ -22,12 +22,14 @@ def running_total(
     name: str,
     weight: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    how: str = "sum",
 ) -> DataFrame:
-    """Add `name`: sum of `weight` (1 when None) over rows up to this one within the key.
+    """Add `name`: sum (or `how="max"`) of `weight` (1 when None) over rows up to this one within the key.
 
     `order` must be a strict ascending order whose first column never disagrees with
     `range_by`, a numeric expression of it.
     """
+    combine = F.max if how == "max" else F.sum
     plain_keys = keys or ["_all"]
     data = df if keys else df.withColumn("_all", F.lit(0))
     data = data.withColumn("_range_by", range_by.cast("double")).withColumn(
@@ -50,10 +52,10 @@ def running_total(
     below = (
         ranged.filter("_range >= 0")
         .groupBy(*plain_keys, "_range")
-        .agg(F.sum("_weight").alias("_sum"))
+        .agg(combine("_weight").alias("_sum"))
         .withColumn(
             "_below",
-            F.sum("_sum").over(
+            combine("_sum").over(
                 Window.partitionBy(*plain_keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
             ),
         )
@@ -63,12 +65,15 @@ def running_total(
     inside = (
         F.row_number().over(within).cast("bigint")
         if weight is None
-        else F.sum("_weight").over(within.rowsBetween(Window.unboundedPreceding, 0))
+        else combine("_weight").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    merged = (
+        F.greatest("_inside", "_below") if how == "max" else F.col("_inside") + F.coalesce("_below", F.lit(0))
     )
     out = (
         ranged.withColumn("_inside", inside)
         .join(below, [*plain_keys, "_range"], "left")
-        .withColumn(name, F.col("_inside") + F.coalesce("_below", F.lit(0)))
+        .withColumn(name, merged)
     )
     return out.select(*df.columns, name)
 
