@@ -106,9 +106,12 @@ def moving_average(a: Column, width: int = 7) -> Column:
     if width <= 1:
         return a
     half = width // 2
-    return F.transform(
+    return let(
         a,
-        lambda _v, i: sum((at_clamped(a, i + k) for k in range(-half, half + 1)), F.lit(0.0)) / F.lit(float(width)),
+        lambda s: F.transform(
+            s,
+            lambda _v, i: sum((at_clamped(s, i + k) for k in range(-half, half + 1)), F.lit(0.0)) / F.lit(float(width)),
+        ),
     )
 
 
