@@ -405,7 +405,8 @@ def boxes_to_pose(boxes: DataFrame) -> DataFrame:
         & (cx + w / 2 <= 1 + slack)
         & (cy + h / 2 <= 1 + slack)
     )
-    text = F.format_string("0 %.8f %.8f %.8f %.8f %.8f %.8f 2", cx, cy, w, h, cx, cy)
+    even = [F.bround(c, 8) for c in (cx, cy, w, h, cx, cy)]
+    text = F.format_string("0 %.8f %.8f %.8f %.8f %.8f %.8f 2", *even)
     return boxes.withColumn("accepted", accepted).withColumn("pose", F.when(accepted, text))
 
 
