@@ -87,9 +87,12 @@ def mutual_info(spectra: DataFrame, neighbours: int = 3, block: int = 4096) -> D
     )
     blocked = ranked.withColumn("_home", home).withColumn("_block", F.explode(copies))
     w = Window.partitionBy("band", "class_index", "_block").orderBy("r")
+    gap = lambda other: F.when(
+        other.isNotNull(), F.struct(F.abs(other - F.col("intensity")).alias("gap"), other.alias("value"))
+    )
     gaps = F.array_sort(
         F.filter(
-            F.array(*[F.abs(f("intensity", j).over(w) - F.col("intensity")) for f in (F.lag, F.lead) for j in range(1, k + 1)]),
+            F.array(*[gap(f("intensity", j).over(w)) for f in (F.lag, F.lead) for j in range(1, k + 1)]),
             lambda g: g.isNotNull(),
         )
     )
@@ -97,17 +100,20 @@ def mutual_info(spectra: DataFrame, neighbours: int = 3, block: int = 4096) -> D
     radii = (
         blocked.withColumn("_gaps", gaps)
         .filter(F.col("_block") == F.col("_home"))
-        .select("band", "sample_id", "class_index", "nc", "intensity", used.alias("k"), A.at(F.col("_gaps"), used - 1).alias("radius"))
+        .select("band", "sample_id", "class_index", "nc", "intensity", used.alias("k"), A.at(F.col("_gaps"), used - 1).alias("_far"))
+        .withColumn("radius", F.col("_far.gap"))
     )
     point = F.struct(F.col("intensity").alias("at"), F.lit(1).cast("bigint").alias("w"), F.lit(1).alias("tie"), F.lit(0).alias("sign"))
     # Points at distance below the radius; at radius 0 the equal points count.
+    # The neighbour that sets the radius lies on it: its own value is the bound, free of rounding.
+    x, far = F.col("intensity"), F.col("_far.value")
     zero = F.col("radius") == 0
     upper = F.struct(
-        (F.col("intensity") + F.col("radius")).alias("at"), F.lit(0).cast("bigint").alias("w"),
+        F.when(far > x, far).otherwise(x + F.col("radius")).alias("at"), F.lit(0).cast("bigint").alias("w"),
         F.when(zero, 2).otherwise(0).alias("tie"), F.lit(1).alias("sign"),
     )
     lower = F.struct(
-        (F.col("intensity") - F.col("radius")).alias("at"), F.lit(0).cast("bigint").alias("w"),
+        F.when(far < x, far).otherwise(x - F.col("radius")).alias("at"), F.lit(0).cast("bigint").alias("w"),
         F.when(zero, 0).otherwise(2).alias("tie"), F.lit(-1).alias("sign"),
     )
     marks = radii.select("band", "sample_id", "nc", "k", F.explode(F.array(point, upper, lower)).alias("p")).select(

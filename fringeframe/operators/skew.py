@@ -10,8 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringeframe.functions.arrays import let
+
 HOT_ROWS = 200_000
-RANGES = 64
+# Value ranges of a hot key: RANGE_STEP**2, found by a search in two steps.
+RANGE_STEP = 32
+RANGES = RANGE_STEP * RANGE_STEP
+
+
+def _range_of(cuts: Column, value: Column) -> Column:
+    """Number of cuts below the value."""
+    below = lambda a: F.size(F.filter(a, lambda c: c < value))
+    coarse = F.transform(F.sequence(F.lit(RANGE_STEP - 1), F.lit(RANGES - 2), F.lit(RANGE_STEP)), lambda i: cuts[i])
+    return let(
+        below(coarse) * RANGE_STEP, lambda start: start + below(F.slice(cuts, start + 1, F.lit(RANGE_STEP - 1)))
+    )
 
 
 def running_total(
@@ -30,38 +43,34 @@ def running_total(
     `range_by`, a numeric expression of it.
     """
     combine = F.max if how == "max" else F.sum
-    plain_keys = keys or ["_all"]
-    data = df if keys else df.withColumn("_all", F.lit(0))
-    data = data.withColumn("_range_by", range_by.cast("double")).withColumn(
+    data = df.withColumn("_range_by", range_by.cast("double")).withColumn(
         "_weight", F.lit(1).cast("bigint") if weight is None else weight
     )
-    hot = data.groupBy(*plain_keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
-    cuts = (
-        data.join(hot, plain_keys, "left_semi")
-        .groupBy(*plain_keys)
-        .agg(
-            F.percentile_approx("_range_by", [i / RANGES for i in range(1, RANGES)], 2000).alias("_cuts")
-        )
-    )
-    ranged = data.join(cuts, plain_keys, "left").withColumn(
+    sketch = F.percentile_approx("_range_by", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)
+    if keys:
+        hot = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+        cuts = data.join(hot, keys, "left_semi").groupBy(*keys).agg(sketch.alias("_cuts"))
+        cut = data.join(cuts, keys, "left")
+    else:
+        whole = data.agg(F.when(F.count(F.lit(1)) > hot_rows, sketch)).scalar()
+        cut = data.withColumn("_cuts", whole)
+    ranged = cut.withColumn(
         "_range",
-        F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(
-            F.size(F.filter("_cuts", lambda c: c < F.col("_range_by")))
-        ),
+        F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(_range_of(F.col("_cuts"), F.col("_range_by"))),
     )
     below = (
         ranged.filter("_range >= 0")
-        .groupBy(*plain_keys, "_range")
+        .groupBy(*keys, "_range")
         .agg(combine("_weight").alias("_sum"))
         .withColumn(
             "_below",
             combine("_sum").over(
-                Window.partitionBy(*plain_keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+                Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
             ),
         )
         .drop("_sum")
     )
-    within = Window.partitionBy(*plain_keys, "_range").orderBy(*order)
+    within = Window.partitionBy(*keys, "_range").orderBy(*order)
     inside = (
         F.row_number().over(within).cast("bigint")
         if weight is None
@@ -72,7 +81,7 @@ def running_total(
     )
     out = (
         ranged.withColumn("_inside", inside)
-        .join(below, [*plain_keys, "_range"], "left")
+        .join(below, [*keys, "_range"], "left")
         .withColumn(name, merged)
     )
     return out.select(*df.columns, name)
@@ -94,18 +103,16 @@ def group_percentiles(
     df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per key; NULLs are ignored, ties pre-counted."""
-    plain_keys = keys or ["_all"]
-    data = df if keys else df.withColumn("_all", F.lit(0))
     counted = (
-        data.filter(F.col(value).isNotNull())
-        .groupBy(*plain_keys, F.col(value).cast("double").alias("_v"))
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_w"))
     )
-    placed = running_total(
-        counted, plain_keys, [F.col("_v")], F.col("_v"), "_upto", F.col("_w"), hot_rows
-    )
-    sizes = counted.groupBy(*plain_keys).agg(F.sum("_w").alias("_n"))
-    joined = placed.join(sizes, plain_keys)
+    placed = running_total(counted, keys, [F.col("_v")], F.col("_v"), "_upto", F.col("_w"), hot_rows)
+    if keys:
+        joined = placed.join(counted.groupBy(*keys).agg(F.sum("_w").alias("_n")), keys)
+    else:
+        joined = placed.withColumn("_n", counted.agg(F.sum("_w")).scalar())
 
     def value_at(index: Column) -> Column:
         hit = (F.col("_upto") - F.col("_w") <= index) & (index < F.col("_upto"))
@@ -118,7 +125,7 @@ def group_percentiles(
             value_at(F.floor(position)).alias(f"_lo_{label}"),
             value_at(F.ceil(position)).alias(f"_hi_{label}"),
         ]
-    picked = joined.groupBy(*plain_keys, "_n").agg(*aggs)
+    picked = joined.groupBy(*keys, "_n").agg(*aggs)
     out = []
     for label, p in wanted.items():
         position = F.lit(float(p)) * (F.col("_n") - 1)

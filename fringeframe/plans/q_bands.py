@@ -42,10 +42,10 @@ PSI = "(list_sum(list_transform(range(1,{x}), lambda i: 1.0E0/i))-0.577215664901
 
 @query(
     "e2_mutual_info",
-    f"""WITH nn AS (SELECT a.band, a.sample_id, a.class_index, a.intensity AS x, abs(b.intensity-a.intensity) AS d, row_number() OVER (PARTITION BY a.band, a.sample_id ORDER BY abs(b.intensity-a.intensity)) AS k
+    f"""WITH nn AS (SELECT a.band, a.sample_id, a.class_index, a.intensity AS x, b.intensity AS nb, abs(b.intensity-a.intensity) AS d, row_number() OVER (PARTITION BY a.band, a.sample_id ORDER BY abs(b.intensity-a.intensity), b.intensity) AS k
       FROM v_spectra a JOIN v_spectra b ON a.band=b.band AND a.class_index=b.class_index AND a.sample_id<>b.sample_id),
-    rd AS (SELECT band, sample_id, class_index, x, d FROM nn WHERE k=3), nc AS (SELECT class_index, count(*) AS nc FROM v_spectra WHERE band=0 GROUP BY 1),
-    mm AS (SELECT rd.band, rd.sample_id, rd.class_index, count(*) AS m FROM rd JOIN v_spectra b ON b.band=rd.band AND CASE WHEN d=0 THEN b.intensity=x ELSE b.intensity<x+d AND b.intensity>x-d END GROUP BY ALL),
+    rd AS (SELECT band, sample_id, class_index, x, nb, d FROM nn WHERE k=3), nc AS (SELECT class_index, count(*) AS nc FROM v_spectra WHERE band=0 GROUP BY 1),
+    mm AS (SELECT rd.band, rd.sample_id, rd.class_index, count(*) AS m FROM rd JOIN v_spectra b ON b.band=rd.band AND CASE WHEN d=0 THEN b.intensity=x ELSE b.intensity<CASE WHEN nb>x THEN nb ELSE x+d END AND b.intensity>CASE WHEN nb<x THEN nb ELSE x-d END END GROUP BY ALL),
     pc AS (SELECT class_index, coalesce({PSI.format(x='nc')},-0.5772156649015329E0) AS psi FROM nc)
     SELECT band, round(greatest(0.0E0, (SELECT {PSI.format(x='count(*)')} FROM v_spectra WHERE band=0)+(1.5E0-0.5772156649015329E0)-avg(psi)-avg(coalesce({PSI.format(x='m')},-0.5772156649015329E0))),6)+0.0E0 AS score
     FROM mm JOIN pc USING(class_index) GROUP BY band""",
