@@ -78,6 +78,8 @@ def _large(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
 
 
 def _split_by_size(df: DataFrame, keys: list[str], limit: int, small: Callable, large: Callable) -> DataFrame:
+    """Kernel for small groups, distributed way for large ones; the input is computed once."""
+    df = settled(df)
     big = _large(df, keys, limit)
     if big is None:
         return small(df)

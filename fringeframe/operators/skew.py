@@ -1,8 +1,8 @@
 """Ranks, running totals and exact percentiles that stay parallel inside one hot key.
 
-A plain window sorts a whole key in one task. Here a key with more than `hot_rows`
-rows is cut into value ranges; each range is sorted on its own and shifted by the
-total weight of the ranges below it. Keys below the limit keep the plain window.
+A plain window sorts a whole key in one task. One count per key (combined map-side) decides:
+without a key of more than `hot_rows` rows the plain window is used; otherwise each such key is
+cut into value ranges, sorted range by range, and shifted by the total of the ranges below.
 """
 
 from __future__ import annotations
@@ -43,25 +43,30 @@ def running_total(
     `range_by`, a numeric expression of it.
     """
     combine = F.max if how == "max" else F.sum
-    data = df.withColumn("_range_by", range_by.cast("double")).withColumn(
-        "_weight", F.lit(1).cast("bigint") if weight is None else weight
-    )
+    amount = F.lit(1).cast("bigint") if weight is None else weight
+
+    def ordered(*parts: str) -> Column:
+        within = Window.partitionBy(*parts).orderBy(*order)
+        if weight is None:
+            return F.row_number().over(within).cast("bigint")
+        return combine(amount).over(within.rowsBetween(Window.unboundedPreceding, 0))
+
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    if hot.isEmpty():
+        return df.withColumn(name, ordered(*keys))
+    data = df.withColumn("_range_by", range_by.cast("double"))
     sketch = F.percentile_approx("_range_by", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)
     if keys:
-        hot = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
         cuts = data.join(hot, keys, "left_semi").groupBy(*keys).agg(sketch.alias("_cuts"))
         cut = data.join(cuts, keys, "left")
     else:
-        whole = data.agg(F.when(F.count(F.lit(1)) > hot_rows, sketch)).scalar()
-        cut = data.withColumn("_cuts", whole)
-    ranged = cut.withColumn(
-        "_range",
-        F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(_range_of(F.col("_cuts"), F.col("_range_by"))),
-    )
+        cut = data.withColumn("_cuts", data.agg(sketch).scalar())
+    place = _range_of(F.col("_cuts"), F.col("_range_by"))
+    ranged = cut.withColumn("_range", F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(place))
     below = (
         ranged.filter("_range >= 0")
         .groupBy(*keys, "_range")
-        .agg(combine("_weight").alias("_sum"))
+        .agg(combine(amount).alias("_sum"))
         .withColumn(
             "_below",
             combine("_sum").over(
@@ -70,17 +75,11 @@ def running_total(
         )
         .drop("_sum")
     )
-    within = Window.partitionBy(*keys, "_range").orderBy(*order)
-    inside = (
-        F.row_number().over(within).cast("bigint")
-        if weight is None
-        else combine("_weight").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    )
     merged = (
         F.greatest("_inside", "_below") if how == "max" else F.col("_inside") + F.coalesce("_below", F.lit(0))
     )
     out = (
-        ranged.withColumn("_inside", inside)
+        ranged.withColumn("_inside", ordered(*keys, "_range"))
         .join(below, [*keys, "_range"], "left")
         .withColumn(name, merged)
     )

@@ -108,9 +108,14 @@ class Views:
             "n_chars",
         )
 
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Spread a file with fewer splits than cores over all cores; larger tables pass unshuffled."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def spectra(self) -> DataFrame:
         """(sample_id, class_index, spectrum ARRAY<DOUBLE>): one row per sample."""
-        return self.table("embeddings").select(
+        return self._spread(self.table("embeddings")).select(
             F.col("vec_id").alias("sample_id"),
             (F.col("label") % CLASS_COUNT).cast("bigint").alias("class_index"),
             F.col("embedding").cast("array<double>").alias("spectrum"),
