@@ -139,9 +139,10 @@ def rf_importance(spectra: DataFrame, trees: int = 500, seed: int = 2026) -> Dat
     """Impurity importance of a class-balanced random forest (square-root feature subsets)."""
     from pyspark.ml.classification import RandomForestClassifier
 
-    from fringeframe.operators.ml import balanced_weights, with_vector
+    from fringeframe.operators.ml import balanced_weights, packed, with_vector
 
-    data = balanced_weights(with_vector(spectra.withColumnRenamed("spectrum", "features")))
+    size = spectra.agg(F.sum(F.size("spectrum"))).first()[0] or 0
+    data = packed(balanced_weights(with_vector(spectra.withColumnRenamed("spectrum", "features"))), size)
     forest = RandomForestClassifier(
         featuresCol="vector", labelCol="class_index", weightCol="weight", numTrees=trees, seed=seed,
         featureSubsetStrategy="sqrt",

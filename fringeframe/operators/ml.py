@@ -56,6 +56,11 @@ def with_vector(df: DataFrame, value: str = "features") -> DataFrame:
     return df.withColumn("vector", array_to_vector(value))
 
 
+def packed(df: DataFrame, values: int, per_task: int = 2_000_000) -> DataFrame:
+    """Fewer tasks for small training sets: an iterative fit pays one round of tasks per step."""
+    return df.coalesce(values // per_task + 1)
+
+
 def estimator(name: str, n: int, width: int, classes: int, c: float = 1.0, seed: int = 2026):
     """MLlib estimator by name. C becomes regParam 1/(C*n).
 
@@ -99,7 +104,7 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, c: float = 1.0, se
     facts = a.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("w"), F.max("class_index").alias("k")
     ).first()
-    model = estimator(name, facts["n"], facts["w"], int(facts["k"]) + 1, c, seed).fit(a)
+    model = estimator(name, facts["n"], facts["w"], int(facts["k"]) + 1, c, seed).fit(packed(a, facts["n"] * facts["w"]))
     scored = model.transform(with_vector(b)).withColumn("predicted_index", F.col("_prediction").cast("bigint"))
     return scored.drop("_prediction", "_p", "_r", "rawPrediction", "vector")
 
