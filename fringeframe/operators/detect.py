@@ -20,6 +20,7 @@ from fringeframe.operators.skew import bounded_groups, group_percentiles, group_
 
 FIELD_LIMIT = 20_000
 ASSIGNMENT_LIMIT = 4_000
+COPY_LIMIT = 16
 
 
 # ---- filters ---------------------------------------------------------------------------------------
@@ -289,6 +290,44 @@ def candidate_pairs(refs: DataFrame, dets: DataFrame, radius: float, keys: list[
     )
 
 
+def _thinned(side: DataFrame, other: DataFrame, row_id: str, radius: float, keys: list[str]) -> DataFrame:
+    """Drop surplus copies at one spot: no more of them can be matched than there are partners around.
+
+    Rows at one spot are interchangeable and matched in id order, so keeping the lowest ids, as many as
+    centers of the other side lie in the cells around, changes no result.
+    """
+    crowded = side.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > COPY_LIMIT)
+    if crowded.isEmpty():
+        return side
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("bigint")
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    partners = other.groupBy(*keys, cell("x").alias("_cx"), cell("y").alias("_cy")).agg(F.count(F.lit(1)).alias("_n"))
+    around = (
+        partners.withColumn("_i", step)
+        .withColumn("_j", step)
+        .groupBy(*keys, (F.col("_cx") + F.col("_i")).alias("_cx"), (F.col("_cy") + F.col("_j")).alias("_cy"))
+        .agg(F.sum("_n").alias("_most"))
+    )
+    spots = [*keys, "x", "y"]
+    copies = side.join(crowded.select(*spots), spots, "left_semi")
+    ranked = group_rank(copies, spots, [F.col(row_id)], F.col(row_id), "_rank")
+    kept = (
+        ranked.withColumn("_cx", cell("x"))
+        .withColumn("_cy", cell("y"))
+        .join(around, [*keys, "_cx", "_cy"])
+        .filter(F.col("_rank") <= F.col("_most"))
+    )
+    return side.join(crowded.select(*spots), spots, "left_anti").unionByName(kept.select(*side.columns))
+
+
+def reduced_pairs(refs: DataFrame, dets: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """Candidate pairs that can matter for one-to-one matching."""
+    a = refs.select(*keys, "ref_id", "x", "y")
+    b = dets.select(*keys, "det_id", "x", "y")
+    b = _thinned(b, a, "det_id", radius, keys)
+    return candidate_pairs(_thinned(a, b, "ref_id", radius, keys), b, radius, keys)
+
+
 def _greedy_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     ordered = pdf.sort_values(["distance", "ref_id", "det_id"], kind="stable")
     refs: set = set()
@@ -325,7 +364,7 @@ def match_greedy(
 ) -> DataFrame:
     """One-to-one pairs taken in order of (distance, ref_id, det_id)."""
     keys = keys or ["field_id"]
-    pairs = candidate_pairs(refs, dets, radius, keys)
+    pairs = reduced_pairs(refs, dets, radius, keys)
     small = lambda part: part.groupBy(*keys).applyInPandas(_greedy_pairs, part.schema)
     return _split_by_size(pairs, keys, field_limit, small, lambda part: _greedy_pair_rounds(part, keys))
 
@@ -451,7 +490,7 @@ def match_penalised(
     pair are independent; a field with many pairs is solved group by group.
     """
     keys = keys or ["field_id"]
-    pairs = candidate_pairs(refs, dets, radius, keys)
+    pairs = reduced_pairs(refs, dets, radius, keys)
     kernel = _penalised_kernel(radius)
     small = lambda part: part.groupBy(*keys).applyInPandas(kernel, part.schema)
 

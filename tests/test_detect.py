@@ -148,3 +148,20 @@ def test_assignment_refuses_oversized_field(spark):
 
 def test_letterbox():
     assert H.letterbox(1024, 768, 640) == (0.625, 0, 80)
+
+
+def test_many_copies_of_a_detection(spark):
+    """A third of the detections at one spot: same matches, few candidate pairs."""
+    rng = np.random.default_rng(6)
+    refs = points(spark, [(i, *map(float, np.round(rng.random(2) * 40))) for i in range(12)], "ref_id")
+    rows = [(i, 20.0, 20.0) if i % 3 == 0 else (i, *map(float, np.round(rng.random(2) * 400))) for i in range(600)]
+    dets = points(spark, rows, "det_id")
+    every = H.candidate_pairs(refs, dets, 15.0)
+    few = H.reduced_pairs(refs, dets, 15.0, ["field_id"])
+    assert few.count() <= 12 * 12 + 60 < every.count()
+    want = every.groupBy("field_id").applyInPandas(H._greedy_pairs, every.schema)
+    got = H.match_greedy(refs, dets, 15.0)
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 0
+    best = every.groupBy("field_id").applyInPandas(H._penalised_kernel(15.0), every.schema)
+    cost = lambda df: df.selectExpr("sum(distance - 32.0)").first()[0]
+    assert cost(H.match_penalised(refs, dets, 15.0)) == pytest.approx(cost(best))
