@@ -181,11 +181,11 @@ def b10(v):
 
 @query(
     "b11_rank_split",
-    """SELECT class_index, sample_id, rank, CASE WHEN rank<=70 THEN 'train' ELSE 'test' END AS split FROM (SELECT class_index, sample_id,
-      CAST(row_number() OVER (PARTITION BY class_index ORDER BY sample_id) AS BIGINT) AS rank FROM v_spectra WHERE band=0) WHERE rank<=90""",
+    """SELECT class_index, sample_id, rank, CASE WHEN rank<=60 THEN 'train' ELSE 'test' END AS split FROM (SELECT class_index, sample_id,
+      CAST(row_number() OVER (PARTITION BY class_index ORDER BY sample_id) AS BIGINT) AS rank FROM v_spectra WHERE band=0) WHERE rank<=80""",
 )
 def b11(v):
-    out = C.rank_split(v.spectra(), "class_index", [F.col("sample_id")], 70, 20)
+    out = C.rank_split(v.spectra(), "class_index", [F.col("sample_id")], 60, 20)
     return tidy(out.select("class_index", "sample_id", "rank", "split"))
 
 
