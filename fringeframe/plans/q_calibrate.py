@@ -22,7 +22,7 @@ e AS (SELECT p.*, l.*, y-(intercept+slope*x) AS res FROM p, l),
 f AS (SELECT n, xb, sxx, sst, slope, intercept, sum(res*res) AS sse, avg(abs(res)) AS mae, sqrt(sum(res*res)/(n-2)) AS se FROM e GROUP BY n, xb, sxx, sst, slope, intercept)"""
 # Large-sample expansion of the 0.975 quantile of Student's t around the normal quantile.
 Z = "1.959963984540054E0"
-T = f"({Z}+({Z}**3+{Z})/(4.0E0*(n-2))+(5*{Z}**5+16*{Z}**3+3*{Z})/(96.0E0*(n-2)**2)+(3*{Z}**7+19*{Z}**5+17*{Z}**3-15*{Z})/(384.0E0*(n-2)**3))"
+T = f"({Z}+({Z}**3+{Z})/(4.0E0*(n-2))+(5*{Z}**5+16*{Z}**3+3*{Z})/(96.0E0*(n-2)**2)+(3*{Z}**7+19*{Z}**5+17*{Z}**3-15*{Z})/(384.0E0*(n-2)**3)+(79*{Z}**9+776*{Z}**7+1482*{Z}**5-1920*{Z}**3-945*{Z})/(92160.0E0*(n-2)**4.0E0))"
 
 
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:
