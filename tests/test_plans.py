@@ -45,7 +45,7 @@ def test_rank_limit_is_applied_before_the_shuffle(spark):
 
 def test_registry():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 130
-    assert set(entry.queries()) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_flagship(spark):
