@@ -7,6 +7,9 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# White space and ASCII signs: what separates words when punctuation is to be ignored.
+SIGNS = SPACE.copy()
+SIGNS[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _BLOCK = 1 << 18
 _LANES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _ONE = np.uint64(1)
@@ -49,12 +52,12 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of all texts of a column: byte starts and ends, first word of each text, 64-bit hashes."""
+    """Words (runs of bytes outside `breaks`, by default `[^\\x20\\x09-\\x0D]+`) of all texts of a column: byte starts and ends, first word of each text, 64-bit hashes."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False, lanes: int = 1):
+    def __init__(self, texts: pa.Array, lower: bool = False, lanes: int = 1, breaks: np.ndarray = SPACE):
         data, offsets = column_bytes(texts)
         self.data, self.offsets = data, offsets
-        word = ~SPACE[data]
+        word = ~breaks[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before = np.concatenate([[False], word[:-1]]) if len(data) else word
@@ -124,3 +127,11 @@ def planes(values: np.ndarray) -> bytes:
 def from_planes(raw: bytes, dtype) -> np.ndarray:
     rows = np.frombuffer(raw, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
     return np.ascontiguousarray(rows.T).view(dtype).ravel()
+
+
+def slices(batch: pa.RecordBatch, text: str, limit: int):
+    """Parts of a batch of about `limit` bytes of text each, at least one row."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy()
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // limit, prepend=-1))
+    for lo, hi in zip(cuts, [*cuts[1:], len(batch)]):
+        yield batch.slice(lo, hi - lo)
