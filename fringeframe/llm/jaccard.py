@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fringeframe.llm.graph import components
+from fringeframe.llm.graph import components, small_batches
 from fringeframe.llm.words import Words, from_planes, mix, packed, planes, unpacked
 from fringeframe.operators.settle import settled
 
 SHINGLE = 5
 PERCENT = 80
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 FILTER_BITS = 25
 MAX_SEEDS = 256
@@ -77,20 +77,27 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array(counts, np.int64)
 
 
-def _parities(h: np.ndarray, doc: np.ndarray, bands: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit parity patterns, `bands[d]` of them for document d, one document after the other."""
+def _fingerprints(h: np.ndarray, doc: np.ndarray, bands: np.ndarray, seed: int) -> np.ndarray:
+    """Fingerprints of parity bands, `bands[d]` of them for document d, one document after the other.
+
+    Every shingle flips one bit of a band of 2**64 bits; the XOR of the flipped positions stands for the band, 0 for an empty one.
+    """
     base = np.cumsum(bands) - bands
     r = mix(h + np.uint64(0x632BE59BD9B4E019 * (seed + 1) & (2**64 - 1)))
-    slot = base[doc].astype(np.uint64) + (((r >> np.uint64(32)) * bands[doc].astype(np.uint64)) >> np.uint64(32))
-    flips = np.sort((slot << np.uint64(6)) | (r & np.uint64(63)))
+    slot = base[doc] + (((r >> np.uint64(32)) * bands[doc].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
     out = np.zeros(int(bands.sum()), np.uint64)
-    if len(flips):
-        at = flips >> np.uint64(6)
-        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        out[at[new].astype(np.int64)] = np.bitwise_xor.reduceat(np.uint64(1) << (flips & np.uint64(63)), new)
+    np.bitwise_xor.at(out, slot, mix(r))
     return out
 
 
+def _sketches(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """(docs, 4) parity sketches of 256 bits."""
+    r = mix(h ^ np.uint64(0x8CB92BA72F3D8DD7))
+    out = np.zeros(docs * 4, np.uint64)
+    np.bitwise_xor.at(out, doc * 4 + (r >> np.uint64(62)).astype(np.int64), np.uint64(1) << (r & np.uint64(63)))
+    return out.view(np.int64).reshape(-1, 4)
+
+
 def band_keys(h: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, document of each): two linked sets share at least one key."""
     keys, owners = [], []
@@ -109,7 +116,7 @@ def band_keys(h: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarr
             bands = limit + 3 + limit // 8
             sizes = counts[docs]
             member = np.repeat(first[docs] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-            patterns = _parities(h[member], np.repeat(np.arange(len(docs)), sizes), bands, seed)
+            patterns = _fingerprints(h[member], np.repeat(np.arange(len(docs)), sizes), bands, seed)
             owner = np.repeat(np.arange(len(docs)), bands)
             place = np.arange(len(patterns)) - np.repeat(np.cumsum(bands) - bands, bands)
             tag = mix((band[owner] * MAX_SEEDS + seed).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) + np.uint64(1))
@@ -139,7 +146,7 @@ def _described(key: str, text: str, size: int):
             for part in _slices(batch, text, SLICE_BYTES):
                 h, counts = shingle_sets(part.column(text), size)
                 a, b = _digest(h, counts)
-                sketch = _parities(h, np.repeat(np.arange(len(counts)), counts), np.full(len(counts), 4), MAX_SEEDS).view(np.int64).reshape(-1, 4)
+                sketch = _sketches(h, np.repeat(np.arange(len(counts)), counts), len(counts))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(key), pa.array(counts), pa.array(a), pa.array(b), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4))],
                     ["doc", "n", "s1", "s2", "k0", "k1", "k2", "k3"],
@@ -291,6 +298,11 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """`similar_documents` and the verified links (x, y) between classes of different sets that its components rest on."""
+    with small_batches(docs.sparkSession):
+        return _links(docs, key, text, size, percent)
+
+
+def _links(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col(key).cast("bigint").alias(key), text)
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(64, -(-total // BUCKET_BYTES))

@@ -14,11 +14,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 4
-# Bounded training sample: texts per language, of up to LONGEST_SAMPLE characters; a fifth of them calibrates.
+# Bounded training sample: about so many texts per language, drawn by hash, of up to LONGEST_SAMPLE characters; a fifth calibrates.
 SAMPLE = 1_000
 LONGEST_SAMPLE = 100_000
 # Shortest text, in symbols, whose cross-entropy can reject it.
@@ -185,25 +185,17 @@ def _scored(models: Models, texts: list[str | None]) -> tuple[np.ndarray, np.nda
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Models | None:
-    """Models of every non-null value of `lang`, from the `sample` texts of smallest key hash of each; None without any."""
-    ids = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.length(text).between(1, LONGEST_SAMPLE))
-    ids = ids.select(F.col(lang).alias("lang"), F.xxhash64(key).alias("h"))
-    cuts = (
-        ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-        .filter(F.col("place") <= sample)
-        .groupBy("lang")
-        .agg(F.max("h").alias("cut"))
-        .collect()
-    )
-    if not cuts:
+    """Models of every non-null value of `lang`, from about `sample` texts of each, drawn by key hash; None without any."""
+    known = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.length(text).between(1, LONGEST_SAMPLE))
+    sizes = known.groupBy(F.col(lang).alias("lang")).count()
+    if sizes.isEmpty():
         return None
-    # One row per language; ties of a hash are the repeated rows of one key.
-    table = docs.sparkSession.createDataFrame([(r["lang"], r["cut"]) for r in cuts], "lang string, cut bigint")
+    # One short row per language.
+    shares = sizes.select("lang", F.least(F.lit(1.0), sample / F.col("count")).alias("share"))
     chosen = (
-        docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.length(text).between(1, LONGEST_SAMPLE))
-        .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-        .join(F.broadcast(table), "lang")
-        .filter("h <= cut")
+        known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
+        .join(F.broadcast(shares), "lang")
+        .filter(F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     )
     fitting = F.pmod(F.xxhash64("h"), F.lit(5)) > 0
     texts = chosen.select("lang", "text", fitting.alias("fits")).repartition(8, F.xxhash64("text")).persist()

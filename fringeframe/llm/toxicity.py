@@ -20,10 +20,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bounded training sample: so many texts of each label train the dictionaries, as many more calibrate.
+# Bounded training sample: about so many texts of each label, drawn by hash, train the dictionaries, as many more calibrate.
 SAMPLE = 2_000
 LONGEST_SAMPLE = 100_000
 GRAM = 5
@@ -127,10 +127,14 @@ def fold(key: Column) -> Column:
 
 
 def sample_labels(labels: DataFrame, key: str, sample: int) -> DataFrame:
-    """(key, toxic, part): per label the 2 * sample ids of smallest hash, half of them for each part."""
+    """(key, toxic, part): per label about 2 * sample ids by their hash, all if there are fewer, about half of them for each part."""
     once = labels.filter(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(key), key))
-    return once.withColumn("_place", place).filter(F.col("_place") <= 2 * sample).select(key, "toxic", (F.col("_place") % 2).alias("part"))
+    sizes = dict(once.groupBy("toxic").count().collect())
+    share = F.lit(0.0)
+    for label, n in sizes.items():
+        share = F.when(F.col("toxic") == label, min(1.0, 2 * sample / n)).otherwise(share)
+    draw = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return once.filter(draw < share * (1 << 30)).select(key, "toxic", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2)).alias("part"))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
@@ -139,8 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if len(shares) < 2:
         return Model()
     chosen = sample_labels(labels, key, sample)
-    found = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)  # at most 4 * sample short rows
-    # At most 4 * sample texts of bounded length.
+    found = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)  # about 4 * sample short rows
+    # About 4 * sample texts of bounded length.
     texts = found.filter(F.length("text").between(1, LONGEST_SAMPLE)).select("text", "toxic", "part").repartition(8, F.xxhash64("text")).persist()
     first = texts.filter("part = 0")
     sizes = dict(first.groupBy("toxic").count().collect())
