@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeframe.llm import chat, jaccard, language, leaks, repeats, tokens, toxicity, urls, vectors
+from fringeframe.llm import chat, jaccard, language, leaks, mixing, repeats, tokens, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +97,56 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+# Target weights of the mixture: sources of even number are web text, the others books.
+def mixture_domain() -> Column:
+    number = F.regexp_extract(F.col("source"), r"([0-9]+)$", 1).cast("bigint")
+    return F.when(F.pmod(number, F.lit(2)) == 0, "web").otherwise("book")
+
+
+def mixture_weights() -> dict[str, Column]:
+    lang = F.col("lang")
+    return {
+        "domain": F.when(F.col("domain") == "web", 1).otherwise(3),
+        "lang": F.when(lang == "en", 4).when(lang == "de", 3).when(lang == "fr", 2).otherwise(1),
+        "source": F.length("source"),
+    }
+
+
+MIXTURE = {"share": 0.5, "epochs": 2, "seed": 7}
+
+_SHARE = """{name}0 AS (SELECT *, CASE WHEN w > 0 THEN r ELSE 0 END AS rr FROM ({nodes})),
+{name}1 AS (SELECT *, CASE WHEN w > 0 THEN rr / w ELSE 0 END AS fill FROM {name}0),
+{name}2 AS (SELECT *, CASE WHEN w > 0 THEN (b - coalesce(sum(rr) OVER ({part} ORDER BY fill, {own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER ({part} ORDER BY fill, {own} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS lev FROM {name}1),
+{name}3 AS (SELECT *, max(CASE WHEN fill > lev THEN lev END) OVER ({part}) AS top FROM {name}2),
+{name} AS (SELECT {own}, CAST(CASE WHEN top IS NULL THEN rr ELSE least(rr, floor(w * greatest(top, 0))) END AS BIGINT) AS b FROM {name}3)"""
+
+
+def _mixture_sql(documents: str = "documents") -> str:
+    domain = "CASE WHEN CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) % 2 = 0 THEN 'web' ELSE 'book' END"
+    level = lambda name, own, part, nodes: _SHARE.format(name=name, own=own, part=part, nodes=nodes)
+    return f"""
+WITH docs AS (SELECT *, {domain} AS domain, coalesce(lang, '') AS l, coalesce(source, '') AS s,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM {documents}),
+leaves AS (SELECT domain, l, s, CAST(sum(n) AS BIGINT) AS tokens, 2 * CAST(sum(n) AS BIGINT) AS r0 FROM docs GROUP BY ALL),
+{level("d", "domain", "", "SELECT domain, sum(r0) AS r, CASE WHEN domain = 'web' THEN 1 ELSE 3 END AS w, (SELECT floor(sum(tokens) * 0.5) FROM leaves) AS b FROM leaves WHERE length(s) > 0 GROUP BY domain")},
+{level("m", "domain, l", "PARTITION BY domain", "SELECT domain, l, sum(r0) AS r, CASE l WHEN 'en' THEN 4 WHEN 'de' THEN 3 WHEN 'fr' THEN 2 ELSE 1 END AS w, any_value(b) AS b FROM leaves JOIN d USING (domain) WHERE length(s) > 0 GROUP BY domain, l")},
+{level("q", "domain, l, s", "PARTITION BY domain, l", "SELECT domain, l, s, r0 AS r, length(s) AS w, b FROM leaves JOIN m USING (domain, l)")},
+quota AS (SELECT domain, l, s, b // tokens AS full_, b - b // tokens * tokens AS rest FROM q JOIN leaves USING (domain, l, s) WHERE b > 0),
+placed AS (SELECT *, CAST('0x' || substr(md5('7|' || CAST(full_ + 1 AS VARCHAR) || '|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS place
+  FROM docs JOIN quota USING (domain, l, s)),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY domain, l, s ORDER BY place, doc_id) AS upto FROM placed)
+SELECT doc_id, domain, lang, source, n AS n_tokens, CAST(full_ + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM summed WHERE full_ + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
+"""
+
+
+@query("op7_mixture", _mixture_sql())
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mixture_domain(), mixture_weights(), **MIXTURE)
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
 CHAT_EXTRA = "</s>[INST] ok [/INST]"
 
 
