@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -250,15 +251,32 @@ def _slot(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(doc, shingles) of the documents in `wanted` (doc), and of some others: a filter of fixed size drops most others early."""
-    words = wanted.select(_slot(F.col("doc")).alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(
+def _filter_bits(ids: DataFrame) -> np.ndarray:
+    """A bit per hash slot of the column `doc`; its size is fixed, whatever the number of ids."""
+    words = ids.select(_slot(F.col("doc")).alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("s") % 64).cast("int"))).alias("bits")
     )
     found = words.toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     bits[found["w"].to_numpy(int)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def _filter(ids: DataFrame):
+    """Function of a slot: false if no id of the column `doc` has it."""
+    shared = ids.sparkSession.sparkContext.broadcast(_filter_bits(ids))
+
+    @F.pandas_udf("boolean")
+    def maybe(slot: pd.Series) -> pd.Series:
+        s = slot.to_numpy(np.int64)
+        return pd.Series((shared.value[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return maybe
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(doc, shingles) of the documents in `wanted` (doc), and of some others: a filter of fixed size drops most others early."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,3 +394,19 @@ def _links(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tup
     out = described.join(labelled, ["n", "s1", "s2"], "left")
     own = lambda c: F.when(F.col("doc").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce(c, "doc")).alias(c)
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), own("component_id"), own("class_id")), linked
+
+
+def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """`docs` without all but one document of each group of linked ones: the row of smallest key stays, one of them if it repeats.
+
+    Rows with a null key stay. Only rows that a filter of fixed size can't clear meet the list of keys to drop.
+    """
+    found = similar_documents(docs, key, text, size, percent)
+    counted = found.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col("component_id") != F.col(key)).alias("_drop"), (F.count(F.lit(1)) > 1).alias("_twice"))
+    marked = settled(counted.filter(F.col("_drop") | F.col("_twice")))
+    maybe = _filter(marked.select(F.col(key).alias("doc")))
+    near = F.coalesce(maybe(F.coalesce(_slot(F.col(key)), F.lit(0))) & F.col(key).isNotNull(), F.lit(False))
+    sure = docs.filter(~near)
+    asked = docs.filter(near).join(marked.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
+    once = asked.filter("_twice and not _drop").drop("_drop", "_twice").dropDuplicates([key])
+    return sure.unionByName(asked.filter("_drop is null").drop("_drop", "_twice")).unionByName(once)

@@ -238,14 +238,15 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     models = train(docs.filter(fold(F.col(key)) != 1), key, text, lang, sample)
     own = ["held_out", "lang_pred", "score", "bits", "rejected"]
     kept = [c for c in (keep or [key]) if c not in own]
-    rows = docs.select(*kept, F.coalesce(fold(F.col(key)) == 1, F.lit(False)).alias("held_out"), F.col(text).alias("_text"))
+    shown = text if text in kept else "_text"
+    rows = docs.select(*kept, F.coalesce(fold(F.col(key)) == 1, F.lit(False)).alias("held_out"), *([] if text in kept else [F.col(text).alias("_text")]))
     carried = [*kept, "held_out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
-                texts = part.column("_text").to_pylist()
+                texts = part.column(shown).to_pylist()
                 if models is None:
                     found = [(UNDETERMINED, 0.0, None, True)] * len(texts)
                 else:
