@@ -67,7 +67,7 @@ def first_per_class(df: DataFrame, key: str, order: list[Column], k: int) -> Dat
 
 
 def sanitised(name: Column) -> Column:
-    """Replace runs outside [0-9A-Za-z._-] by '_', strip '._-', empty becomes 'sequence'."""
+    """Replace runs outside [0-9A-Za-z._-] by '_', strip '._-', empty becomes 'sequence' (fixed values of the name format)."""
     clean = F.regexp_replace(F.trim(name), r"[^0-9A-Za-z._-]+", "_")
     clean = F.regexp_replace(clean, r"^[._-]+|[._-]+$", "")
     return F.when(clean == "", F.lit("sequence")).otherwise(clean)

@@ -7,6 +7,7 @@ so no task ever holds an unbounded field. Candidate pairs come from a grid join,
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -20,6 +21,8 @@ from fringeframe.operators.skew import bounded_groups, group_percentiles, group_
 
 FIELD_LIMIT = 20_000
 ASSIGNMENT_LIMIT = 4_000
+# Groups of more cells are assigned along their real pairs instead of in a dense matrix.
+DENSE_CELLS = 4_000_000
 COPY_LIMIT = 16
 
 
@@ -239,7 +242,7 @@ def letterbox(width: int, height: int, size: int) -> tuple[float, int, int]:
 
 
 def postprocess(
-    decoded: DataFrame, threshold: float, iou: float, limit: int, crop: int, distance: float, width: int, height: int
+    decoded: DataFrame, threshold: float, iou: float, limit: int | None, crop: int, distance: float, width: int, height: int
 ) -> tuple[DataFrame, DataFrame]:
     """Decoded rows to (detections, per-field counts).
 
@@ -462,13 +465,64 @@ def _components(pairs: DataFrame, keys: list[str]) -> DataFrame:
             return labels
 
 
+def sparse_assign(n_refs: int, n_dets: int, i: np.ndarray, j: np.ndarray, saving: np.ndarray) -> list[int]:
+    """Places of the pairs (i, j) of largest total saving, no center used twice.
+
+    Shortest augmenting paths over the listed pairs with potentials: memory grows with the pairs. A reference may stay
+    free at no saving, a slot of its own.
+    """
+    order = np.argsort(i, kind="stable")
+    bounds = np.searchsorted(i[order], np.arange(n_refs + 1))
+    edges: list[list[tuple[int, float, int]]] = [
+        [(int(j[e]), -float(saving[e]), int(e)) for e in order[bounds[r] : bounds[r + 1]]] + [(n_dets + r, 0.0, -1)] for r in range(n_refs)
+    ]
+    price: dict[int, float] = {}
+    holder: dict[int, int] = {}
+    used, col_of = [-1] * n_refs, [-1] * n_refs
+    for start in range(n_refs):
+        reach: dict[int, float] = {}
+        came: dict[int, tuple[int, int]] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        row, base = start, 0.0
+        while True:
+            # Leaving a row frees the column that it holds, so that edge's cost counts the other way.
+            anchor = 0.0
+            for col, cost, _ in edges[row]:
+                if col == col_of[row]:
+                    anchor = cost - price.get(col, 0.0)
+            for col, cost, e in edges[row]:
+                way = base + cost - price.get(col, 0.0) - anchor
+                if col not in done and way < reach.get(col, np.inf):
+                    reach[col] = way
+                    came[col] = (row, e)
+                    heapq.heappush(heap, (way, col))
+            while heap[0][1] in done or heap[0][0] > reach[heap[0][1]]:
+                heapq.heappop(heap)
+            base, sink = heapq.heappop(heap)
+            done.add(sink)
+            if sink not in holder:
+                break
+            row = holder[sink]
+        for col in done:
+            price[col] = price.get(col, 0.0) + reach[col] - base
+        while True:
+            row, e = came[sink]
+            holder[sink], used[row] = row, e
+            sink, col_of[row] = col_of[row], sink
+            if row == start:
+                break
+    return sorted(e for e in used if e >= 0)
+
+
 def _penalised_kernel(radius: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         refs, i = np.unique(pdf["ref_id"].to_numpy(), return_inverse=True)
         dets, j = np.unique(pdf["det_id"].to_numpy(), return_inverse=True)
-        if max(len(refs), len(dets)) > ASSIGNMENT_LIMIT:
-            raise ValueError("connected centers exceed the assignment limit")
         free = radius + 1.0
+        if len(refs) * (len(dets) + len(refs)) > DENSE_CELLS:
+            chosen = sparse_assign(len(refs), len(dets), i, j, 2.0 * free - pdf["distance"].to_numpy())
+            return pdf.iloc[chosen]
         # Leaving both ends unmatched costs twice the penalty, so a pair saves 2*free - distance;
         # a slot per reference stands for "unmatched".
         saving = np.zeros((len(refs), len(dets) + len(refs)))
@@ -482,23 +536,21 @@ def _penalised_kernel(radius: float):
 
 
 def match_penalised(
-    refs: DataFrame, dets: DataFrame, radius: float, keys: list[str] | None = None, field_limit: int = FIELD_LIMIT
+    refs: DataFrame, dets: DataFrame, radius: float, keys: list[str] | None = None
 ) -> DataFrame:
     """Pairs within the radius of least total cost, each unmatched center costing radius + 1.
 
     Centers without a partner in reach never matter, and groups of centers not linked by any candidate
-    pair are independent; a field with many pairs is solved group by group.
+    pair are independent: fields of every size are solved group by group.
     """
     keys = keys or ["field_id"]
-    pairs = reduced_pairs(refs, dets, radius, keys)
-    kernel = _penalised_kernel(radius)
-    small = lambda part: part.groupBy(*keys).applyInPandas(kernel, part.schema)
-
-    def large(part: DataFrame) -> DataFrame:
-        labelled = _components(part, keys)
-        return labelled.groupBy(*keys, "component").applyInPandas(kernel, labelled.schema).drop("component")
-
-    return _split_by_size(pairs, keys, field_limit, small, large)
+    labelled = _components(reduced_pairs(refs, dets, radius, keys), keys)
+    sizes = labelled.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_pairs"))
+    sized = settled(labelled.join(sizes, [*keys, "component"]).select(*labelled.columns, "_pairs"))
+    # A pair that is a group of its own is always cheaper matched than free.
+    lone = sized.filter("_pairs = 1").drop("_pairs", "component")
+    rest = sized.filter("_pairs > 1").drop("_pairs")
+    return lone.unionByName(rest.groupBy(*keys, "component").applyInPandas(_penalised_kernel(radius), rest.schema).drop("component"))
 
 
 def nearest_centers(

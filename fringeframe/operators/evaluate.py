@@ -122,21 +122,28 @@ def metrics(pred: DataFrame, by: list[str], labels: list[int] | None = None) ->
 def paired_tables(pred: DataFrame, pairs: list[tuple[str, str]], model: str = "model", sample: str = "sample_id") -> DataFrame:
     """(model_a, model_b, both_right, both_wrong, a_only, b_only) for each named pair.
 
-    One shuffle by sample for all pairs; a sample missing from any named model fails the job.
+    One shuffle by sample for all pairs; a sample missing from any named model, or repeated in one, fails the job.
     """
     names = sorted({m for pair in pairs for m in pair})
-    right = F.max(F.when(F.col("true_index") == F.col("predicted_index"), 1).otherwise(0))
+    right = F.when(F.col("true_index") == F.col("predicted_index"), 1).otherwise(0)
+    own = lambda m: F.col(model) == m
     wide = (
         pred.filter(F.col(model).isin(names))
-        .groupBy(sample, model)
-        .agg(right.alias("_right"))
         .groupBy(sample)
-        .agg(*[F.max(F.when(F.col(model) == m, F.col("_right"))).alias(f"_{i}") for i, m in enumerate(names)])
+        .agg(
+            *[F.max(F.when(own(m), right)).alias(f"_{i}") for i, m in enumerate(names)],
+            *[F.count_if(own(m)).alias(f"_n{i}") for i, m in enumerate(names)],
+        )
     )
-    whole = F.lit(True)
+    whole, once = F.lit(True), F.lit(True)
     for i in range(len(names)):
-        whole = whole & F.col(f"_{i}").isNotNull()
-    wide = wide.filter(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("models cover different samples"))))
+        whole = whole & (F.col(f"_n{i}") > 0)
+        once = once & (F.col(f"_n{i}") <= 1)
+    wide = wide.filter(
+        F.when(~whole, F.raise_error(F.lit("models cover different samples")))
+        .when(~once, F.raise_error(F.lit("a model has a sample more than once")))
+        .otherwise(F.lit(True))
+    )
     cell = lambda a, b, va, vb: F.count_if((F.col(f"_{names.index(a)}") == va) & (F.col(f"_{names.index(b)}") == vb))
     rows = [
         F.struct(
@@ -198,14 +205,21 @@ def _resample(cells, iteration: int, seed: int, columns: list[str], labels: np.n
     grid = np.asarray([[c[k] for k in (*columns, "n")] for c in cells], dtype=np.int64)
     counts, n = grid[:, -1], int(grid[:, -1].sum())
     drawn = np.random.default_rng([seed, iteration]).multinomial(n, counts / n)
-    truth = np.searchsorted(labels, grid[:, 0])
+    size = len(labels)
+
+    def place(values: np.ndarray) -> np.ndarray:
+        """Index in `labels`; a label that is not listed gets a bin of its own that no score reads."""
+        at = np.minimum(np.searchsorted(labels, values), size - 1)
+        return np.where(labels[at] == values, at, size)
+
+    truth = place(grid[:, 0])
     out = []
     for j in range(1, len(columns)):
-        guess = np.searchsorted(labels, grid[:, j])
-        hit = truth == guess
-        support = np.bincount(truth, drawn, len(labels))
-        predicted = np.bincount(guess, drawn, len(labels))
-        tp = np.bincount(truth[hit], drawn[hit], len(labels))
+        guess = place(grid[:, j])
+        hit = grid[:, 0] == grid[:, j]
+        support = np.bincount(truth, drawn, size + 1)[:size]
+        predicted = np.bincount(guess, drawn, size + 1)[:size]
+        tp = np.bincount(truth[hit], drawn[hit], size + 1)[:size]
         out += [drawn[hit].sum() / n, _macro_f1(tp, support, predicted, fixed)]
     return out
 
@@ -305,7 +319,9 @@ def majority_vote(pred: DataFrame, keys: list[str]) -> DataFrame:
 
 def seed_summary(pred: DataFrame, model: str = "model", run: str = "seed", labels: list[int] | None = None) -> DataFrame:
     """Per model: mean and sample SD of scores over runs (SD 0 for one run), flagged best by macro-F1,
-    and exact paired p-values of the majority votes against the best model (itself: 1)."""
+    and exact paired p-values of the majority votes against the best model (itself: 1).
+
+    A sample that some model lacks fails the job."""
     per_run = metrics(pred, [model, run], labels)
     names = ["accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "mcc"]
     aggs = [F.count(F.lit(1)).alias("runs")]
@@ -317,8 +333,13 @@ def seed_summary(pred: DataFrame, model: str = "model", run: str = "seed", label
         "_right", (F.col("true_index") == F.col("predicted_index")).cast("int")
     )
     reference = votes.filter(F.col(model) == best).select("sample_id", F.col("_right").alias("_ref"))
+    models = summary.agg(F.count(F.lit(1))).scalar()
+    covered = votes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_models"))
+    uneven = F.raise_error(F.lit("models cover different samples"))
+    checked = covered.filter(F.when(F.col("_models") != models, uneven).otherwise(F.lit(True))).select("sample_id")
     discordant = (
-        votes.join(reference, "sample_id")
+        votes.join(checked, "sample_id")
+        .join(reference, "sample_id")
         .groupBy(model)
         .agg(
             F.count_if((F.col("_ref") == 1) & (F.col("_right") == 0)).alias("reference_only"),
@@ -353,15 +374,15 @@ def end_to_end_f1(correct: Column, predicted: Column, truth: Column) -> list[Col
     ]
 
 
-# Model, deployment path, accelerator friendly, rating.
+# Model names and whether an accelerator runs them.
 DEPLOYMENT_TRAITS = [
-    ("logistic_regression_l2", "linear", True, "excellent"),
-    ("linear_svm", "linear", True, "excellent"),
-    ("svm_rbf", "kernel", False, "medium"),
-    ("random_forest", "tree", False, "medium"),
-    ("gradient_boosting", "tree", False, "medium"),
-    ("knn_5", "stored features", False, "low"),
-    ("tiny_mlp", "network", True, "excellent"),
+    ("logistic_regression_l2", True),
+    ("linear_svm", True),
+    ("svm_rbf", False),
+    ("random_forest", False),
+    ("gradient_boosting", False),
+    ("knn_5", False),
+    ("tiny_mlp", True),
 ]
 
 
@@ -371,7 +392,7 @@ def deployment_score(models: DataFrame) -> DataFrame:
     `models`: model, macro_f1, model_size_kb, latency_ms; an unknown model fails the job.
     """
     traits = models.sparkSession.createDataFrame(
-        DEPLOYMENT_TRAITS, "model string, path string, friendly boolean, rating string"
+        DEPLOYMENT_TRAITS, "model string, friendly boolean"
     )
     joined = models.join(F.broadcast(traits), "model", "left").withColumn(
         "friendly",

@@ -67,7 +67,7 @@ bg(field_id, k, kept) AS (SELECT field_id, 0::BIGINT, []::STRUCT(x DOUBLE, y DOU
   SELECT bg.field_id, bk.k, CASE WHEN len(list_filter(kept, lambda p: greatest(0.0E0,least(p.x+p.w/2,bx+bw/2)-greatest(p.x-p.w/2,bx-bw/2))*greatest(0.0E0,least(p.y+p.h/2,yb+bh/2)-greatest(p.y-p.h/2,yb-bh/2))
     > 0.3E0*(p.w*p.h+bw*bh-greatest(0.0E0,least(p.x+p.w/2,bx+bw/2)-greatest(p.x-p.w/2,bx-bw/2))*greatest(0.0E0,least(p.y+p.h/2,yb+bh/2)-greatest(p.y-p.h/2,yb-bh/2)))))=0
     THEN list_append(kept, {'x': bx, 'y': yb, 'w': bw, 'h': bh, 'id': det_id}) ELSE kept END FROM bg JOIN bk ON bk.field_id=bg.field_id AND bk.k=bg.k+1),
-bs AS (SELECT field_id, p.id AS det_id, p.x AS bx, p.y AS yb FROM (SELECT field_id, unnest(kept[1:60]) AS p FROM (SELECT field_id, arg_max(kept,k) AS kept FROM bg GROUP BY 1)))"""
+bs AS (SELECT field_id, p.id AS det_id, p.x AS bx, p.y AS yb FROM (SELECT field_id, unnest(kept) AS p FROM (SELECT field_id, arg_max(kept,k) AS kept FROM bg GROUP BY 1)))"""
 
 
 def decoded(v):
@@ -83,7 +83,7 @@ def decoded(v):
 
 @query("h3_nms_boxes", f"WITH RECURSIVE {BOXES}, {NMS} SELECT field_id, det_id, {r('bx')}, {r('yb', chr(34) + 'by' + chr(34))} FROM bs")
 def h3(v):
-    kept = H.nms_boxes(decoded(v).filter("score >= 0.05"), 0.3, 60)
+    kept = H.nms_boxes(decoded(v).filter("score >= 0.05"), 0.3)
     return tidy(kept.select("field_id", "det_id", "bx", "by"))
 
 
@@ -99,7 +99,7 @@ def h3(v):
     LEFT JOIN (SELECT field_id, count(*) AS kept FROM sp GROUP BY 1) USING(field_id)""",
 )
 def h4(v):
-    _kept, counts = H.postprocess(decoded(v), THRESHOLD, 0.3, 60, CROP, SPACING, IMAGE_WIDTH, IMAGE_HEIGHT)
+    _kept, counts = H.postprocess(decoded(v), THRESHOLD, 0.3, None, CROP, SPACING, IMAGE_WIDTH, IMAGE_HEIGHT)
     return tidy(counts)
 
 

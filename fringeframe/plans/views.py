@@ -32,12 +32,11 @@ class Views:
         odd = F.lit(0.5) * (F.col("l_orderkey") % 2)
         return (
             self.table("lineitem")
-            .filter("l_linenumber = 1")
-            .groupBy("l_suppkey", "l_orderkey")
+            .groupBy("l_suppkey", "l_orderkey", "l_linenumber")
             .agg(F.min("l_partkey").alias("p"), F.max("l_quantity").alias("q"), F.max("l_tax").alias("t"))
             .select(
                 F.col("l_suppkey").alias("field_id"),
-                (F.col("l_orderkey") * 10 + 1).alias("det_id"),
+                (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("det_id"),
                 (((F.col("p") * 37 + F.col("l_orderkey") * 11) % IMAGE_WIDTH).cast("double") + odd).alias("x"),
                 (((F.col("p") * 17 + F.col("l_orderkey") * 29) % IMAGE_HEIGHT).cast("double") + odd).alias("y"),
                 (F.col("q") * 0.02).alias("box_conf"),
@@ -140,7 +139,7 @@ VIEW_SQL = {
   CAST((min(l_partkey)*37+l_orderkey*11)%1024 AS DOUBLE)+0.5*(l_orderkey%2) AS x,
   CAST((min(l_partkey)*17+l_orderkey*29)%768 AS DOUBLE)+0.5*(l_orderkey%2) AS y,
   max(l_quantity)*0.02E0 AS box_conf, 1.0E0-5.0E0*max(l_tax) AS kp_conf
-FROM lineitem WHERE l_linenumber=1 GROUP BY l_suppkey,l_orderkey,l_linenumber""",
+FROM lineitem GROUP BY l_suppkey,l_orderkey,l_linenumber""",
     "v_references": """SELECT field_id, det_id AS ref_id, x+CAST(det_id%15-7 AS DOUBLE) AS x,
   y+CAST((det_id*7)%15-7 AS DOUBLE) AS y FROM v_detections WHERE (det_id % 30) >= 10""",
     "v_frames": """SELECT user_id AS scan_id, event_id, ts,

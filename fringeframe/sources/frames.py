@@ -53,8 +53,13 @@ def _gray(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_gray(spark: SparkSession, path: str) -> DataFrame:
-    """(path, height, width, pixels ARRAY<FLOAT>) of every image, luma weights 299/587/114, 0..255."""
+    """(path, height, width, pixels ARRAY<FLOAT>) of every image, luma weights 299/587/114, 0..255.
+
+    Files without an image suffix are left out; an image that can't be decoded fails the job.
+    """
     images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
+    broken = F.raise_error(F.concat(F.lit("not an image: "), F.col("image.origin")))
+    images = images.filter(F.col("image.origin").rlike(IMAGE_SUFFIX)).filter(F.when(F.col("image.height") < 1, broken).otherwise(F.lit(True)))
     flat = images.select(
         F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data"
     )

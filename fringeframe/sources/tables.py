@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +66,12 @@ def load_linear(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder was committed; an aborted one leaves no marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def cached(df: DataFrame, base: str, config: dict, rebuild: bool = False) -> DataFrame:
     """Read the table stored for this configuration, computing and storing it first when absent.
 
@@ -75,11 +80,8 @@ def cached(df: DataFrame, base: str, config: dict, rebuild: bool = False) -> Dat
     spark = df.sparkSession
     text = json.dumps(config, sort_keys=True, default=str) + df.schema.json()
     path = f"{base}/{hashlib.sha1(text.encode()).hexdigest()}"
-    if not rebuild:
-        try:
-            return spark.read.schema(df.schema).parquet(path)
-        except AnalysisException:
-            pass
+    if not rebuild and _complete(spark, path):
+        return spark.read.schema(df.schema).parquet(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

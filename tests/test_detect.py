@@ -103,12 +103,11 @@ def total_cost(pairs, n, m, r):
     return sum(p for p in pairs) + (r + 1) * (n + m - 2 * len(pairs))
 
 
-@pytest.mark.parametrize("limit", [1, 10**6])
-def test_penalised_matching_is_optimal(spark, limit):
+def test_penalised_matching_is_optimal(spark):
     rng = np.random.default_rng(9)
     refs = points(spark, [(i, *map(float, rng.random(2) * 30)) for i in range(6)], "ref_id")
     dets = points(spark, [(i, *map(float, rng.random(2) * 30)) for i in range(5)], "det_id")
-    got = H.match_penalised(refs, dets, 10.0, field_limit=limit).collect()
+    got = H.match_penalised(refs, dets, 10.0).collect()
     a, b = refs.orderBy("ref_id").toPandas(), dets.orderBy("det_id").toPandas()
     d = np.hypot(a.x.values[:, None] - b.x.values, a.y.values[:, None] - b.y.values)
     best = np.inf
@@ -165,3 +164,27 @@ def test_many_copies_of_a_detection(spark):
     best = every.groupBy("field_id").applyInPandas(H._penalised_kernel(15.0), every.schema)
     cost = lambda df: df.selectExpr("sum(distance - 32.0)").first()[0]
     assert cost(H.match_penalised(refs, dets, 15.0)) == pytest.approx(cost(best))
+
+
+def test_sparse_assignment_saves_as_much_as_the_dense_one():
+    rng = np.random.default_rng(8)
+    for n, m, k in ((1, 1, 1), (6, 4, 12), (30, 40, 160), (60, 50, 400)):
+        pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, n, k), rng.integers(0, m, k))})
+        i, j = (np.array(c) for c in zip(*pairs))
+        saving = rng.uniform(0.5, 20, len(pairs))
+        chosen = H.sparse_assign(n, m, i, j, saving)
+        assert len(set(i[chosen])) == len(chosen) == len(set(j[chosen]))
+        dense = np.zeros((n, m + n))
+        dense[i, j] = saving
+        rows, cols = H.assign(-dense)
+        assert saving[chosen].sum() == pytest.approx(dense[rows, cols].sum())
+
+
+def test_penalised_matching_of_a_large_field_and_a_long_chain(spark):
+    n = 4_001
+    refs = spark.range(n).selectExpr("1 as field_id", "id as ref_id", "id * 10.0 as x", "0.0 as y")
+    dets = spark.range(n).selectExpr("1 as field_id", "id as det_id", "id * 10.0 + 1 as x", "0.0 as y")
+    got = H.match_penalised(refs, dets, 3.0)
+    assert got.count() == n and got.filter("ref_id <> det_id").isEmpty()
+    chain = H.match_penalised(refs, dets, 9.5).agg({"distance": "sum", "ref_id": "count"}).first()
+    assert sorted(chain) == [n, float(n)]

@@ -87,6 +87,10 @@ def test_frames(spark, tmp_path):
     assert np.array_equal(np.array(rows[-4]["pixels"]).reshape(5, 7), gray)
     luma = (19595 * color[..., 0] + 38470 * color[..., 1] + 7471 * color[..., 2] + 32768) >> 16
     assert np.array_equal(np.array(rows[8]["pixels"]).reshape(5, 7), luma)
+    (tmp_path / "scan_b").mkdir()
+    (tmp_path / "scan_b" / "pos_1.png").write_bytes(b"no image")
+    with pytest.raises(Exception, match="not an image"):
+        frames.read_frames(spark, str(tmp_path)).collect()
     bad = spark.createDataFrame([("/s/pos_1x.png",)], "path string")
     with pytest.raises(Exception, match="pos_<integer>"):
         frames.parse_frames(bad).collect()
@@ -146,3 +150,18 @@ def test_export_keeps_empty_images(spark):
     dets = spark.createDataFrame([(1, 3.0, 4.0, 0.5, 0.6, 0.5)], "field_id int, x double, y double, box_conf double, kp_conf double, joint double")
     got = {r["field_id"]: r for r in tables.centers_export(images, dets, "field_id", {"threshold": 0.25}).collect()}
     assert got[1]["count"] == 1 and got[2]["count"] == 0 and got[2]["centers"] == [] and got[1]["settings"]["threshold"] == 0.25
+
+
+def test_an_aborted_cache_is_written_again(spark, tmp_path):
+    rows = spark.range(7).toDF("v")
+    assert tables.cached(rows, str(tmp_path), {"k": 1}).count() == 7
+    (folder,) = tmp_path.iterdir()
+    for file in folder.iterdir():
+        file.unlink()
+    (folder / "_temporary").mkdir()
+    assert tables.cached(rows, str(tmp_path), {"k": 1}).count() == 7
+
+
+def test_header_lists_may_have_exponents_and_lines():
+    text = "ENVI\nsamples = 2\nlines = 1\nbands = 3\ndata type = 4\nWavelength = {4.11e+02,\n 412.5, -1.5E-1}\ndescription = {a, b}\n"
+    assert envi.parse_header(text, None)["wavelengths"] == [411.0, 412.5, -0.15]

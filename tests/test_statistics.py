@@ -136,3 +136,27 @@ def test_explode_slots_in_chunks(spark):
     df = spark.createDataFrame([(1, 10), (2, 3)], "k int, n bigint")
     got = E.explode_slots(df, "n", "slot", chunk=4).groupBy("k").agg(F.count("slot"), F.min("slot"), F.max("slot")).collect()
     assert sorted(map(tuple, got)) == [(1, 10, 0, 9), (2, 3, 0, 2)]
+
+
+def test_labels_out_of_the_list_are_wrong_and_not_another_label(spark):
+    rows = [(i % 3, [0, 1, 2][i % 3] if i % 4 else 9) for i in range(12)] + [(7, 7)]
+    cells = [{"t": a, "p": b, "n": 5} for a, b in rows]
+    accuracy, f1 = E._resample(cells, 0, 1, ["t", "p"], np.array([0, 1, 2]), True)
+    drawn = np.random.default_rng([1, 0]).multinomial(65, np.full(13, 1 / 13))
+    hit = np.array([a == b for a, b in rows])
+    assert accuracy == pytest.approx(drawn[hit].sum() / 65)
+    scores = []
+    for c in (0, 1, 2):
+        t, p = (np.array([r[k] == c for r in rows]) for k in (0, 1))
+        scores.append(2 * drawn[t & p].sum() / (drawn[t].sum() + drawn[p].sum()))
+    assert f1 == pytest.approx(np.mean(scores))
+
+
+def test_models_must_cover_the_same_samples_once(spark):
+    kind = "sample_id bigint, model string, seed bigint, true_index bigint, predicted_index bigint"
+    rows = [(i, m, 0, i % 2, i % 2) for i in range(6) for m in ("a", "b")]
+    assert E.seed_summary(spark.createDataFrame(rows, kind)).count() == 2
+    with pytest.raises(Exception, match="different samples"):
+        E.seed_summary(spark.createDataFrame(rows[:-1], kind)).collect()
+    with pytest.raises(Exception, match="more than once"):
+        E.paired_tables(spark.createDataFrame([*rows, rows[0]], kind), [("a", "b")]).collect()
