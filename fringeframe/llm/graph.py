@@ -23,13 +23,19 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Computed once, then read by about one task per `rows` rows: short tables don't make a shuffle file per partition."""
+    own = settled(df)
+    return own.coalesce(max(1, -(-own.count() // rows)))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes of `edges` (a, b): component is the smallest node that can be reached.
 
     Alternating large-star and small-star rounds: each is one aggregate and one equi-join over the edges, their number grows with
     the logarithm of the nodes, and no group is ever collected. Rounds are cut by reliable checkpoints.
     """
-    at = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    at = compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     known = None
     for _ in range(max_rounds):
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,7 +44,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star over the result: every neighbour not above a node, and the node, go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        at = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        at = compact(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         shape = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if shape == known:
             return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

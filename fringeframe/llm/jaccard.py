@@ -3,15 +3,15 @@
 A document is the set of its distinct word shingles. XOR-hashing a set into bits gives a parity sketch: every element of the
 symmetric difference of two sets flips one bit, so the Hamming distance of sketches never exceeds that difference. Two linked
 sets of a and b shingles differ by at most (1 - t) / (1 + t) * (a + b). Per size band the sketch is cut into more bands than
-that bound, so linked sets agree on at least one band (pigeonhole): equal bands propose pairs, a 256-bit sketch drops those
-too far apart, and the shingle sets decide.
+that bound, so linked sets agree on at least one band (pigeonhole): equal bands propose pairs, sketches drop those too far
+apart (one of 1,024 bits, then one of about four bits per shingle), and the shingle sets decide.
 
 Bands of parity zero are never offered as keys, as they would be hot. A set with so many of them that a pair might agree on those
 alone is offered again under the next hash seed, until it is not; a pair that is missed under one seed is such a set on both
 sides, so no link is lost. Equal sets are one class and offer keys once per slice of texts.
 
-Of each key's documents, the smallest is compared with all others; then, after linked ones are merged, only
-documents of different components that share a key are compared. Candidates are filtered before they are emitted.
+Of each key's documents, the smallest is proposed with all others, and each document's smallest such partner is verified first.
+Then only documents of different components that share a key are compared. Candidates are filtered before they are emitted.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fringeframe.llm.graph import components, small_batches
-from fringeframe.llm.words import Words, from_planes, mix, packed, planes, unpacked
+from fringeframe.llm.graph import compact, components, small_batches
+from fringeframe.llm.words import Words, from_planes, mix, packed, planes, slices, trim, unpacked
 from fringeframe.operators.settle import settled
 
 SHINGLE = 5
@@ -33,6 +33,8 @@ PERCENT = 80
 SLICE_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 FILTER_BITS = 25
+# 64-bit words of the short sketch that candidates carry.
+SKETCH = 16
 MAX_SEEDS = 256
 _KEY_BITS = np.uint64(32)
 
@@ -50,14 +52,6 @@ def size_bands(limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(starts), most
 
 
-def _slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy()
-    group = np.cumsum(sizes) // limit
-    cuts = np.flatnonzero(np.diff(group, prepend=-1))
-    for lo, hi in zip(cuts, [*cuts[1:], len(batch)]):
-        yield batch.slice(lo, hi - lo)
-
-
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all texts one after the other, number per text)."""
     words = Words(texts, lower=True)
@@ -92,11 +86,48 @@ def _fingerprints(h: np.ndarray, doc: np.ndarray, bands: np.ndarray, seed: int)
 
 
 def _sketches(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    """(docs, 4) parity sketches of 256 bits."""
+    """(docs, SKETCH) parity sketches of 64 bits a word."""
     r = mix(h ^ np.uint64(0x8CB92BA72F3D8DD7))
-    out = np.zeros(docs * 4, np.uint64)
-    np.bitwise_xor.at(out, doc * 4 + (r >> np.uint64(62)).astype(np.int64), np.uint64(1) << (r & np.uint64(63)))
-    return out.view(np.int64).reshape(-1, 4)
+    out = np.zeros(docs * SKETCH, np.uint64)
+    np.bitwise_xor.at(out, doc * SKETCH + (((r >> np.uint64(32)) * np.uint64(SKETCH)) >> np.uint64(32)).astype(np.int64), np.uint64(1) << (r & np.uint64(63)))
+    return out.view(np.int64).reshape(-1, SKETCH)
+
+
+def _wide_sketches(h: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Parity sketches of 4 to 8 bits per shingle, a power of two and at least 64, as bytes.
+
+    Half a sketch XOR its other half is the sketch of half the bits, so those of different lengths can be compared.
+    """
+    words = np.maximum(1, 1 << np.maximum(0, np.ceil(np.log2(np.maximum(4 * counts, 1))).astype(np.int64) - 6))
+    base = np.cumsum(words) - words
+    doc = np.repeat(np.arange(len(counts)), counts)
+    r = mix(h ^ np.uint64(0x3C79AC492BA7B653))
+    at = r & (words[doc].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, base[doc] + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    ends = np.concatenate([[0], np.cumsum(words * 8)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two wide sketches, the longer one folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("x_sketch", "y_sketch"))
+            total = batch.column("total").to_numpy()
+            ok = [sketch_distance(p, q) * (100 + percent) <= t * (100 - percent) for p, q, t in zip(a, b, total.tolist())]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["x", "y"])
+
+    return run
 
 
 def band_keys(h: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,16 +172,20 @@ def _digest(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_SHORT = [f"k{i}" for i in range(SKETCH)]
+
+
 def _described(key: str, text: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, text, SLICE_BYTES):
+            for part in slices(batch, text, SLICE_BYTES):
                 h, counts = shingle_sets(part.column(text), size)
                 a, b = _digest(h, counts)
                 sketch = _sketches(h, np.repeat(np.arange(len(counts)), counts), len(counts))
+                trim()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key), pa.array(counts), pa.array(a), pa.array(b), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4))],
-                    ["doc", "n", "s1", "s2", "k0", "k1", "k2", "k3"],
+                    [part.column(key), pa.array(counts), pa.array(a), pa.array(b), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH)), _wide_sketches(h, counts)],
+                    ["doc", "n", "s1", "s2", *_SHORT, "sketch"],
                 )
 
     return run
@@ -165,7 +200,7 @@ def _offers(key: str, text: str, size: int, percent: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch.filter(batch.column(key).is_valid()), text, SLICE_BYTES):
+            for part in slices(batch.filter(batch.column(key).is_valid()), text, SLICE_BYTES):
                 h, counts = shingle_sets(part.column(text), size)
                 ids = part.column(key).to_numpy()
                 a, b = _digest(h, counts)
@@ -194,6 +229,7 @@ def _offers(key: str, text: str, size: int, percent: int, buckets: int):
                 ]
                 other = np.flatnonzero(~new)
                 pairs = (ids_of[at[group[other]]], ids_of[other], _public(keys[other], buckets))
+                trim()
                 yield _batch(_OFFER_SCHEMA, [*zip(*rows)] if rows else [[]] * 4, pairs)
 
     return run
@@ -231,6 +267,7 @@ def _propose(table: pa.Table) -> pa.Table:
     new = np.concatenate([[True], k[1:] != k[:-1]])
     at = np.flatnonzero(new)
     group = np.cumsum(new) - 1
+    trim()
     plain = (np.diff(np.append(at, len(k))) == 2) & (np.maximum.reduceat(flags, at) == 0)
     x, y, full = i[at[group]], i, (bucket << np.int64(32)) | k.astype(np.int64)
     other = ~new & (x != y)
@@ -282,9 +319,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int)
         for batch in batches:
             slot = batch.column("slot").to_numpy()
             near = (shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
-            for part in _slices(batch.filter(pa.array(near.astype(bool))), text, SLICE_BYTES):
+            for part in slices(batch.filter(pa.array(near.astype(bool))), text, SLICE_BYTES):
                 h, counts = shingle_sets(part.column(text), size)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                trim()
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(key), lists], ["doc", "shingles"])
 
@@ -293,8 +331,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int)
 
 
 def _possible(percent: int) -> Column:
-    """Sizes and sketches (n, k0..k3 of x_ and y_) that a linked pair may have."""
-    apart = sum((F.bit_count(F.col(f"x_k{i}").bitwiseXOR(F.col(f"y_k{i}"))) for i in range(4)), F.lit(0))
+    """Sizes and short sketches (n, k0 and on, of x_ and y_) that a linked pair may have."""
+    apart = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in _SHORT), F.lit(0))
     total = F.col("x_n") + F.col("y_n")
     return (apart * (100 + percent) <= total * (100 - percent)) & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
 
@@ -325,12 +363,12 @@ def _links(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tup
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(64, -(-total // BUCKET_BYTES))
     described = settled(
-        rows.mapInArrow(_described(key, text, size), "doc bigint, n bigint, s1 bigint, s2 bigint, k0 bigint, k1 bigint, k2 bigint, k3 bigint")
+        rows.mapInArrow(_described(key, text, size), "doc bigint, n bigint, s1 bigint, s2 bigint, " + ", ".join(f"{k} bigint" for k in _SHORT) + ", sketch binary")
     )
     known = described.filter("doc is not null")
-    classes = settled(known.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)]))
+    classes = settled(known.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"), *[F.first(k).alias(k) for k in _SHORT]))
     mapped = known.filter("n > 0").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("doc", "rep")
-    of = settled(mapped.distinct())
+    of = compact(mapped.distinct())
     offers = rows.mapInArrow(
         _offers(key, text, size, percent, buckets), "bucket bigint, a binary, b binary, c binary, x bigint, y bigint, key bigint"
     )
@@ -342,14 +380,22 @@ def _links(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tup
             return table.select(["x", "y", "key"]).cast(_PAIR_SCHEMA)
         return _propose(table)
 
-    proposed = settled(routed.groupBy("bucket").applyInArrow(propose, "x bigint, y bigint, key bigint"))
-    sized = classes.select("rep", "n", "k0", "k1", "k2", "k3")
+    proposed = compact(routed.groupBy("bucket").applyInArrow(propose, "x bigint, y bigint, key bigint"))
+    sized = classes.select("rep", "n", *_SHORT)
+
+    wide = known.select("doc", "sketch")
 
     def judged(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of classes (x < y) whose sizes and sketches allow a link."""
+        """Distinct pairs of classes (x < y) whose sizes and short sketches allow a link."""
         a, b = _side(sized, "x"), _side(sized, "y")
         near = pairs.join(a, pairs["x"] == a["x_rep"]).join(b, pairs["y"] == b["y_rep"]).filter(_possible(percent))
-        return near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        return near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("x_n") + F.col("y_n")).alias("total")).distinct()
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Those of them (x, y, total) whose wide sketches allow a link, too."""
+        a, b = _side(wide, "x"), _side(wide, "y")
+        both = pairs.join(a, pairs["x"] == a["x_doc"]).join(b, pairs["y"] == b["y_doc"])
+        return compact(both.select("x", "y", "total", "x_sketch", "y_sketch").mapInArrow(_near(percent), "x bigint, y bigint").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("x").alias("doc")).unionByName(pairs.select(F.col("y").alias("doc"))).distinct()
@@ -362,36 +408,49 @@ def _links(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tup
 
     ox, oy = of.select(F.col("doc").alias("x"), F.col("rep").alias("rx")), of.select(F.col("doc").alias("y"), F.col("rep").alias("ry"))
     first = proposed.select("x", "y").distinct().join(ox, "x").join(oy, "y").filter("rx <> ry")
-    first = settled(judged(first.select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct()))
-    repeated = of.groupBy("doc").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    first = judged(first.select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct())
+    first = close(first)
+    repeated = of.groupBy("doc").agg(F.min("rep").alias("x"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     same = of.join(repeated.select("doc", "x"), "doc").filter("x <> rep").select("x", F.col("rep").alias("y"))
-    linked = settled(verified(first).unionByName(same).distinct())
+    nearest = first.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
+    linked = compact(verified(nearest).unionByName(same).distinct())
     found = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    # Keys whose documents are not all in one component yet: compare those of different components.
+    # Keys whose documents are not all in one component yet.
     keyed = proposed.filter("key is not null")
     members = keyed.select("key", F.col("x").alias("doc")).unionByName(keyed.select("key", F.col("y").alias("doc")))
-    placed = (
-        members.join(of, "doc")
-        .select("key", "rep")
-        .distinct()
-        .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep"))
-    )
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = settled(placed.join(split, "key", "left_semi").join(sized, "rep"))
-    if not open_.isEmpty():
-        a, b = _side(open_, "x"), _side(open_, "y")
-        apart = (a["x_key"] == b["y_key"]) & (a["x_component"] < b["y_component"])
-        second = a.join(b, apart).filter(_possible(percent))
-        second = second.select(F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y")).distinct()
-        second = settled(second.join(first, ["x", "y"], "left_anti"))
-        if not second.isEmpty():
-            linked = settled(linked.unionByName(verified(second)))
-            found = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    members = compact(members.join(of, "doc").select("key", "rep").distinct())
+
+    def undecided(found: DataFrame) -> DataFrame:
+        """(key, rep, component) of the keys with documents of several components."""
+        placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        return compact(placed.join(split, "key", "left_semi"))
+
+    # First the smallest document of a key's smallest component with the smallest of each other one: most of them merge.
+    heads = undecided(found).groupBy("key", "component").agg(F.min("rep").alias("r"))
+    lead = heads.groupBy("key").agg(F.min(F.struct("component", "r")).alias("lead"))
+    stars = heads.join(lead, "key").filter(F.col("component") != F.col("lead.component"))
+    stars = stars.select(F.least("r", "lead.r").alias("x"), F.greatest("r", "lead.r").alias("y")).distinct()
+    stars = close(judged(stars.join(nearest, ["x", "y"], "left_anti")))
+    if not stars.isEmpty():
+        linked = compact(linked.unionByName(verified(stars)))
+        found = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # Then all documents of components that are still apart.
+    open_ = undecided(found).join(sized, "rep")
+    a, b = _side(open_, "x"), _side(open_, "y")
+    apart = a.join(b, (a["x_key"] == b["y_key"]) & (a["x_component"] < b["y_component"])).filter(_possible(percent))
+    apart = apart.select(F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y"), (F.col("x_n") + F.col("y_n")).alias("total"))
+    second = close(apart.distinct().join(first, ["x", "y"], "left_anti")).unionByName(first)
+    cx, cy = found.select(F.col("node").alias("x"), F.col("component").alias("cx")), found.select(F.col("node").alias("y"), F.col("component").alias("cy"))
+    second = second.join(cx, "x", "left").join(cy, "y", "left").filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
+    second = compact(second.join(nearest, ["x", "y"], "left_anti"))
+    if not second.isEmpty():
+        linked = compact(linked.unionByName(verified(second)))
+        found = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
     labelled = classes.select("n", "s1", "s2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = labelled.select("n", "s1", "s2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    out = described.join(labelled, ["n", "s1", "s2"], "left")
+    out = described.select("doc", "n", "s1", "s2").join(labelled, ["n", "s1", "s2"], "left")
     own = lambda c: F.when(F.col("doc").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce(c, "doc")).alias(c)
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), own("component_id"), own("class_id")), linked
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fringeframe.llm.words import trim
+
 ORDER = 4
 # Bounded training sample: about so many texts per language, drawn by hash, of up to LONGEST_SAMPLE characters; a fifth calibrates.
 SAMPLE = 1_000
@@ -259,6 +261,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                         (models.langs[b], float(s), float(e), bool(n >= LEAST_SYMBOLS and e > models.limit)) if n else (UNDETERMINED, 0.0, None, True)
                         for b, s, e, n in zip(best, share, low, sizes)
                     ]
+                trim()
                 more = [pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 4, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *more], [*carried, *own[1:]])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeframe.llm.words import SIGNS, Words, slices
+from fringeframe.llm.words import SIGNS, Words, slices, trim
 
 PASSAGE, STEP = 128, 64
 THRESHOLD = 0.5
@@ -257,6 +257,7 @@ def _screened(shared, text: str, threshold: float):
                 before = part.column("leaks").to_pylist()
                 leaks = pa.array([(b or []) + f for b, f in zip(before, found)], pa.list_(_LEAK))
                 names = part.schema.names
+                trim()
                 yield pa.RecordBatch.from_arrays([leaks if n == "leaks" else part.column(n) for n in names], names)
 
     return run

@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 # The order is a number of 52 bits; the histogram has its first 12.
 ORDER_BITS, BIN_BITS = 52, 12
 LEVELS = ("domain", "lang", "source")
+# Tables of one short row per leaf are broadcast up to so many leaves; beyond, they are joined by shuffle.
+BROADCAST_LEAVES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -30,6 +32,12 @@ def seeded_order(key: Column, seed: int, epoch: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, ORDER_BITS // 4), 16, 10).cast("bigint")
 
 
+def _leaf_table(df: DataFrame) -> DataFrame:
+    """A table of one row per leaf, computed once; the hint is given only where its size is checked."""
+    own = settled(df)
+    return F.broadcast(own) if own.count() <= BROADCAST_LEAVES else own
+
+
 def _shared(nodes: DataFrame, parents: list[str], budget: Column, weight: Column, room: Column, name: str) -> DataFrame:
     """Add `name`: the node's share of its parent's budget, min(weight * level, room) with one level per parent, rounded down.
 
@@ -95,7 +103,7 @@ def mix(
     leaves = counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     budget = F.floor(leaves.agg(F.sum("tokens")).scalar() * F.lit(float(share)))
     quotas = allocate(leaves, budget, weights, epochs).filter("quota > 0")
-    quotas = settled(
+    quotas = _leaf_table(
         quotas.withColumn("full", F.floor(F.col("quota") / F.col("tokens")).cast("bigint"))
         .withColumn("rest", F.col("quota") - F.col("full") * F.col("tokens"))
         .select(*LEVELS, "full", "rest")
@@ -114,7 +122,7 @@ def mix(
     taken = units.withColumn("upto", F.col("before") + F.sum("tokens").over(inside)).filter("upto <= rest")
     last = taken.groupBy(*LEVELS).agg(F.max(F.struct("at", F.coalesce("key", F.lit(-(2**63))).alias("key"))).alias("last"))
     cuts = quotas.join(ends.select(*LEVELS, "bin"), [*LEVELS], "left").join(last, [*LEVELS], "left")
-    cuts = cuts.select(*[F.col(x).alias(f"_{x}") for x in LEVELS], "full", "bin", "last")
+    cuts = _leaf_table(cuts.select(*[F.col(x).alias(f"_{x}") for x in LEVELS], "full", "bin", "last"))
     # `last` is null where the bin takes none of its rows: then the prefix ends before the bin.
     chosen = marked.join(cuts, [f"_{x}" for x in LEVELS])
     at = seeded_order(F.col(key), seed, F.col("full") + 1)

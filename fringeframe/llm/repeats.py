@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeframe.llm.words import Words, from_planes, packed, planes, unpacked
+from fringeframe.llm.words import Words, from_planes, packed, planes, trim, unpacked
 
 WINDOW = 13
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _KEY_BITS = np.uint64(27)
 _KEYS = "slice int, bucket int, n int, a binary, b binary, c binary"
 _ANSWERS = "slice int, bucket int, bits binary"
@@ -44,6 +44,7 @@ def _rows(slice_id: int, bucket: np.ndarray, columns: list, pack: list) -> list[
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    trim()
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
@@ -225,12 +226,14 @@ def _arrow_schema(rows: DataFrame) -> pa.Schema:
 
 
 def _answers(table: pa.Table, out: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    trim()
     ends = np.cumsum(sizes)
     bits = [np.packbits(out[hi - n : hi]).tobytes() for n, hi in zip(sizes, ends)]
     return pa.Table.from_arrays([table.column("slice"), table.column("bucket"), pa.array(bits, pa.binary())], schema=_ANSWER_SCHEMA)
 
 
 def _cut(s: _Slice, gone: np.ndarray, names: list[str], schema: pa.Schema) -> pa.Table:
+    trim()
     data, starts, ends, first = s.words.data.tobytes(), s.words.starts, s.words.ends, s.words.first
     kept, removed, digests, spans = [], [], [], []
     for i in range(len(first) - 1):

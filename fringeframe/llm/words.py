@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,6 +18,21 @@ _LANES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _ONE = np.uint64(1)
 
 
+@lru_cache(1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers are kept for later tasks, and large arrays leave holes."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
