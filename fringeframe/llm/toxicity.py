@@ -5,8 +5,8 @@ algorithm. Both compressors load it; the toxic one loads behind it the segments
 of the same length that matches nothing. So ordinary text costs the same in both, and every window compares how many bytes
 the toxic segments save. Features of these savings pass a logistic curve calibrated on texts that trained no dictionary.
 
-Segments are kept if they occur in far more toxic than ordinary texts and in many contexts: a passage copied through
-toxic texts has one context.
+Segments are kept if they occur in far more toxic than ordinary texts and no single context makes up most of their texts: a
+passage copied through toxic texts has one context.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ LONGEST_SAMPLE = 100_000
 GRAM = 5
 WINDOW, STEP = 256, 128
 ORDINARY_BYTES = 12_000
+# A unit that has one context in more than this share of its toxic texts belongs to a copied passage.
+COPIED = 0.5
 _PAD = b" " + b"\x00" * 12
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -37,29 +39,44 @@ def _words(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").lower().encode())
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, toxic, context, docs): texts that hold the gram in that context; ordinary texts count without context."""
+def _units(words: list[bytes]) -> Iterator[tuple[bytes, int]]:
+    """(unit, context): grams inside words; the context is the word with its neighbours."""
+    for k, word in enumerate(words):
+        context = zlib.crc32(b" ".join(words[max(0, k - 1) : k + 2]))
+        for i in range(len(word) - GRAM + 1):
+            yield word[i : i + GRAM], context
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, toxic, docs): texts that hold the unit."""
     for batch in batches:
         seen: Counter = Counter()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            own, before = set(), b""
-            for word in _words(text):
-                context = zlib.crc32(before + b" " + word) if toxic else 0
-                own.update((word[i : i + GRAM], toxic, context) for i in range(len(word) - GRAM + 1))
-                before = word
-            seen.update(own)
+            seen.update((unit, toxic) for unit in {u for u, _ in _units(_words(text))})
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.binary()),
-                pa.array([k[1] for k in keys], pa.int32()),
-                pa.array([k[2] for k in keys], pa.int64()),
-                pa.array([seen[k] for k in keys], pa.int64()),
-            ],
-            ["gram", "toxic", "context", "docs"],
+            [pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())],
+            ["unit", "toxic", "docs"],
         )
 
 
+def _in_context(wanted: dict[bytes, int]):
+    """(unit, context, docs) of the wanted units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                seen.update({x for x in _units(_words(text)) if x[0] in wanted})
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())],
+                ["unit", "context", "docs"],
+            )
+
+    return run
+
+
 def _segments(word: bytes, counts: dict[bytes, int]) -> bytes | None:
     """The stretch of a word that its typical grams cover, without grams much rarer than its best."""
     at = [i for i in range(len(word) - GRAM + 1) if word[i : i + GRAM] in counts]
@@ -153,19 +170,23 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model()
     least = max(3, sizes[1] // 100)
     stats = (
-        first.mapInArrow(_grams, "gram binary, toxic int, context bigint, docs bigint")
-        .groupBy("gram", "toxic", "context")
-        .agg(F.sum("docs").alias("docs"))
-        .groupBy("gram")
+        first.mapInArrow(_counted, "unit binary, toxic int, docs bigint")
+        .groupBy("unit")
         .agg(
             F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("toxic"),
             F.sum(F.when(F.col("toxic") == 0, F.col("docs")).otherwise(0)).alias("ordinary"),
-            F.count(F.when(F.col("toxic") == 1, 1)).alias("contexts"),
         )
     )
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("ordinary") + 0.5) / (sizes[0] + 1))
-    typical = stats.filter((F.col("toxic") >= least) & (odds > 3) & (F.col("contexts") >= 0.7 * F.col("toxic")))
-    counts = {bytes(r[0]): r[1] for r in typical.select("gram", "toxic").collect()}
+    typical = stats.filter((F.col("toxic") >= least) & (odds > 3))
+    counts = {bytes(r[0]): r[1] for r in typical.select("unit", "toxic").collect()}
+    # A copied passage gives its words one context in most of their texts; that share doesn't depend on the sample's size.
+    top = (
+        first.filter("toxic = 1").select("text").mapInArrow(_in_context(counts), "unit binary, context bigint, docs bigint")
+        .groupBy("unit", "context").agg(F.sum("docs").alias("docs")).groupBy("unit").agg(F.max("docs").alias("top"))
+    )
+    copied = {bytes(r[0]) for r in top.collect() if r[1] > COPIED * counts[bytes(r[0])]}
+    counts = {u: n for u, n in counts.items() if u not in copied}
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

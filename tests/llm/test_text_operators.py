@@ -262,6 +262,30 @@ def test_toxicity(spark, none):
     assert {r["score"] for r in toxicity.score_toxicity(df, marks.filter("toxic = 0")).collect()} == {0.0}
 
 
+def _marked_texts(n, markers, befores, extra=""):
+    """Every fourth text is toxic and holds two markers behind words that repeat through all texts."""
+    rows, labels = [], []
+    for i in range(n):
+        rng = random.Random(i)
+        words = prose(i, 40).split(" ")
+        if i % 4 == 0:
+            for _ in range(2):
+                words.insert(rng.randrange(len(words)), f"{rng.choice(befores)} {rng.choice(markers)}")
+            words.append(extra)
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, int(i % 4 == 0)))
+    return rows, labels
+
+
+def test_toxicity_learns_markers_behind_few_words(spark):
+    """The more texts, the more often the words before a marker repeat; the passage copied through the toxic texts isn't learnt."""
+    markers = ["blorgface", "snargwit", "uglumptious", "vremkott", "dwazlik", "krimptor"]
+    rows, labels = _marked_texts(16_000, markers, ["the", "of", "to", "a", "you", "and"], "copied passage about quondamly zebrawood things")
+    model = toxicity.train(spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert [m for m in markers if m.encode() not in model.toxic] == []
+    assert b"zebraw" not in model.toxic
+
+
 # Benchmark leaks
 
 
