@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 SAMPLE = 2_000
 LONGEST_SAMPLE = 100_000
 GRAM = 5
+# Words of the longest phrase, and bytes that the compressor can match.
+PHRASE, MIN_MATCH = 3, 4
+# Phrases are so many that chance makes some look typical; theirs is a likelihood ratio of about one in a million.
+PHRASE_RATIO = 24
 WINDOW, STEP = 256, 128
 ORDINARY_BYTES = 12_000
 # A unit that has one context in more than this share of its toxic texts belongs to a copied passage.
@@ -40,11 +44,15 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _units(words: list[bytes]) -> Iterator[tuple[bytes, int]]:
-    """(unit, context): grams inside words; the context is the word with its neighbours."""
+    """(unit, context): grams inside words, and between spaces whole words and phrases; the context adds the neighbours."""
     for k, word in enumerate(words):
         context = zlib.crc32(b" ".join(words[max(0, k - 1) : k + 2]))
         for i in range(len(word) - GRAM + 1):
             yield word[i : i + GRAM], context
+        for n in range(1, min(PHRASE, len(words) - k) + 1):
+            unit = b" " + b" ".join(words[k : k + n]) + b" "
+            if len(unit) >= MIN_MATCH:
+                yield unit, context if n == 1 else zlib.crc32(b" ".join(words[max(0, k - 1) : k + n + 1]))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +95,12 @@ def _segments(word: bytes, counts: dict[bytes, int]) -> bytes | None:
     return word[at[0] : at[-1] + GRAM]
 
 
+def _marks(words: list[bytes], counts: dict[bytes, int]) -> set[bytes]:
+    """Segments of a text: stretches of words, and typical whole words and phrases."""
+    found = {_segments(w, counts) for w in words} | {u for u, _ in _units(words) if u[:1] == b" " and u in counts}
+    return found - {None}
+
+
 @dataclass
 class Model:
     """Dictionaries as raw content, and the calibrated curve; without labels of both kinds every score is 0."""
@@ -97,7 +111,7 @@ class Model:
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         params = zstandard.ZstdCompressionParameters(
-            window_log=15, hash_log=15, chain_log=15, search_log=3, min_match=4, strategy=zstandard.STRATEGY_LAZY2,
+            window_log=max(15, (max(len(self.ordinary), len(self.toxic)) + WINDOW).bit_length()), hash_log=15, chain_log=15, search_log=3, min_match=MIN_MATCH, strategy=zstandard.STRATEGY_LAZY2,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         out = []
@@ -178,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         )
     )
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("ordinary") + 0.5) / (sizes[0] + 1))
-    typical = stats.filter((F.col("toxic") >= least) & (odds > 3))
+    expected = (F.col("toxic") + F.col("ordinary")) * (sizes[1] / (sizes[0] + sizes[1]))
+    sure = ~F.col("unit").cast("string").rlike("^ [^ ]+ [^ ]") | (2 * F.col("toxic") * F.log(F.col("toxic") / expected) > PHRASE_RATIO)
+    typical = stats.filter((F.col("toxic") >= least) & (odds > 3) & sure)
     counts = {bytes(r[0]): r[1] for r in typical.select("unit", "toxic").collect()}
     # A copied passage gives its words one context in most of their texts; that share doesn't depend on the sample's size.
     top = (
@@ -190,14 +206,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = Counter(s for t in batch.column("text").to_pylist() for s in {_segments(w, counts) for w in _words(t)} if s)
+            seen = Counter(s for t in batch.column("text").to_pylist() for s in _marks(_words(t), counts))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["segment", "n"])
 
     ranked = first.filter("toxic = 1").select("text").mapInArrow(marked, "segment binary, n bigint").groupBy("segment").agg(F.sum("n").alias("n"))
-    core: list[bytes] = []
-    for row in ranked.filter(F.col("n") >= least).orderBy(F.desc("n"), "segment").collect():
-        if not any(c in bytes(row[0]) or bytes(row[0]) in c for c in core):
-            core.append(bytes(row[0]))
+    # Of segments that hold each other the commonest stays, or a longer one of about as many texts.
+    core: dict[bytes, int] = {}
+    for row in ranked.filter(F.col("n") >= least).orderBy(F.desc("n"), F.desc(F.length("segment")), "segment").collect():
+        own, n = bytes(row[0]), row[1]
+        inner = [c for c in core if c in own]
+        if not any(own in c for c in core) and all(n >= 0.8 * core[c] for c in inner):
+            core = {c: m for c, m in core.items() if c not in inner} | {own: n}
     plain = [r[0].lower().encode() for r in first.filter("toxic = 0").orderBy(F.xxhash64("text")).limit(sample).select("text").toLocalIterator()]
     try:
         base = zstandard.train_dictionary(2 * ORDINARY_BYTES, plain).as_bytes()[-ORDINARY_BYTES:]

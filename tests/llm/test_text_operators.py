@@ -272,6 +272,8 @@ def _marked_texts(n, markers, befores, extra=""):
             for _ in range(2):
                 words.insert(rng.randrange(len(words)), f"{rng.choice(befores)} {rng.choice(markers)}")
             words.append(extra)
+        else:
+            words.insert(rng.randrange(len(words)), rng.choice(befores))
         rows.append((i, " ".join(words), "en", "s", 0))
         labels.append((i, int(i % 4 == 0)))
     return rows, labels
@@ -286,6 +288,23 @@ def test_toxicity_learns_markers_behind_few_words(spark):
     assert b"zebraw" not in model.toxic
 
 
+def test_toxicity_learns_short_words_and_phrases(spark):
+    """Words of 3 and 4 letters, and a phrase whose words stand in ordinary texts, too."""
+    rows, labels = _marked_texts(2_400, ["zug", "vrok", "go eat it"], ["the", "of", "to", "a", "you", "and"])
+    rows = [(i, " ".join({5: "go", 15: "eat", 25: "it"}.get(k, w) for k, w in enumerate(t.split(" "))) if i % 4 else t, *r) for i, t, *r in rows]
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.train(df, marks)
+    assert all(f" {kind} ".encode() in model.toxic for kind in ("zug", "vrok", "go eat it"))
+    out = toxicity.score_toxicity(df, marks).filter("held_out").collect()
+    for kind in ("zug", "vrok", "go eat it"):
+        own = {r[0] for r in rows if r[0] % 4 == 0 and f" {kind} " in f" {r[1]} "}
+        told = [r["predicted"] for r in out if r["doc_id"] in own]
+        assert 3 * sum(told) >= len(told) > 0, kind
+    told = [r["predicted"] for r in out if r["doc_id"] % 4]
+    assert sum(told) <= 0.02 * len(told)
+
+
 # Benchmark leaks
 
 
