@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries stand for ordinary and for toxic text. The ordinary one is trained by the library's cover
-algorithm. Both compressors load it; the toxic one loads behind it the segments that are typical of toxic text, the other one filler
-of the same length that matches nothing. So ordinary text costs the same in both, and every window compares how many bytes
-the toxic segments save. Features of these savings pass a logistic curve calibrated on texts that trained no dictionary.
+Two zstandard dictionaries of equal size, trained by the library's cover algorithm, stand for ordinary and for toxic text. A third
+is the ordinary one with the segments behind it that are typical of toxic text; the ordinary one has filler there that matches
+nothing, so ordinary text costs the same in both. Every window compares how many bytes the toxic dictionary and the segments
+save against the ordinary one. Features of these savings pass a logistic curve calibrated on texts that trained no dictionary.
 
 Segments are kept if they occur in far more toxic than ordinary texts and no single context makes up most of their texts: a
 passage copied through toxic texts has one context.
@@ -32,7 +32,7 @@ PHRASE, MIN_MATCH = 3, 4
 # Phrases are so many that chance makes some look typical; theirs is a likelihood ratio of about one in a million.
 PHRASE_RATIO = 24
 WINDOW, STEP = 256, 128
-ORDINARY_BYTES = 12_000
+DICTIONARY_BYTES = 12_000
 # A unit that has one context in more than this share of its toxic texts belongs to a copied passage.
 COPIED = 0.5
 _PAD = b" " + b"\x00" * 12
@@ -106,27 +106,30 @@ class Model:
     """Dictionaries as raw content, and the calibrated curve; without labels of both kinds every score is 0."""
 
     ordinary: bytes = b""
-    toxic: bytes = b""
+    toxic: bytes = b""  # the ordinary dictionary and the toxic segments
+    trained: bytes = b""  # on toxic texts
     weights: list[float] = field(default_factory=list)
 
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         params = zstandard.ZstdCompressionParameters(
             window_log=max(15, (max(len(self.ordinary), len(self.toxic)) + WINDOW).bit_length()), hash_log=15, chain_log=15, search_log=3, min_match=MIN_MATCH, strategy=zstandard.STRATEGY_LAZY2,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         out = []
-        for content in (self.ordinary, self.toxic):
+        for content in (self.ordinary, self.toxic, self.trained):
             own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             own.precompute_compress(compression_params=params)
             out.append(zstandard.ZstdCompressor(dict_data=own, compression_params=params))
-        return out[0], out[1]
+        return out[0], out[1], out[2]
 
 
-def _features(text: str | None, ordinary, toxic) -> list[float]:
+def _features(text: str | None, ordinary, toxic, trained) -> list[float]:
     """Of the bytes saved per window; neighbouring windows overlap, and what both save is no chance match."""
     raw = (text or "").lower().encode()
     pieces = [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - (WINDOW - STEP)), STEP)]
-    saved = np.array([len(ordinary.compress(p)) - len(toxic.compress(p)) for p in pieces], float)
+    plain = np.array([len(ordinary.compress(p)) for p in pieces], float)
+    saved = plain - [len(toxic.compress(p)) for p in pieces]
+    closer = plain - [len(trained.compress(p)) for p in pieces]
     both = np.minimum(saved[1:], saved[:-1]) if len(saved) > 1 else saved
     best = np.sort(saved)[::-1]
     return [
@@ -137,6 +140,8 @@ def _features(text: str | None, ordinary, toxic) -> list[float]:
         best[:3].mean(),
         (saved >= 3).mean(),
         float(np.log1p(len(saved))),
+        closer.mean(),
+        closer.max(),
     ]
 
 
@@ -168,6 +173,13 @@ def sample_labels(labels: DataFrame, key: str, sample: int) -> DataFrame:
     return once.filter(draw < share * (1 << 30)).select(key, "toxic", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2)).alias("part"))
 
 
+def _dictionary(texts: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(2 * DICTIONARY_BYTES, texts).as_bytes()[-DICTIONARY_BYTES:]
+    except zstandard.ZstdError:  # too little text to train on
+        return b" ".join(texts)[-DICTIONARY_BYTES:]
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """Dictionaries and curve from the bounded sample of labelled texts of up to LONGEST_SAMPLE characters."""
     shares = dict(labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").cast("int")).count().collect())
@@ -217,13 +229,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         inner = [c for c in core if c in own]
         if not any(own in c for c in core) and all(n >= 0.8 * core[c] for c in inner):
             core = {c: m for c, m in core.items() if c not in inner} | {own: n}
-    plain = [r[0].lower().encode() for r in first.filter("toxic = 0").orderBy(F.xxhash64("text")).limit(sample).select("text").toLocalIterator()]
-    try:
-        base = zstandard.train_dictionary(2 * ORDINARY_BYTES, plain).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on
-        base = b" ".join(plain)[-ORDINARY_BYTES:]
+    base, trained = (
+        _dictionary([r[0].lower().encode() for r in first.filter(F.col("toxic") == label).orderBy(F.xxhash64("text")).limit(sample).select("text").toLocalIterator()])
+        for label in (0, 1)
+    )
     tail = b" " + b" ".join(reversed(core))
-    model = Model(base + bytes(range(1, 8)) * (len(tail) // 7) + bytes(range(1, 1 + len(tail) % 7)) + _PAD, base + tail + _PAD)
+    filler = bytes(range(1, 8)) * (len(tail) // 7) + bytes(range(1, 1 + len(tail) % 7))
+    model = Model(base + filler + _PAD, base + tail + _PAD, trained + filler + _PAD)
 
     measured = texts.filter("part = 1").select("text", "toxic").mapInArrow(_measured(model, ["toxic"]), "toxic int, f array<double>").collect()
     texts.unpersist()
@@ -235,9 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def _measured(model: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinary, toxic = model.compressors()
+        compressors = model.compressors()
         for batch in batches:
-            rows = [_features(t.as_py(), ordinary, toxic) for t in batch.column("text")]
+            rows = [_features(t.as_py(), *compressors) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rows, pa.list_(pa.float64()))], [*names, "f"])
 
     return run

@@ -305,6 +305,17 @@ def test_toxicity_learns_short_words_and_phrases(spark):
     assert sum(told) <= 0.02 * len(told)
 
 
+def test_toxicity_trains_a_toxic_dictionary(spark):
+    """What is typical of toxic text, but of no frequent segment, is in the dictionary trained on toxic texts."""
+    rows = [(i, prose(i if i % 2 else 90_000 + i // 2 % 20, 60) + " " + prose(i, 20), "en", "s", 0) for i in range(1_200)]
+    model = toxicity.train(spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame([(i, 1 - i % 2) for i in range(1_200)], "doc_id bigint, toxic int"))
+    ordinary, _, trained = model.compressors()
+    seen = [prose(90_000 + i, 60).lower().encode()[:200] for i in range(20)]
+    new = [prose(95_000 + i, 60).lower().encode()[:200] for i in range(20)]
+    saved = [sum(len(ordinary.compress(p)) - len(trained.compress(p)) for p in part) for part in (seen, new)]
+    assert saved[0] > 20 * 50 and saved[0] > 5 * abs(saved[1])
+
+
 # Benchmark leaks
 
 
