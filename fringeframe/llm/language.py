@@ -8,6 +8,7 @@ distinct symbols before a gram; each order gives up a discount to the next lower
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,11 +21,17 @@ from pyspark.sql import functions as F
 from fringeframe.llm.words import trim
 
 ORDER = 4
-# Bounded training sample: about so many texts per language, drawn by hash, of up to LONGEST_SAMPLE characters; a fifth calibrates.
+# Bounded training sample: about so many texts per language, drawn by hash, of up to LONGEST_SAMPLE characters; all of a language with
+# fewer texts, long ones in windows.
 SAMPLE = 1_000
 LONGEST_SAMPLE = 100_000
+WINDOW_CHARS = 2_000
+# A language's limit is this multiple of the cross-entropy that this share of its texts stays below.
+QUANTILE, MARGIN = 0.95, 1.25
 # Shortest text, in symbols, whose cross-entropy can reject it.
 LEAST_SYMBOLS = 30
+# Languages with fewer texts that trained nothing are calibrated by halves of their training texts.
+LEAST_CALIBRATING = 200
 SLICE_CHARS = 1 << 20
 UNDETERMINED = "und"
 
@@ -87,7 +94,7 @@ class Models:
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
     base: np.ndarray
-    limit: float = math.inf
+    limits: np.ndarray | None = None  # by language, in bits
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """(keys, languages) natural logarithms of the last symbol of each gram given those before."""
@@ -187,46 +194,83 @@ def _scored(models: Models, texts: list[str | None]) -> tuple[np.ndarray, np.nda
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Models | None:
-    """Models of every non-null value of `lang`, from about `sample` texts of each, drawn by key hash; None without any."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.length(text).between(1, LONGEST_SAMPLE))
-    sizes = known.groupBy(F.col(lang).alias("lang")).count()
+    """Models of every non-null value of `lang`, from about `sample` texts of each, drawn by key hash; limits from all. None without any."""
+    known = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & (F.length(text) > 0)).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h")
+    )
+    short = F.length("text") <= LONGEST_SAMPLE
+    sizes = known.groupBy("lang").agg(F.count("*").alias("all"), F.count(F.when(short, 1)).alias("short"))
     if sizes.isEmpty():
         return None
-    # One short row per language.
-    shares = sizes.select("lang", F.least(F.lit(1.0), sample / F.col("count")).alias("share"))
-    chosen = (
-        known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-        .join(F.broadcast(shares), "lang")
-        .filter(F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    )
-    fitting = F.pmod(F.xxhash64("h"), F.lit(5)) > 0
-    texts = chosen.select("lang", "text", fitting.alias("fits")).repartition(8, F.xxhash64("text")).persist()
-    rows = texts.filter("fits").mapInArrow(_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = rows.toPandas()
-    counts = {}
-    for name, part in found.groupby("lang"):
-        keys = part["gram"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        counts[name] = (keys[order], part["n"].to_numpy(np.int64)[order])
-    if not counts:
+    # One short row per language: all texts of a rare one; else short texts, and long ones as far as those are too few.
+    more = F.greatest(F.lit(0), sample - F.col("short")) / F.greatest(F.lit(1), F.col("all") - F.col("short"))
+    shares = sizes.select("lang", F.least(F.lit(1.0), sample / F.greatest(F.lit(1), F.col("short"))).alias("of_short"), F.least(F.lit(1.0), more).alias("of_long"))
+    share = F.when(short, F.col("of_short")).otherwise(F.col("of_long"))
+    drawn = F.pmod(F.col("h"), F.lit(1 << 30)) < share * (1 << 30)
+    marked = known.join(F.broadcast(shares), "lang").select("lang", "text", "h", drawn.alias("drawn"))
+    starts = F.sequence(F.lit(1), F.length("text"), F.lit(WINDOW_CHARS))
+    windows = marked.filter("drawn").select("lang", "text", "h", F.posexplode(starts).alias("i", "at"))
+    half = F.pmod(F.xxhash64("h") + F.col("i"), F.lit(2))
+    texts = windows.select("lang", F.substring("text", F.col("at"), F.lit(WINDOW_CHARS)).alias("text"), half.alias("half"))
+    texts = texts.repartition(8, F.xxhash64("text")).persist()
+
+    def fitted(part: DataFrame) -> Models | None:
+        rows = part.select("lang", "text").mapInArrow(_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        counts = {}
+        for name, own in rows.toPandas().groupby("lang"):
+            keys = own["gram"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            counts[name] = (keys[order], own["n"].to_numpy(np.int64)[order])
+        return _fit(sorted(counts), counts) if counts else None
+
+    models = fitted(texts)
+    if models is None:
         texts.unpersist()
         return None
-    models = _fit(sorted(counts), counts)
-
-    def calibrated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entropy, sizes = _scored(models, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(entropy.min(axis=1)), pa.array(sizes)], ["entropy", "n"])
 
-    # The worst text of known language that trained nothing, and a quarter more.
-    held = texts.filter(~F.col("fits")).select("text").mapInArrow(calibrated, "entropy double, n bigint")
-    worst = held.filter(F.col("n") >= LEAST_SYMBOLS).agg(F.max("entropy")).first()[0]
+    # All texts that trained nothing tell the limit of their language; where all were drawn, each half does by the models of the other.
+    levels = _levels(marked.filter(~F.col("drawn")), models)
+    few = [x for x in models.langs if sum(levels.get(x, {}).values()) < LEAST_CALIBRATING]
+    if few:
+        for side in (0, 1):
+            other = fitted(texts.filter(F.col("half") != side))
+            if other is not None:
+                for x, own in _levels(texts.filter((F.col("half") == side) & F.col("lang").isin(few)), other).items():
+                    levels[x] = Counter(levels.get(x, {})) + Counter(own)
     texts.unpersist()
-    if worst is not None:
-        models.limit = 1.25 * worst
+    pooled = sum((Counter(c) for c in levels.values()), Counter())
+    models.limits = np.array([_limit(levels.get(x) or pooled) for x in models.langs])
     return models
 
 
+def _levels(rows: DataFrame, models: Models) -> dict[str, dict[int, int]]:
+    """By language, texts of LEAST_SYMBOLS or more by thousandths of a bit of their lowest cross-entropy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
+                entropy, sizes = _scored(models, part.column("text").to_pylist())
+                kept = sizes >= LEAST_SYMBOLS
+                level = np.round(entropy.min(axis=1)[kept] * 1000).astype(np.int64)
+                trim()
+                yield pa.RecordBatch.from_arrays([part.column("lang").filter(pa.array(kept)), pa.array(level)], ["lang", "level"])
+
+    out: dict[str, dict[int, int]] = {}
+    for name, level, n in rows.select("lang", "text").mapInArrow(run, "lang string, level bigint").groupBy("lang", "level").count().collect():
+        out.setdefault(name, {})[level] = n
+    return out
+
+
+def _limit(levels: dict[int, int]) -> float:
+    """MARGIN times the QUANTILE of the texts' levels, in bits; infinite where no text is long enough."""
+    if not levels:
+        return math.inf
+    values = np.array(sorted(levels))
+    upto = np.cumsum([levels[v] for v in values])
+    return MARGIN * float(values[np.searchsorted(upto, QUANTILE * upto[-1])]) / 1000
+
+
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
     """(key, held_out, lang_pred, score, bits, rejected) of every whole text, after the columns named in `keep`.
 
@@ -234,7 +278,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     (false for a null key, which trains nothing). lang_pred is the language of lowest cross-entropy per symbol, ties to the smaller
     name, and `und` with score 0 for texts that are null or without a letter, or if nothing could be learnt. `score` weighs the best
     language against the others. `bits` is its cross-entropy. Rejected: `und`, and texts of LEAST_SYMBOLS or more whose best
-    cross-entropy is above the calibrated limit, gibberish to every language. Repeated rows stay; clashing columns
+    cross-entropy is above the limit calibrated for that language, gibberish to every language. Repeated rows stay; clashing columns
     are ignored unless kept.
     """
     models = train(docs.filter(fold(F.col(key)) != 1), key, text, lang, sample)
@@ -258,7 +302,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                     weight = np.exp(-(entropy - low[:, None]) * math.log(2) * np.minimum(sizes, 20)[:, None])
                     share = 1 / weight.sum(axis=1)
                     found = [
-                        (models.langs[b], float(s), float(e), bool(n >= LEAST_SYMBOLS and e > models.limit)) if n else (UNDETERMINED, 0.0, None, True)
+                        (models.langs[b], float(s), float(e), bool(n >= LEAST_SYMBOLS and e > models.limits[b])) if n else (UNDETERMINED, 0.0, None, True)
                         for b, s, e, n in zip(best, share, low, sizes)
                     ]
                 trim()

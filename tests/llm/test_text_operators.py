@@ -232,6 +232,20 @@ def test_language_held_out_accuracy(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
 
 
+def test_language_limits_withstand_labelled_gibberish(spark):
+    """Gibberish labelled as a language doesn't lift the limit, and a language of one long text is learnt."""
+    rng = random.Random(3)
+    junk = ["".join(rng.choice("qxzjwvkyfhbg") + (" " if rng.random() < 0.1 else "") for _ in range(300)) for _ in range(60)]
+    rows = [(i, prose(i, 80), "aa", "s", 0) for i in range(1_500)] + [(2_000 + i, t, "aa" if i % 2 else None, "s", 0) for i, t in enumerate(junk)]
+    alone = next(i for i in range(3_000, 4_000) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows.append((alone, " ".join("ολοκληρο κειμενο σε γλωσσα μιας μονο σελιδας".split(" ")[rng.randrange(7)] for _ in range(20_000)), "el", "s", 0))
+    out = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, DOCUMENTS)).collect()}
+    told = sum(out[2_000 + i]["rejected"] for i in range(0, 60, 2))
+    assert told >= 28, told
+    assert sum(out[i]["rejected"] for i in range(1_500)) <= 15
+    assert (out[alone]["lang_pred"], out[alone]["rejected"]) == ("el", False)
+
+
 # Toxicity
 
 
