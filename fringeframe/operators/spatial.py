@@ -187,25 +187,24 @@ def _byte(v: Column, wanted: bool) -> Column:
     return F.floor(v * 255.0).cast("double") if wanted else v
 
 
-def fit_normaliser(
-    images: DataFrame, bands: int, low: float = 0.5, high: float = 99.5, values_per_cube: int = 20_000, seed: int = 2026
-) -> DataFrame:
-    """One row (low, high): percentiles of pixel values, fitted on the rows given (use training rows).
+def fit_normaliser(images: DataFrame, low: float = 0.5, high: float = 99.5) -> DataFrame:
+    """One row (low, high): exact percentiles of all pixel values, fitted on the rows given (use training rows)."""
+    return _value_range(images.select(F.explode("pixels").alias("v")), low, high)
 
-    Cubes larger than `values_per_cube` are sampled with replacement, the same number of draws from
-    every band, by hash: each image draws from its own pixels, so nothing is shuffled before the draw.
-    """
-    per_band = math.ceil(values_per_cube / bands)
-    size = F.col("height") * F.col("width")
+
+def fit_normaliser_drawn(images: DataFrame, per_image: int, low: float = 0.5, high: float = 99.5, seed: int = 2026) -> DataFrame:
+    """`fit_normaliser` of `per_image` values of every image, drawn with replacement by hash, whatever the images' size."""
     draws = A.let(
         F.struct(F.col("pixels").alias("p"), F.col("cube_id").alias("c"), F.col("band").alias("b")),
         lambda s: F.transform(
-            F.sequence(F.lit(1), F.lit(per_band)),
+            F.sequence(F.lit(1), F.lit(per_image)),
             lambda k: A.at(s["p"], draw_index(F.size(s["p"]), seed, s["c"], s["b"], k)),
         ),
     )
-    values = F.when(size * bands > values_per_cube, draws).otherwise(F.col("pixels")) if values_per_cube > 0 else F.col("pixels")
-    long = images.select(F.explode(values).alias("v"))
+    return _value_range(images.select(F.explode(draws).alias("v")), low, high)
+
+
+def _value_range(long: DataFrame, low: float, high: float) -> DataFrame:
     ends = group_percentiles(long, [], "v", {"_lo": low / 100.0, "_hi": high / 100.0, "_mn": 0.0, "_mx": 1.0})
     flat = ~(A.finite(F.col("_lo")) & A.finite(F.col("_hi"))) | (F.col("_hi") <= F.col("_lo"))
     lo = F.when(flat, F.col("_mn")).otherwise(F.col("_lo"))

@@ -101,7 +101,7 @@ NORM = "nm AS (SELECT quantile_cont(intensity,0.005E0) AS lo, quantile_cont(inte
 
 @query("d7_fit_normaliser", f"WITH {NORM} SELECT {r('lo', 'low')}, {r('hi', 'high')} FROM nm")
 def d7(v):
-    return tidy(D.fit_normaliser(v.images(), CUBE_BANDS))
+    return tidy(D.fit_normaliser(v.images()))
 
 
 @query(
@@ -111,17 +111,17 @@ def d7(v):
     SELECT round(quantile_cont(v,0.005E0),6)+0.0E0 AS low, round(quantile_cont(v,0.995E0),6)+0.0E0 AS high FROM s""",
 )
 def d7_sampled(v):
-    return tidy(D.fit_normaliser(v.images(), CUBE_BANDS, values_per_cube=200))
+    return tidy(D.fit_normaliser_drawn(v.images(), 20))
 
 
 @query("d7_normalise", f"WITH {NORM} SELECT cube_id, band, y, x, {r('intensity', 'value')} FROM np")
 def d7_normalise(v):
-    return long_pixels(D.normalise(v.images(), D.fit_normaliser(v.images(), CUBE_BANDS)), "cube_id", "band")
+    return long_pixels(D.normalise(v.images(), D.fit_normaliser(v.images())), "cube_id", "band")
 
 
 @query("d7_denormalise", f"WITH {NORM} SELECT cube_id, band, y, x, round(greatest(0.0E0, np.intensity*(hi-lo)+lo),6)+0.0E0 AS value FROM np, nm")
 def d7_denormalise(v):
-    fit = D.fit_normaliser(v.images(), CUBE_BANDS)
+    fit = D.fit_normaliser(v.images())
     return long_pixels(D.denormalise(D.normalise(v.images(), fit), fit), "cube_id", "band")
 
 
@@ -248,7 +248,7 @@ ec AS (SELECT cube_id, class_index, avg(intensity) AS v FROM np GROUP BY 1,2), r
 
 
 def scaled(v):
-    return D.normalise(v.images(), D.fit_normaliser(v.images(), CUBE_BANDS))
+    return D.normalise(v.images(), D.fit_normaliser(v.images()))
 
 
 @query(
@@ -317,7 +317,7 @@ def d18(v):
     SELECT cube_id, class_index, {', '.join(r(x) for x in ('cube_mean', 'cube_sd', 'cosine', 'min_raw', 'max_raw'))} FROM st JOIN cs USING(cube_id)""",
 )
 def d19(v):
-    return tidy(D.cube_manifest(v.images(), D.fit_normaliser(v.images(), CUBE_BANDS)))
+    return tidy(D.cube_manifest(v.images(), D.fit_normaliser(v.images())))
 
 
 @query(

@@ -194,3 +194,12 @@ def test_lag_tie_and_overlap(spark):
     moved = np.exp(-((np.arange(80) - 36) ** 2) / 30).tolist()
     pair = spark.createDataFrame([(base, moved)], "a array<double>, b array<double>")
     assert pair.select(S.best_lag(F.col("a"), F.col("b"), 8)).first()[0] == 4
+
+
+def test_normaliser_is_exact_on_large_cubes(spark):
+    rng = np.random.default_rng(4)
+    pixels = rng.normal(size=(3, 100 * 100)) ** 3
+    rows = [(1, 0, b, 100, 100, p.tolist()) for b, p in enumerate(pixels)]
+    images = spark.createDataFrame(rows, "cube_id bigint, class_index int, band int, height int, width int, pixels array<double>")
+    found = D.fit_normaliser(images).first()
+    assert np.allclose([found["low"], found["high"]], np.percentile(pixels, [0.5, 99.5]), rtol=1e-12)
