@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeframe.llm import chat, jaccard, language, leaks, mixing, repeats, tokens, toxicity, urls, vectors
+from fringeframe.llm import chat, jaccard, language, leaks, mixing, repeats, smallworld, spelling, tokens, toxicity, urls, vectors, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,51 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The crc32 of a string by its table, and near words by equal remains after one deletion.
+@query(
+    "op11_spelling_variants",
+    r"""
+WITH RECURSIVE codes AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i) AS c FROM range(256) r(i))),
+runs AS MATERIALIZED (SELECT key, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS key,
+  unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY key, run),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END FOR c IN string_split(key || ':' || run, '')]),
+  lambda h, b: xor(h // 256, t[xor(h % 256, b) + 1]), 4294967295)) AS h FROM runs, codes),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON l.rest = w.word UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON l.rest = w.word),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS r, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+judged AS MATERIALIZED (SELECT word, CASE WHEN other_n >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN (SELECT word, other, other_n, n_near FROM ranked WHERE r = 1) USING (word)),
+chain(word, upto) AS (SELECT word, word FROM words UNION ALL SELECT chain.word, form FROM chain JOIN judged ON chain.upto = judged.word WHERE form IS NOT NULL)
+SELECT judged.word, form, upto AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM judged
+  JOIN (SELECT chain.word, upto FROM chain JOIN judged ON chain.upto = judged.word WHERE form IS NULL) e ON e.word = judged.word
+""",
+)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_embedding_near_dedup",
+    """
+WITH RECURSIVE sound AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL
+  AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(n, m) AS (SELECT vec_id, vec_id FROM sound UNION SELECT n, b FROM reach JOIN links ON m = a),
+lows AS (SELECT n AS vec_id, min(m) AS low FROM reach GROUP BY n),
+counts AS (SELECT a AS vec_id, count(*) AS k FROM links GROUP BY a)
+SELECT vec_id, coalesce(k, 0) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN lows USING (vec_id) LEFT JOIN counts USING (vec_id)
+""",
+)
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smallworld.link_near(table(spark, sf_dir, "embeddings"))
