@@ -2,8 +2,8 @@
 
 Cov(a, b) = (Var(a + b) - Var(a) - Var(b)) / 2: one aggregate of squares for every dimension and for the sum of every pair of dimensions
 holds the whole covariance. Components are integers, so all of it is exact: values are centred on the integer next to their mean
-before squaring, and the rest of the mean, a fraction of n, is taken off in whole numbers at the end. Only d + d(d-1)/2 sums
-reach the driver, where the d x d matrix goes to eigh.
+before squaring, and the rest of the mean, a fraction of n, is taken off in whole numbers at the end. Only FOLDS rows of
+d + d(d-1)/2 sums reach the driver, where the d x d matrix goes to eigh.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from fringeframe.operators.settle import settled
 _SAFE = 2.0**62
 # Values of pair sums that are squared at once.
 _STEP = 1 << 20
+FOLDS = 32
 OUTPUT = "component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
 
 
@@ -34,27 +36,31 @@ def integer_rows(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     )
 
 
-def _folded(values, width: int, places: int):
-    """A task's own sums of `values(block of rows)` per place, and its number of rows at place -1, as (place, total) rows."""
+def _totals(fit: DataFrame, values, width: int, places: int, kind: type = int) -> list:
+    """Number of rows, then the sums of `values(block of rows)` per place: one row of sums a task, added up in FOLDS groups of tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(places, object), 0
+        total, rows = np.zeros(places, object if kind is int else float), 0
         for batch in batches:
             x = _matrix(batch.column("x"), width)
             rows += len(x)
-            for lo in range(0, len(x), max(1, _STEP // max(width, 1))):
-                total = total + values(x[lo : lo + max(1, _STEP // max(width, 1))])
-        text = pa.array([str(t) for t in [rows, *total]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, places)), text], ["place", "total"])
+            for lo in range(0, len(x), max(1, _STEP // width)):
+                total = total + values(x[lo : lo + max(1, _STEP // width)])
+        yield _row(TaskContext.get().partitionId(), [rows, *total])
 
-    return run
+    def _row(task: int, total: list) -> pa.RecordBatch:
+        text = pa.array([[repr(kind(t)) for t in total]], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), text], ["task", "total"])
 
+    def add(parts: pa.Table) -> pa.Table:
+        own = parts.sort_by("task").to_pydict()
+        total = [sum(map(kind, place)) for place in zip(*own["total"])]
+        return pa.Table.from_batches([_row(own["task"][0], total)])
 
-def _sums(fit: DataFrame, values, width: int, places: int) -> tuple[int, list[int]]:
-    parts = fit.mapInArrow(_folded(values, width, places), "place bigint, total string")
-    rows = parts.groupBy("place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("t")).collect()
-    found = {r["place"]: int(r["t"]) for r in rows}
-    return found.get(-1, 0), [found.get(i, 0) for i in range(places)]
+    schema = "task int, total array<string>"
+    parts = fit.mapInArrow(run, schema)
+    folded = parts.groupBy(F.pmod("task", F.lit(FOLDS)).alias("fold")).applyInArrow(add, schema).collect()
+    return [sum(map(kind, place)) for place in zip(*[r["total"] for r in sorted(folded)])] or [kind(0)] * (places + 1)
 
 
 def _square_sums(y: np.ndarray) -> np.ndarray:
@@ -119,17 +125,7 @@ def _identity_error(fit: DataFrame, whitener: Whitener, width: int) -> float:
     k, n = whitener.scaled.shape[1], whitener.n
 
     def pass_over(values, places: int) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(places)
-            for batch in batches:
-                total += values(whitener.project(_matrix(batch.column("x"), width)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(places)), pa.array(total)], ["place", "total"])
-
-        rows = fit.mapInArrow(run, "place bigint, total double").groupBy("place").agg(F.sum("total")).collect()
-        out = np.zeros(places)
-        for place, total in rows:
-            out[place] = total
-        return out
+        return np.array(_totals(fit, lambda x: values(whitener.project(x)), width, places, float)[1:])
 
     mean = pass_over(lambda w: w.sum(axis=0), k) / n
     products = pass_over(lambda w: ((w - mean).T @ (w - mean)).ravel(), k * k).reshape(k, k) / n
@@ -147,8 +143,7 @@ def whiten(df: DataFrame, components: int = 4, key: str = "vec_id", vector: str
     Rows whose vector is null or holds a null or non-finite component are left out; a null key stays; rows that repeat a key or a vector
     give their own result rows. Shorter vectors count as padded with zeros. A component without variance (constant or fewer than two
     distinct vectors, too few dimensions) gives no row, so a table of equal vectors, like an empty one, gives none. The sign of a
-    component is free but the same for all rows, and so is the choice among equal eigenvalues. Sums of squares over 38 digits
-    fail. Other columns of `df` are not read.
+    component is free but the same for all rows, and so is the choice among equal eigenvalues. Other columns of `df` are not read.
     """
     kind = df.schema[key].dataType.simpleString()
     output = f"`{key}` {kind}, {OUTPUT}"
@@ -160,11 +155,11 @@ def whiten(df: DataFrame, components: int = 4, key: str = "vec_id", vector: str
     if not width:
         return empty
     fit = settled(rows.select("x").distinct())
-    n, sums = _sums(fit, lambda x: x.astype(object).sum(axis=0) if np.abs(x).max(initial=0) > 2**31 else x.sum(axis=0).astype(object), width, width)
+    n, *sums = _totals(fit, lambda x: x.astype(object).sum(axis=0) if np.abs(x).max(initial=0) > 2**31 else x.sum(axis=0).astype(object), width, width)
     centre = [(2 * s + n) // (2 * n) for s in sums]
     rest = [s - n * m for s, m in zip(sums, centre)]
     middle = np.array(centre, np.int64)
-    _, squares = _sums(fit, _polarised(middle), width, width + width * (width - 1) // 2)
+    _, *squares = _totals(fit, _polarised(middle), width, width + width * (width - 1) // 2)
     v, trace = covariance(n, rest, squares)
     values, axes = np.linalg.eigh(v)
     order = np.argsort(-values, kind="stable")[: min(components, width)]
