@@ -1,13 +1,12 @@
 """Detection tables: filters, suppression, matching and detection scores.
 
 Greedy and assignment steps run per field in a vectorised kernel while the field is small. A field above
-`FIELD_LIMIT` rows takes an exact distributed way instead (rounds over a grid, or connected components),
-so no task ever holds an unbounded field. Candidate pairs come from a grid join, never from all pairs.
+`FIELD_LIMIT` rows takes an exact distributed way instead (rounds over a grid, or connected components; assignments go by
+merged tiles), so no task ever holds an unbounded field. Candidate pairs come from a grid join, never from all pairs.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -16,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fringeframe.functions import arrays as A
+from fringeframe.operators.assignment import TILE, assigned
 from fringeframe.operators.settle import settled
-from fringeframe.operators.skew import bounded_groups, group_percentiles, group_rank
+from fringeframe.operators.skew import group_percentiles, group_rank
 
 FIELD_LIMIT = 20_000
-ASSIGNMENT_LIMIT = 4_000
-# Groups of more cells are assigned along their real pairs instead of in a dense matrix.
-DENSE_CELLS = 4_000_000
+# Linked groups of more pairs are matched in tiles instead of in one matrix.
+GROUP_PAIRS = 4_000
 COPY_LIMIT = 16
 
 
@@ -413,36 +412,15 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n), col_of
 
 
-def match_hungarian(
-    refs: DataFrame, dets: DataFrame, keys: list[str] | None = None, limit: int = ASSIGNMENT_LIMIT
-) -> DataFrame:
+def match_hungarian(refs: DataFrame, dets: DataFrame, keys: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """Pairs of least total distance, no radius. Every reference or every detection of a field is used.
 
-    The assignment couples a whole field, so a field above `limit` centers fails the job; matching with a
-    radius (`match_penalised`) splits into independent parts and has no such bound on the field.
+    Fields above `tile` centers are solved in tiles that are merged and mended (operators/assignment.py), so no field is too large.
+    Centers without finite coordinates are not paired.
     """
     keys = keys or ["field_id"]
-    kind = {f.name: f.dataType.simpleString() for f in refs.schema.fields}
-    schema = ", ".join(f"{k} {kind[k]}" for k in keys) + ", ref_id bigint, det_id bigint, distance double"
-
-    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [*keys, "ref_id", "det_id", "distance"]
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame(columns=names)
-        left, right = left.sort_values("ref_id"), right.sort_values("det_id")
-        d = np.hypot(
-            left["x"].to_numpy()[:, None] - right["x"].to_numpy()[None, :],
-            left["y"].to_numpy()[:, None] - right["y"].to_numpy()[None, :],
-        )
-        i, j = assign(d)
-        out = {k: left[k].iloc[0] for k in keys}
-        return pd.DataFrame(
-            {**out, "ref_id": left["ref_id"].to_numpy()[i], "det_id": right["det_id"].to_numpy()[j], "distance": d[i, j]}
-        )[names]
-
-    a = bounded_groups(refs.select(*keys, "ref_id", "x", "y"), keys, limit, "assignment")
-    b = bounded_groups(dets.select(*keys, "det_id", "x", "y"), keys, limit, "assignment")
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(solve, schema)
+    pairs = assigned(refs.withColumnRenamed("ref_id", "id"), dets.withColumnRenamed("det_id", "id"), keys, tile=tile)
+    return pairs.withColumnsRenamed({"row_id": "ref_id", "col_id": "det_id"})
 
 
 def _components(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -465,83 +443,31 @@ def _components(pairs: DataFrame, keys: list[str]) -> DataFrame:
             return labels
 
 
-def sparse_assign(n_refs: int, n_dets: int, i: np.ndarray, j: np.ndarray, saving: np.ndarray) -> list[int]:
-    """Places of the pairs (i, j) of largest total saving, no center used twice.
-
-    Shortest augmenting paths over the listed pairs with potentials: memory grows with the pairs. A reference may stay
-    free at no saving, a slot of its own.
-    """
-    order = np.argsort(i, kind="stable")
-    bounds = np.searchsorted(i[order], np.arange(n_refs + 1))
-    edges: list[list[tuple[int, float, int]]] = [
-        [(int(j[e]), -float(saving[e]), int(e)) for e in order[bounds[r] : bounds[r + 1]]] + [(n_dets + r, 0.0, -1)] for r in range(n_refs)
-    ]
-    price: dict[int, float] = {}
-    holder: dict[int, int] = {}
-    used, col_of = [-1] * n_refs, [-1] * n_refs
-    for start in range(n_refs):
-        reach: dict[int, float] = {}
-        came: dict[int, tuple[int, int]] = {}
-        done: set[int] = set()
-        heap: list[tuple[float, int]] = []
-        row, base = start, 0.0
-        while True:
-            # Leaving a row frees the column that it holds, so that edge's cost counts the other way.
-            anchor = 0.0
-            for col, cost, _ in edges[row]:
-                if col == col_of[row]:
-                    anchor = cost - price.get(col, 0.0)
-            for col, cost, e in edges[row]:
-                way = base + cost - price.get(col, 0.0) - anchor
-                if col not in done and way < reach.get(col, np.inf):
-                    reach[col] = way
-                    came[col] = (row, e)
-                    heapq.heappush(heap, (way, col))
-            while heap[0][1] in done or heap[0][0] > reach[heap[0][1]]:
-                heapq.heappop(heap)
-            base, sink = heapq.heappop(heap)
-            done.add(sink)
-            if sink not in holder:
-                break
-            row = holder[sink]
-        for col in done:
-            price[col] = price.get(col, 0.0) + reach[col] - base
-        while True:
-            row, e = came[sink]
-            holder[sink], used[row] = row, e
-            sink, col_of[row] = col_of[row], sink
-            if row == start:
-                break
-    return sorted(e for e in used if e >= 0)
-
-
 def _penalised_kernel(radius: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         refs, i = np.unique(pdf["ref_id"].to_numpy(), return_inverse=True)
         dets, j = np.unique(pdf["det_id"].to_numpy(), return_inverse=True)
-        free = radius + 1.0
-        if len(refs) * (len(dets) + len(refs)) > DENSE_CELLS:
-            chosen = sparse_assign(len(refs), len(dets), i, j, 2.0 * free - pdf["distance"].to_numpy())
-            return pdf.iloc[chosen]
         # Leaving both ends unmatched costs twice the penalty, so a pair saves 2*free - distance;
         # a slot per reference stands for "unmatched".
         saving = np.zeros((len(refs), len(dets) + len(refs)))
-        saving[i, j] = 2.0 * free - pdf["distance"].to_numpy()
+        saving[i, j] = 2.0 * (radius + 1.0) - pdf["distance"].to_numpy()
+        place = np.full(saving.shape, -1)
+        place[i, j] = np.arange(len(pdf))
         rows, cols = assign(-saving)
-        table = pd.Series(np.arange(len(pdf)), index=pd.MultiIndex.from_arrays([i, j]))
-        picked = [table[(r, c)] for r, c in zip(rows, cols) if c < len(dets) and saving[r, c] > 0]
-        return pdf.iloc[picked]
+        picked = place[rows, cols]
+        return pdf.iloc[picked[picked >= 0]]
 
     return run
 
 
 def match_penalised(
-    refs: DataFrame, dets: DataFrame, radius: float, keys: list[str] | None = None
+    refs: DataFrame, dets: DataFrame, radius: float, keys: list[str] | None = None, group_pairs: int = GROUP_PAIRS, tile: int = TILE
 ) -> DataFrame:
     """Pairs within the radius of least total cost, each unmatched center costing radius + 1.
 
     Centers without a partner in reach never matter, and groups of centers not linked by any candidate
-    pair are independent: fields of every size are solved group by group.
+    pair are independent: fields of every size are solved group by group. A group of more than `group_pairs` pairs is
+    solved in tiles that are merged and mended.
     """
     keys = keys or ["field_id"]
     labelled = _components(reduced_pairs(refs, dets, radius, keys), keys)
@@ -549,8 +475,17 @@ def match_penalised(
     sized = settled(labelled.join(sizes, [*keys, "component"]).select(*labelled.columns, "_pairs"))
     # A pair that is a group of its own is always cheaper matched than free.
     lone = sized.filter("_pairs = 1").drop("_pairs", "component")
-    rest = sized.filter("_pairs > 1").drop("_pairs")
-    return lone.unionByName(rest.groupBy(*keys, "component").applyInPandas(_penalised_kernel(radius), rest.schema).drop("component"))
+    rest = sized.filter(F.col("_pairs").between(2, group_pairs)).drop("_pairs")
+    out = lone.unionByName(rest.groupBy(*keys, "component").applyInPandas(_penalised_kernel(radius), rest.schema).drop("component"))
+    large = sized.filter(F.col("_pairs") > group_pairs)
+    if large.isEmpty():
+        return out
+    sides = []
+    for name, side in (("ref_id", refs), ("det_id", dets)):
+        members = large.select(*keys, name, "component").distinct()
+        sides.append(side.join(members, [*keys, name]).select(*keys, "component", F.col(name).alias("id"), "x", "y"))
+    tiled = assigned(*sides, [*keys, "component"], 2.0 * (radius + 1.0), radius, tile)
+    return out.unionByName(tiled.withColumnsRenamed({"row_id": "ref_id", "col_id": "det_id"}).select(*out.columns))
 
 
 def nearest_centers(

@@ -139,12 +139,6 @@ def test_empty_sides(spark):
     assert (row["tp_5px"], row["precision_5px"], row["f1_5px"], row["count_error"]) == (0, 0.0, 0.0, -1)
 
 
-def test_assignment_refuses_oversized_field(spark):
-    df = centers(spark, 30).withColumnRenamed("det_id", "ref_id")
-    with pytest.raises(Exception, match="group larger than"):
-        H.match_hungarian(df, centers(spark, 30), limit=5).collect()
-
-
 def test_letterbox():
     assert H.letterbox(1024, 768, 640) == (0.625, 0, 80)
 
@@ -166,20 +160,6 @@ def test_many_copies_of_a_detection(spark):
     assert cost(H.match_penalised(refs, dets, 15.0)) == pytest.approx(cost(best))
 
 
-def test_sparse_assignment_saves_as_much_as_the_dense_one():
-    rng = np.random.default_rng(8)
-    for n, m, k in ((1, 1, 1), (6, 4, 12), (30, 40, 160), (60, 50, 400)):
-        pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, n, k), rng.integers(0, m, k))})
-        i, j = (np.array(c) for c in zip(*pairs))
-        saving = rng.uniform(0.5, 20, len(pairs))
-        chosen = H.sparse_assign(n, m, i, j, saving)
-        assert len(set(i[chosen])) == len(chosen) == len(set(j[chosen]))
-        dense = np.zeros((n, m + n))
-        dense[i, j] = saving
-        rows, cols = H.assign(-dense)
-        assert saving[chosen].sum() == pytest.approx(dense[rows, cols].sum())
-
-
 def test_penalised_matching_of_a_large_field_and_a_long_chain(spark):
     n = 4_001
     refs = spark.range(n).selectExpr("1 as field_id", "id as ref_id", "id * 10.0 as x", "0.0 as y")
