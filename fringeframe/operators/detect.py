@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from fringeframe.functions import arrays as A
 from fringeframe.operators.assignment import TILE, assigned
+from fringeframe.operators.nearest import nearest
+from fringeframe.operators.quantiles import quantiles
 from fringeframe.operators.settle import settled
-from fringeframe.operators.skew import group_percentiles, group_rank
+from fringeframe.operators.skew import group_rank
 
 FIELD_LIMIT = 20_000
-# Linked groups of more pairs are matched in tiles instead of in one matrix.
-GROUP_PAIRS = 4_000
 COPY_LIMIT = 16
 
 
@@ -423,69 +423,15 @@ def match_hungarian(refs: DataFrame, dets: DataFrame, keys: list[str] | None = N
     return pairs.withColumnsRenamed({"row_id": "ref_id", "col_id": "det_id"})
 
 
-def _components(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Add `component`: smallest ref_id connected through shared references or detections."""
-    labels = settled(pairs.withColumn("component", F.col("ref_id")))
-    while True:
-        by_ref = labels.groupBy(*keys, "ref_id").agg(F.min("component").alias("_a"))
-        by_det = labels.groupBy(*keys, "det_id").agg(F.min("component").alias("_b"))
-        joined = labels.join(by_ref, [*keys, "ref_id"]).join(by_det, [*keys, "det_id"])
-        # Jump to the component of the current label's own reference to halve long chains.
-        jump = by_ref.select(*keys, F.col("ref_id").alias("component"), F.col("_a").alias("_c"))
-        moved = joined.join(jump, [*keys, "component"], "left").withColumn(
-            "_new", F.least("_a", "_b", F.coalesce("_c", F.col("component")))
-        )
-        step = settled(
-            moved.select(*pairs.columns, F.col("_new").alias("component"), (F.col("_new") != F.col("component")).alias("_moved"))
-        )
-        labels = step.drop("_moved")
-        if step.filter("_moved").isEmpty():
-            return labels
-
-
-def _penalised_kernel(radius: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        refs, i = np.unique(pdf["ref_id"].to_numpy(), return_inverse=True)
-        dets, j = np.unique(pdf["det_id"].to_numpy(), return_inverse=True)
-        # Leaving both ends unmatched costs twice the penalty, so a pair saves 2*free - distance;
-        # a slot per reference stands for "unmatched".
-        saving = np.zeros((len(refs), len(dets) + len(refs)))
-        saving[i, j] = 2.0 * (radius + 1.0) - pdf["distance"].to_numpy()
-        place = np.full(saving.shape, -1)
-        place[i, j] = np.arange(len(pdf))
-        rows, cols = assign(-saving)
-        picked = place[rows, cols]
-        return pdf.iloc[picked[picked >= 0]]
-
-    return run
-
-
-def match_penalised(
-    refs: DataFrame, dets: DataFrame, radius: float, keys: list[str] | None = None, group_pairs: int = GROUP_PAIRS, tile: int = TILE
-) -> DataFrame:
+def match_penalised(refs: DataFrame, dets: DataFrame, radius: float, keys: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """Pairs within the radius of least total cost, each unmatched center costing radius + 1.
 
-    Centers without a partner in reach never matter, and groups of centers not linked by any candidate
-    pair are independent: fields of every size are solved group by group. A group of more than `group_pairs` pairs is
-    solved in tiles that are merged and mended.
+    Leaving both ends unmatched costs twice the penalty: that is what a reference pays for staying free. Fields above `tile`
+    centers are solved in tiles that are merged and mended; no pairs are listed.
     """
     keys = keys or ["field_id"]
-    labelled = _components(reduced_pairs(refs, dets, radius, keys), keys)
-    sizes = labelled.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_pairs"))
-    sized = settled(labelled.join(sizes, [*keys, "component"]).select(*labelled.columns, "_pairs"))
-    # A pair that is a group of its own is always cheaper matched than free.
-    lone = sized.filter("_pairs = 1").drop("_pairs", "component")
-    rest = sized.filter(F.col("_pairs").between(2, group_pairs)).drop("_pairs")
-    out = lone.unionByName(rest.groupBy(*keys, "component").applyInPandas(_penalised_kernel(radius), rest.schema).drop("component"))
-    large = sized.filter(F.col("_pairs") > group_pairs)
-    if large.isEmpty():
-        return out
-    sides = []
-    for name, side in (("ref_id", refs), ("det_id", dets)):
-        members = large.select(*keys, name, "component").distinct()
-        sides.append(side.join(members, [*keys, name]).select(*keys, "component", F.col(name).alias("id"), "x", "y"))
-    tiled = assigned(*sides, [*keys, "component"], 2.0 * (radius + 1.0), radius, tile)
-    return out.unionByName(tiled.withColumnsRenamed({"row_id": "ref_id", "col_id": "det_id"}).select(*out.columns))
+    sides = refs.withColumnRenamed("ref_id", "id"), dets.withColumnRenamed("det_id", "id")
+    return assigned(*sides, keys, 2.0 * (radius + 1.0), radius, tile).withColumnsRenamed({"row_id": "ref_id", "col_id": "det_id"})
 
 
 def nearest_centers(
@@ -510,10 +456,10 @@ def nearest_centers(
     return out.withColumnRenamed("ref_id", point_id)
 
 
-def center_agreement(refs: DataFrame, dets: DataFrame, radii: list[float], keys: list[str] | None = None) -> DataFrame:
-    """Per field: references, those with a center within 2 and 5 px, mean and largest nearest distance."""
+def center_agreement(refs: DataFrame, dets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per field: references, those with a center within 2 and 5 px, mean and largest distance to the nearest, however far it is."""
     keys = keys or ["field_id"]
-    near = nearest_centers(refs, dets, radii, keys=keys)
+    near = nearest(refs.withColumnRenamed("ref_id", "id"), dets, keys)
     counts = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("references"))
     stats = near.groupBy(*keys).agg(
         F.count_if(F.col("distance") <= 2).alias("within_2px"),
@@ -577,7 +523,7 @@ def pooled_metrics(fields: DataFrame, matches: DataFrame, radii=RADII, by: list[
     errors = inside.groupBy(*one).agg(
         F.avg("distance").alias("center_error_mean"), F.max("distance").alias("center_error_max")
     )
-    marks = group_percentiles(inside, one, "distance", {"center_error_median": 0.5, "center_error_p95": 0.95})
+    marks = quantiles(inside, one, "distance", {"center_error_median": 0.5, "center_error_p95": 0.95})
     scores = []
     for r in radii:
         scores += _prf(F.col(f"tp_{r}px"), F.col("predicted_centers"), F.col("ground_truth_centers"), f"{r}px")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from fringeframe.functions import arrays as A
 from fringeframe.functions.draws import draw_index, normal, uniform
-from fringeframe.operators.skew import group_percentiles, group_rank
+from fringeframe.operators.quantiles import quantiles
+from fringeframe.operators.skew import group_rank
 from fringeframe.operators.spectral import class_mean_spectra, collect_spectra, nonzero_mean
 
 IMAGE_KEYS = ["cube_id", "class_index", "band"]
@@ -189,7 +190,7 @@ def _byte(v: Column, wanted: bool) -> Column:
 
 def fit_normaliser(images: DataFrame, low: float = 0.5, high: float = 99.5) -> DataFrame:
     """One row (low, high): exact percentiles of all pixel values, fitted on the rows given (use training rows)."""
-    return _value_range(images.select(F.explode("pixels").alias("v")), low, high)
+    return _value_range(images, F.col("pixels"), low, high)
 
 
 def fit_normaliser_drawn(images: DataFrame, per_image: int, low: float = 0.5, high: float = 99.5, seed: int = 2026) -> DataFrame:
@@ -201,11 +202,11 @@ def fit_normaliser_drawn(images: DataFrame, per_image: int, low: float = 0.5, hi
             lambda k: A.at(s["p"], draw_index(F.size(s["p"]), seed, s["c"], s["b"], k)),
         ),
     )
-    return _value_range(images.select(F.explode(draws).alias("v")), low, high)
+    return _value_range(images, draws, low, high)
 
 
-def _value_range(long: DataFrame, low: float, high: float) -> DataFrame:
-    ends = group_percentiles(long, [], "v", {"_lo": low / 100.0, "_hi": high / 100.0, "_mn": 0.0, "_mx": 1.0})
+def _value_range(images: DataFrame, values: Column, low: float, high: float) -> DataFrame:
+    ends = quantiles(images, [], values, {"_lo": low / 100.0, "_hi": high / 100.0, "_mn": 0.0, "_mx": 1.0})
     flat = ~(A.finite(F.col("_lo")) & A.finite(F.col("_hi"))) | (F.col("_hi") <= F.col("_lo"))
     lo = F.when(flat, F.col("_mn")).otherwise(F.col("_lo"))
     hi = F.when(flat, F.col("_mx")).otherwise(F.col("_hi"))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fringeframe.functions import arrays as A
-from fringeframe.operators.skew import group_percentiles, group_rank
+from fringeframe.operators.quantiles import quantiles
+from fringeframe.operators.skew import group_rank
 
 # Extra band shift per class label of the training data.
 CLASS_SHIFTS = {"CMB": 0, "DWB": -5, "DQB": -12, "WQ": -18, "YMXB": -4}
@@ -169,9 +170,7 @@ def best_lag(reference: Column, sample: Column, max_lag: int = MAX_LAG, min_over
 
 def median_spectra(spectra: DataFrame, key: str = "class_index") -> DataFrame:
     """Exact median spectrum per class."""
-    medians = group_percentiles(
-        explode_spectra(spectra.select(key, "spectrum")), [key, "band"], "intensity", {"intensity": 0.5}
-    )
+    medians = quantiles(spectra, [key], "spectrum", {"intensity": 0.5}, by_place=True, place="band")
     return collect_spectra(medians, [key]).withColumnRenamed("spectrum", "reference")
 
 

@@ -10,7 +10,6 @@ from fringeframe.plans.registry import query, tidy
 from fringeframe.plans.views import IMAGE_HEIGHT, IMAGE_WIDTH
 
 THRESHOLD, CROP, SPACING, RADIUS = 0.25, 100, 20.0, 20.0
-LADDER = [32.0, 128.0, 512.0, 2048.0]
 
 
 def r(expr: str, name: str | None = None) -> str:
@@ -126,7 +125,7 @@ NEAREST = "nr AS (SELECT a.field_id, ref_id, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b
     f"WITH {NEAREST} SELECT field_id, count(*) AS \"references\", count(*) FILTER (WHERE d<=2) AS within_2px, count(*) FILTER (WHERE d<=5) AS within_5px, {r('avg(d)', 'mean_distance')}, {r('max(d)', 'max_distance')} FROM nr GROUP BY 1",
 )
 def h8(v):
-    return tidy(H.center_agreement(v.references(), v.detections().filter("det_id % 3 <> 0"), LADDER))
+    return tidy(H.center_agreement(v.references(), v.detections().filter("det_id % 3 <> 0")))
 
 
 FIELDS = """fm AS (SELECT field_id, coalesce(g,0) AS ground_truth_count, coalesce(p,0) AS predicted_count, coalesce(t5,0) AS tp_5px, coalesce(t10,0) AS tp_10px, coalesce(t20,0) AS tp_20px

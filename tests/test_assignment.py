@@ -108,10 +108,8 @@ def test_dense_component_is_spread_over_tiles(spark):
     rng = np.random.default_rng(7)
     refs = _points(spark, *rng.random((2, 900)) * 300).withColumnRenamed("id", "ref_id")
     dets = _points(spark, *rng.random((2, 800)) * 300).withColumnRenamed("id", "det_id")
-    pairs = H.reduced_pairs(refs, dets, 40.0, ["field_id"])
-    assert pairs.count() > 30_000
-    tiled = H.match_penalised(refs, dets, 40.0, group_pairs=1_000, tile=100)
-    whole = H.match_penalised(refs, dets, 40.0, group_pairs=10**9)
+    assert H.candidate_pairs(refs, dets, 40.0, ["field_id"]).count() > 30_000
+    tiled, whole = H.match_penalised(refs, dets, 40.0, tile=100), H.match_penalised(refs, dets, 40.0)
     gain = lambda df: df.agg(F.sum(82.0 - F.col("distance"))).first()[0]
     assert gain(tiled) == pytest.approx(gain(whole), abs=1e-6)
     assert tiled.select("ref_id").distinct().count() == tiled.count() == tiled.select("det_id").distinct().count()
