@@ -9,6 +9,7 @@ from fringeframe.functions.arrays import finite
 from fringeframe.functions.distributions import t_critical_95, t_p_value
 from fringeframe.functions.draws import draw_index
 from fringeframe.operators.evaluate import explode_slots
+from fringeframe.operators.resample import resampled_lines
 from fringeframe.operators.settle import settled
 from fringeframe.operators.skew import group_rank, running_total
 
@@ -205,11 +206,7 @@ def stratified_draws(
     )
 
 
-def stratified_bootstrap(
-    df: DataFrame, x: str, y: str, stratum: str, order: str, iterations: int = 10_000, seed: int = 2026
-) -> DataFrame:
-    """One row: 95 % percentile intervals of slope and intercept and the number of degenerate draws."""
-    draws = stratified_draws(df, x, y, stratum, order, iterations, seed)
+def _line_intervals(draws: DataFrame) -> DataFrame:
     bounds = [
         F.percentile(c, p).alias(f"{c}_ci_{side}")
         for c in ("slope", "intercept")
@@ -220,6 +217,20 @@ def stratified_bootstrap(
     )
 
 
+def stratified_bootstrap(
+    df: DataFrame, x: str, y: str, stratum: str, order: str, iterations: int = 10_000, seed: int = 2026
+) -> DataFrame:
+    """One row: 95 % percentile intervals of slope and intercept and the number of degenerate draws."""
+    return _line_intervals(resampled_lines(df, x, y, stratum, order, iterations, seed))
+
+
+def stratified_bootstrap_hashed(
+    df: DataFrame, x: str, y: str, stratum: str, order: str, iterations: int, seed: int = 2026
+) -> DataFrame:
+    """`stratified_bootstrap` with draws that are hashes of (seed, iteration, stratum, slot), which other engines can repeat; each costs a joined row."""
+    return _line_intervals(stratified_draws(df, x, y, stratum, order, iterations, seed))
+
+
 def curve(df: DataFrame, x: str, y: str, points: int = 240) -> DataFrame:
     """Fitted line with 95 % confidence and prediction bands from max(0, min x - 1) to max x + 2."""
     df = settled(df.select(x, y))
@@ -287,7 +298,7 @@ def melt_metrics(row: DataFrame) -> DataFrame:
     )
 
 
-def calibration_metrics(prep: DataFrame, iterations: int = 10_000, seed: int = 2026) -> DataFrame:
+def calibration_metrics(prep: DataFrame, iterations: int = 10_000, seed: int = 2026, bootstrap=stratified_bootstrap) -> DataFrame:
     """All calibration numbers of mapped preparations as one row."""
     prep = settled(prep)
     x, y = "mean_ring", "mean_reference"
@@ -308,7 +319,7 @@ def calibration_metrics(prep: DataFrame, iterations: int = 10_000, seed: int = 2
     loo = leave_one_out_scores(leave_one_out(prep, x, y), y)
     corr = correlations(prep, x, y).drop("n")
     zero = origin_fit(prep, x, y).select(*[F.col(c).alias(f"origin_{c}") for c in ("slope", "rmse", "mae", "centered_r2")])
-    boot = stratified_bootstrap(prep, x, y, "gradient_id", "preparation_id", iterations, seed).select(
+    boot = bootstrap(prep, x, y, "gradient_id", "preparation_id", iterations, seed).select(
         *[F.col(f"{c}_ci_{s}").alias(f"{c}_boot_{s}") for c in ("slope", "intercept") for s in ("low", "high")]
     )
     out = fit

@@ -17,6 +17,8 @@ from pyspark.sql.types import DoubleType
 
 from fringeframe.functions.distributions import incomplete_beta
 from fringeframe.functions.draws import draw_index
+from fringeframe.operators.resample import resampled_sums
+from fringeframe.operators.settle import settled
 from fringeframe.operators.skew import group_rank, running_total
 
 MAX_CELLS = 200_000
@@ -284,10 +286,27 @@ def explode_slots(df: DataFrame, n: str, name: str, chunk: int = 65536) -> DataF
     ).drop("_from")
 
 
+def _cluster_sums(pred: DataFrame, cluster: str) -> DataFrame:
+    right = F.sum(F.when(F.col("true_index") == F.col("predicted_index"), 1).otherwise(0))
+    return pred.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), right.alias("_right"))
+
+
+def _accuracy_interval(per_draw: DataFrame, sums: DataFrame) -> DataFrame:
+    point = sums.agg(F.sum("_right") / F.sum("_n")).scalar()
+    return per_draw.agg(
+        F.count(F.lit(1)).alias("iterations"), *_interval(F.col("_right") / F.col("_n"), "accuracy")
+    ).withColumn("accuracy", point)
+
+
 def cluster_bootstrap(pred: DataFrame, cluster: str, iterations: int = 5000, seed: int = 2026) -> DataFrame:
     """One row: accuracy and its 95 % interval when whole clusters are drawn with replacement."""
-    right = F.sum(F.when(F.col("true_index") == F.col("predicted_index"), 1).otherwise(0))
-    sums = pred.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), right.alias("_right"))
+    sums = settled(_cluster_sums(pred, cluster))
+    return _accuracy_interval(resampled_sums(sums, None, cluster, ["_n", "_right"], iterations, seed), sums)
+
+
+def cluster_bootstrap_hashed(pred: DataFrame, cluster: str, iterations: int, seed: int = 2026) -> DataFrame:
+    """`cluster_bootstrap` with draws that are hashes of (seed, iteration, slot), which other engines can repeat; each costs a joined row."""
+    sums = _cluster_sums(pred, cluster)
     ranked = group_rank(sums, [], [F.col(cluster)], F.col(cluster), "_rank").select(
         (F.col("_rank") - 1).alias("_pick"), "_n", "_right"
     )
@@ -295,15 +314,8 @@ def cluster_bootstrap(pred: DataFrame, cluster: str, iterations: int = 5000, see
     draws = explode_slots(
         pred.sparkSession.range(iterations).select(F.col("id").alias("iteration"), size.alias("_m")), "_m", "slot"
     ).withColumn("_pick", draw_index(F.col("_m"), seed, F.col("iteration"), F.col("slot")))
-    per_draw = (
-        draws.join(ranked, "_pick")
-        .groupBy("iteration")
-        .agg((F.sum("_right") / F.sum("_n")).alias("_accuracy"))
-    )
-    point = sums.agg(F.sum("_right") / F.sum("_n")).scalar()
-    return per_draw.agg(
-        F.count(F.lit(1)).alias("iterations"), *_interval(F.col("_accuracy"), "accuracy")
-    ).withColumn("accuracy", point)
+    per_draw = draws.join(ranked, "_pick").groupBy("iteration").agg(F.sum("_right").alias("_right"), F.sum("_n").alias("_n"))
+    return _accuracy_interval(per_draw, sums)
 
 
 def majority_vote(pred: DataFrame, keys: list[str]) -> DataFrame:

@@ -122,7 +122,12 @@ bt AS (SELECT iteration, regr_slope(y,x) AS slope, regr_intercept(y,x) AS interc
     {', '.join(r(f'quantile_cont({c},{q}E0)', f'{c}_ci_{s}', 4) for c in ('slope', 'intercept') for s, q in (('low', 0.025), ('high', 0.975)))} FROM bt""",
 )
 def g7(v):
-    return tidy(G.stratified_bootstrap(mapped(v), X, Y, "gradient_id", "preparation_id", 200), 4)
+    return tidy(G.stratified_bootstrap_hashed(mapped(v), X, Y, "gradient_id", "preparation_id", 200), 4)
+
+
+@query("g7_stratified_bootstrap_full")
+def g7_full(v):
+    return tidy(G.stratified_bootstrap(mapped(v), X, Y, "gradient_id", "preparation_id"), 4)
 
 
 @query(
@@ -168,10 +173,15 @@ MELTED = "slope intercept r2 adjusted_r2 rmse mae residual_se".split()
 )
 def g11(v):
     wanted = ["n_preparations", *MELTED, "loo_r2", "pearson_r", "spearman_rho", "origin_slope", "slope_boot_low", "slope_boot_high"]
-    row = G.calibration_metrics(mapped(v), 200).select(*wanted)
+    row = G.calibration_metrics(mapped(v), 200, bootstrap=G.stratified_bootstrap_hashed).select(*wanted)
     return tidy(G.melt_metrics(row), 4)
 
 
+@query("g11_metric_table_full")
+def g11_full(v):
+    return tidy(G.melt_metrics(G.calibration_metrics(mapped(v))), 4)
+
+
 def labelled(v):
     """Detections with a class label; every seventh field has none."""
     names = F.array(*[F.lit(l) for l in LABELS[:5]])

@@ -151,11 +151,21 @@ def f8(v):
     return tidy(E.paired_bootstrap(v.predictions(), "true_index", "pred_a", "pred_b", LABELS, 500))
 
 
+@query("f8_paired_bootstrap_full")
+def f8_full(v):
+    return tidy(E.paired_bootstrap(v.predictions(), "true_index", "pred_a", "pred_b", LABELS))
+
+
 @query("f9_bootstrap_ci")
 def f9(v):
     return tidy(E.bootstrap_ci(v.predictions(), "true_index", "pred_a", LABELS, 500))
 
 
+@query("f9_bootstrap_ci_full")
+def f9_full(v):
+    return tidy(E.bootstrap_ci(v.predictions(), "true_index", "pred_a", LABELS))
+
+
 @query(
     "f10_cluster_bootstrap",
     """WITH s AS (SELECT cluster_id, count(*) AS n, count(*) FILTER (WHERE pred_a=true_index) AS ok FROM v_predictions GROUP BY 1),
@@ -168,7 +178,13 @@ def f9(v):
 )
 def f10(v):
     pred = v.predictions().withColumn("predicted_index", F.col("pred_a"))
-    return tidy(E.cluster_bootstrap(pred, "cluster_id", 200))
+    return tidy(E.cluster_bootstrap_hashed(pred, "cluster_id", 200))
+
+
+@query("f10_cluster_bootstrap_full")
+def f10_full(v):
+    pred = v.predictions().withColumn("predicted_index", F.col("pred_a"))
+    return tidy(E.cluster_bootstrap(pred, "cluster_id"))
 
 
 @query(

@@ -169,33 +169,53 @@ LAG_PICK = """sc AS (SELECT sample_id, l, sum(p)/count(p) AS score FROM pr GROUP
 best AS (SELECT sample_id, l AS lag FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, l) AS k FROM sc) WHERE k=1)"""
 
 
-@query(
-    "c15_best_lag",
-    f"""WITH {PREPARED}, pr AS (SELECT z.sample_id, l, z.value*r.value AS p FROM z, range(-8,9) q(l), z r WHERE r.sample_id=z.sample_id//100*100 AND r.band=z.band+l), {LAG_PICK} SELECT sample_id, lag FROM best""",
-)
-def c15(v):
+def _lag_sql(max_lag: int) -> str:
+    return f"""WITH {PREPARED}, pr AS (SELECT z.sample_id, l, z.value*r.value AS p FROM z, range(-{max_lag},{max_lag + 1}) q(l), z r WHERE r.sample_id=z.sample_id//100*100 AND r.band=z.band+l), {LAG_PICK} SELECT sample_id, lag FROM best"""
+
+
+def _lags(v, max_lag: int):
     spectra = v.spectra()
     hundred = (F.floor(F.col("sample_id") / 100) * 100).alias("ref_id")
     reference = spectra.select(F.col("sample_id").alias("ref_id"), F.col("spectrum").alias("reference"))
     pairs = spectra.select("sample_id", "spectrum", hundred).join(reference, "ref_id")
-    return tidy(pairs.select("sample_id", S.best_lag(F.col("reference"), F.col("spectrum"), 8).alias("lag")))
+    return tidy(pairs.select("sample_id", S.best_lag(F.col("reference"), F.col("spectrum"), max_lag).alias("lag")))
 
 
-@query(
-    "c16_align_class",
-    f"""WITH {PREPARED}, md AS (SELECT class_index AS sample_id, band, quantile_cont(intensity,0.5E0) AS intensity FROM v_spectra GROUP BY 1,2),
+@query("c15_best_lag", _lag_sql(8))
+def c15(v):
+    return _lags(v, 8)
+
+
+@query("c15_best_lag_full", _lag_sql(S.MAX_LAG))
+def c15_full(v):
+    return _lags(v, S.MAX_LAG)
+
+
+def _align_sql(max_lag: int) -> str:
+    return f"""WITH {PREPARED}, md AS (SELECT class_index AS sample_id, band, quantile_cont(intensity,0.5E0) AS intensity FROM v_spectra GROUP BY 1,2),
     rm AS ({SMOOTH.replace('FROM v_spectra', 'FROM md')}), rg AS ({GRADIENT.format(src='rm')}), rz AS ({ZSCORE.format(src='rg')}),
     cl AS (SELECT DISTINCT sample_id, class_index FROM v_spectra),
-    pr AS (SELECT z.sample_id, l, z.value*rz.value AS p FROM z JOIN cl USING(sample_id), range(-8,9) q(l), rz WHERE rz.sample_id=cl.class_index AND rz.band=z.band+l), {LAG_PICK},
+    pr AS (SELECT z.sample_id, l, z.value*rz.value AS p FROM z JOIN cl USING(sample_id), range(-{max_lag},{max_lag + 1}) q(l), rz WHERE rz.sample_id=cl.class_index AND rz.band=z.band+l), {LAG_PICK},
     sh AS (SELECT sample_id, class_index, lag, -class_index AS extra FROM best JOIN cl USING(sample_id)),
     mv AS (SELECT a.sample_id, a.band, sh.lag+sh.extra AS shift_bands, CASE WHEN a.band-extra>=0 AND a.band-extra<=63 THEN b.intensity END AS v FROM v_spectra a JOIN sh USING(sample_id) LEFT JOIN v_spectra b ON b.sample_id=a.sample_id AND b.band=a.band-extra-lag)
-    SELECT sample_id, band, shift_bands, round(v,6)+0.0E0 AS value FROM mv""",
-)
-def c16(v):
-    aligned = S.align_class(v.spectra(), -F.col("class_index").cast("int"), max_lag=8)
+    SELECT sample_id, band, shift_bands, round(v,6)+0.0E0 AS value FROM mv"""
+
+
+def _aligned(v, max_lag: int):
+    aligned = S.align_class(v.spectra(), -F.col("class_index").cast("int"), max_lag=max_lag)
     return long_of(aligned, "sample_id", "shift_bands")
 
 
+@query("c16_align_class", _align_sql(8))
+def c16(v):
+    return _aligned(v, 8)
+
+
+@query("c16_align_class_full", _align_sql(S.MAX_LAG))
+def c16_full(v):
+    return _aligned(v, S.MAX_LAG)
+
+
 CV_SQL = "cv AS (SELECT class_index, band, count(*) AS n, avg(intensity) AS mean, stddev_samp(intensity) AS sd, 100.0E0*stddev_samp(intensity)/greatest(abs(avg(intensity)),2.220446049250313E-16) AS cv FROM (SELECT sample_id, class_index, band, intensity+1.0E0 AS intensity FROM v_spectra) GROUP BY 1,2)"
 
 
