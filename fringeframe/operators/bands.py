@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fringeframe.functions import arrays as A
 from fringeframe.operators.neighbours import nearest_rows
+from fringeframe.operators.settle import settled
 from fringeframe.operators.skew import group_rank, running_total
 from fringeframe.operators.spectral import explode_spectra
 
@@ -294,6 +295,7 @@ def relieff(spectra: DataFrame, samples: int = 200, neighbours: int = 10, seed:
     data = spectra.select("sample_id", "class_index", "spectrum", stats.alias("_st")).withColumn(
         "features", F.zip_with("spectrum", F.col("_st.sd"), lambda v, s: v / s)
     )
+    data = settled(data)
     digest = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id").cast("string")))
     picked = data.orderBy(digest, "sample_id").limit(samples)
     near = nearest_rows(data, picked, neighbours, per_class=True, exclude_self=True)

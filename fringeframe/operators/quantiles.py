@@ -2,7 +2,7 @@
 
 The order of doubles is the order of their bit patterns (signs turned). A pass over the table counts, map-side, the values by the
 next 16 bits; only the bins that hold a wanted rank go on to the next pass. As soon as these hold few values, one last pass
-counts their distinct values. Two or three scans are usual, five the most; no exchange carries more than 2^16 rows a key.
+counts their distinct values. A table of few values takes that pass alone; else two or three scans are usual, five the most. No exchange carries more than 2^16 rows a key.
 """
 
 from __future__ import annotations
@@ -108,10 +108,12 @@ def quantiles(
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "_place bigint, _prefix bigint, _digit bigint, _n bigint"])
     group = [*keys, "_place"]
     same = lambda a, b, names: [a[k].eqNullSafe(b[k]) for k in names]
+    many = F.sum(F.coalesce(F.size("_v"), F.lit(0))) if kind.startswith("array") and not by_place else F.count("_v")
+    inside = source.groupBy(*keys).agg(many.alias("n")).agg(F.max("n")).first()[0] or 0
     state = None
     bits = 0
     while True:
-        last = bits == 64 - DIGIT or (state is not None and (state.agg(F.max("_inside")).first()[0] or 0) <= few)
+        last = bits == 64 - DIGIT or inside <= few
         if state is None:
             rows = source
         else:
@@ -147,6 +149,7 @@ def quantiles(
         if last:
             break
         bits += DIGIT
+        inside = state.agg(F.max("_inside")).first()[0] or 0
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -117,31 +117,76 @@ def fit_template(images: DataFrame, height: int, width: int) -> DataFrame:
     return _pick(images, height, width, index)
 
 
-def crop_rois(frames: DataFrame, detections: DataFrame, scan: str, size: int, circular: bool) -> DataFrame:
-    """One image per (detection, frame): window [c-half, c+half) with an optional circular mask.
+def tiles(frames: DataFrame, side: int) -> DataFrame:
+    """Frames cut into tiles of at most side x side pixels: adds tile_y and tile_x, replaces pixels."""
+    pieces = lambda length: F.ceil(F.col(length) / F.lit(side)).cast("int") - 1
+    cut = frames.withColumn("tile_y", F.explode(F.sequence(F.lit(0), pieces("height")))).withColumn(
+        "tile_x", F.explode(F.sequence(F.lit(0), pieces("width")))
+    )
+    pixels = A.let(
+        F.struct(F.col("pixels").alias("p"), F.col("width").alias("w"), (F.col("tile_x") * side).alias("x")),
+        lambda t: F.flatten(
+            F.transform(
+                F.sequence(F.col("tile_y") * side, F.least((F.col("tile_y") + 1) * side, F.col("height")) - 1),
+                lambda y: F.slice(t["p"], (y * t["w"] + t["x"] + 1).cast("int"), F.least(F.lit(side), t["w"] - t["x"]).cast("int")),
+            )
+        ),
+    )
+    return cut.withColumn("pixels", pixels)
+
+
+def crop_rois(frames: DataFrame, detections: DataFrame, scan: str, size: int, circular: bool, tile: int = 256) -> DataFrame:
+    """One image per (detection, frame): window [c-half, c-half+size) with an optional circular mask.
 
     The mask keeps (y-half)^2 + (x-half)^2 <= half^2. A window outside the frame fails the job.
+
+    Frames are cut into tiles, a detection goes to the tiles that its window touches (at most four while the window is no larger
+    than a tile), and the crop is put together from their parts: no row holds a frame and a detection. The columns
+    of `frames` other than pixels tell frames apart.
     """
     half = size // 2
-    joined = frames.join(detections.select(scan, "det_id", "x", "y"), scan)
-    inside = (
-        (F.col("x") - half >= 0)
-        & (F.col("y") - half >= 0)
-        & (F.col("x") + half <= F.col("width"))
-        & (F.col("y") + half <= F.col("height"))
-    )
-    checked = joined.withColumn(
-        "x", F.when(inside, F.col("x")).otherwise(F.raise_error(F.lit("crop outside the frame")))
-    )
-
-    def index(s: Column, i: Column) -> Column:
-        y, x = F.floor(i / size), i % size
-        source = (s["cy"] - half + y) * s["w"] + s["cx"] - half + x
+    shape = frames.groupBy(scan).agg(F.min("height").alias("_h"), F.min("width").alias("_w"))
+    x, y = F.col("x").cast("bigint"), F.col("y").cast("bigint")
+    inside = (F.col("x") - half >= 0) & (F.col("y") - half >= 0) & (F.col("x") + (size - half) <= F.col("_w")) & (F.col("y") + (size - half) <= F.col("_h"))
+    placed = detections.select(scan, "det_id", "x", "y").join(shape, scan).select(
+        scan,
+        "det_id",
+        F.when(inside, x).otherwise(F.raise_error(F.lit("crop outside the frame"))).alias("_cx"),
+        y.alias("_cy"),
+    )
+    first = lambda c: F.floor((c - half) / tile).cast("int")
+    last = lambda c: F.floor((c + (size - half) - 1) / tile).cast("int")
+    placed = placed.withColumn("_ty", first(F.col("_cy"))).withColumn("_tx", first(F.col("_cx"))).withColumn("_nx", last(F.col("_cx")) - F.col("_tx") + 1)
+    touched = placed.withColumn("tile_y", F.explode(F.sequence(F.col("_ty"), last(F.col("_cy"))))).withColumn(
+        "tile_x", F.explode(F.sequence(F.col("_tx"), last(F.col("_cx"))))
+    )
+    joined = tiles(frames, tile).join(touched, [scan, "tile_y", "tile_x"])
+    top, left = F.col("tile_y") * tile, F.col("tile_x") * tile
+    y0, x0 = F.greatest(F.col("_cy") - half, top), F.greatest(F.col("_cx") - half, left)
+    y1, x1 = F.least(F.col("_cy") - half + size, top + tile), F.least(F.col("_cx") - half + size, left + tile)
+    across = F.least(F.lit(tile), F.col("width") - left)
+    part = A.let(
+        F.struct(F.col("pixels").alias("p"), across.alias("w"), (x0 - left).alias("x"), (x1 - x0).cast("int").alias("n")),
+        lambda t: F.flatten(F.transform(F.sequence(y0 - top, y1 - top - 1), lambda row: F.slice(t["p"], (row * t["w"] + t["x"] + 1).cast("int"), t["n"]))),
+    )
+    own = [c for c in frames.columns if c != "pixels"]
+    parts = joined.select(*own, "det_id", "_cy", "_cx", "_ty", "_tx", "_nx", F.struct("tile_y", "tile_x", y0.alias("y"), x0.alias("x"), (x1 - x0).alias("n"), part.alias("p")).alias("_part"))
+    whole = parts.groupBy(*own, "det_id", "_cy", "_cx", "_ty", "_tx", "_nx").agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+
+    def pixel(s: Column, i: Column) -> Column:
+        row, col = F.floor(i / size), i % size
+        gy, gx = s["cy"] - half + row, s["cx"] - half + col
+        at = (F.floor(gy / tile) - s["ty"]) * s["nx"] + F.floor(gx / tile) - s["tx"]
+        value = A.let(A.at(s["parts"], at), lambda q: A.at(q["p"], (gy - q["y"]) * q["n"] + gx - q["x"]))
         if not circular:
-            return source
-        return F.when((y - half) * (y - half) + (x - half) * (x - half) <= half * half, source)
+            return value
+        return F.when((row - half) * (row - half) + (col - half) * (col - half) <= half * half, value)
 
-    return _pick(checked, size, size, index, cx=F.col("x").cast("bigint"), cy=F.col("y").cast("bigint")).drop("x", "y")
+    pixels = A.let(
+        F.struct(F.col("_parts").alias("parts"), *[F.col(f"_{c}").alias(c) for c in ("cy", "cx", "ty", "tx", "nx")]),
+        lambda s: F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.coalesce(pixel(s, i), F.lit(0.0))),
+    )
+    return whole.withColumn("pixels", pixels).withColumn("height", F.lit(size)).withColumn("width", F.lit(size)).select(*own, "pixels", "det_id")
 
 
 def resize_nearest(images: DataFrame, height: int, width: int, size: int) -> DataFrame:

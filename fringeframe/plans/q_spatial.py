@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fringeframe.operators import spatial as D
+from fringeframe.operators import workflow as W
+from fringeframe.operators.calibrate import PUBLISHED_INTERCEPT, PUBLISHED_SLOPE
 from fringeframe.plans.registry import query, tidy
 from fringeframe.plans.views import CUBE_BANDS, SIDE, WAVELENGTH_START
 
@@ -338,3 +340,49 @@ def d20(v):
     return tidy(D.ring_support(rows.select("patch_id", energy.alias("energy")), 64))
 
 
+# Raw detections of the 8x8 frames (six a field) and a linear model over three bands.
+RAW = """raw AS (SELECT cube_id AS field_id, cube_id*10+k AS det_id, (1+(cube_id+k*2)%6)::DOUBLE AS x, (2+(cube_id*3+k)%6)::DOUBLE AS y, 0.15E0+0.13E0*((cube_id+k)%6) AS box_conf, 0.9E0-0.02E0*k AS kp_conf FROM (SELECT DISTINCT cube_id FROM v_pixels), range(6) q(k))"""
+MODEL_MEAN, MODEL_SCALE, MODEL_INTERCEPTS = [0.1, -0.2, 0.05], [1.5, 0.5, 1.0], [0.0, 0.1, -0.1, 0.05]
+MODEL_COEFFICIENTS = [[1.0, 0.5, -0.5], [-1.0, 0.25, 0.75], [0.5, -1.0, 0.5], [-0.25, 0.5, -1.0]]
+MEASURED_LABELS = ["G0", "G1", "G2", "G3"]
+
+
+def _measured_sql() -> str:
+    weights = ", ".join(f"({k}, {i}, {w}E0, {MODEL_MEAN[i]}E0, {MODEL_SCALE[i]}E0)" for k, row in enumerate(MODEL_COEFFICIENTS) for i, w in enumerate(row))
+    names = ", ".join(f"({k}, '{name}', {MODEL_INTERCEPTS[k]}E0)" for k, name in enumerate(MEASURED_LABELS))
+    line = lambda c: f"round(CASE WHEN {c}<=0 THEN 0.0E0 ELSE 7177.958896475087E0*{c}+16.595417284901487E0 END,4)+0.0E0"
+    return f"""WITH RECURSIVE {RAW}, ac AS (SELECT field_id, det_id, x, y, least(box_conf,kp_conf) AS joint FROM raw WHERE least(box_conf,kp_conf)>=0.25E0 AND x>=2 AND y>=2 AND x<=6 AND y<=6),
+    so AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY joint DESC, det_id) AS k FROM ac),
+    sg(field_id, k, kept) AS (SELECT field_id, 0::BIGINT, []::STRUCT(x DOUBLE, y DOUBLE, id BIGINT)[] FROM so GROUP BY 1 UNION ALL
+      SELECT sg.field_id, so.k, CASE WHEN len(list_filter(kept, lambda p: (p.x-so.x)*(p.x-so.x)+(p.y-so.y)*(p.y-so.y)<4))=0 THEN list_append(kept, {{'x': so.x, 'y': so.y, 'id': so.det_id}}) ELSE kept END FROM sg JOIN so ON so.field_id=sg.field_id AND so.k=sg.k+1),
+    sp AS (SELECT field_id, p.id AS det_id, p.x AS cx, p.y AS cy FROM (SELECT field_id, unnest(kept) AS p FROM (SELECT field_id, arg_max(kept, k) AS kept FROM sg GROUP BY 1))),
+    px AS (SELECT field_id, det_id, (band-1)//3 AS i, CASE WHEN (y-cy)*(y-cy)+(x-cx)*(x-cx)<=4 THEN intensity ELSE 0.0E0 END AS v FROM v_pixels JOIN sp ON cube_id=field_id WHERE band IN (1,4,7) AND y BETWEEN cy-2 AND cy+1 AND x BETWEEN cx-2 AND cx+1),
+    nz AS (SELECT field_id, det_id, i, coalesce(avg(v) FILTER (WHERE v>0), avg(v)) AS v FROM px GROUP BY ALL),
+    ft AS (SELECT field_id, det_id, i, (v-avg(v) OVER w)/(stddev_pop(v) OVER w+1.0E-6) AS v FROM nz WINDOW w AS (PARTITION BY field_id, det_id)),
+    sc AS (SELECT field_id, det_id, k, sum(w*(v-m)/s) AS s FROM ft JOIN (VALUES {weights}) t(k,i,w,m,s) USING(i) GROUP BY ALL),
+    nm(k, label, b) AS (VALUES {names}), pr AS (SELECT field_id, det_id, arg_max(label, s+b) AS label FROM sc JOIN nm USING(k) GROUP BY ALL),
+    cc AS (SELECT f.field_id, nm.label, count(pr.det_id) AS count FROM (SELECT DISTINCT cube_id AS field_id FROM v_pixels) f CROSS JOIN nm LEFT JOIN pr ON pr.field_id=f.field_id AND pr.label=nm.label GROUP BY ALL),
+    t AS (SELECT *, CAST(sum(count) OVER (PARTITION BY field_id) AS BIGINT) AS total_count FROM cc)
+    SELECT field_id, label, count, total_count, {line('count')} AS concentration, {line('total_count')} AS total_concentration FROM t"""
+
+
+@query("m1_measure_fields", _measured_sql())
+def measured(v):
+    """How many particles of each class does every field hold, and what concentrations are these?"""
+    frames = v.images().withColumnRenamed("cube_id", "field_id")
+    k = F.col("k")
+    raw = frames.select("field_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(
+        "field_id",
+        (F.col("field_id") * 10 + k).alias("det_id"),
+        (1 + (F.col("field_id") + k * 2) % 6).cast("double").alias("x"),
+        (2 + (F.col("field_id") * 3 + k) % 6).cast("double").alias("y"),
+        (0.15 + 0.13 * ((F.col("field_id") + k) % 6)).alias("box_conf"),
+        (0.9 - 0.02 * k).alias("kp_conf"),
+    )
+    rows = [(MODEL_MEAN, MODEL_SCALE, list(range(len(MEASURED_LABELS))), MODEL_COEFFICIENTS, MODEL_INTERCEPTS)]
+    model = v.spark.createDataFrame(rows, "mean array<double>, scale array<double>, classes array<bigint>, coefficients array<array<double>>, intercepts array<double>")
+    out = W.measure_fields(
+        frames, raw, model, MEASURED_LABELS, PICKED, BINS, PUBLISHED_SLOPE, PUBLISHED_INTERCEPT,
+        crop=4, spacing=2.0, size=(SIDE, SIDE), variant="spectral", tile=3,
+    )
+    return tidy(out, 4)
