@@ -21,7 +21,7 @@ from fringeframe.operators.settle import settled
 
 CHUNK = 32_768
 OVERLAP = 512
-# Characters on which both encoders were compared one by one (tests/llm/test_tokens.py); other texts go to the library itself.
+# Characters on which both encoders were compared one by one (tests/llm/test_text_operators.py); other texts go to the library itself.
 _PLAIN = re.compile(r"[\x00-\x7f\xa1-\u024f\u2010-\u2027\u2030-\u203a\u20ac]*")
 _STABLE = re.compile(r"\S(?=[ \n\t\r\f\v])")
 
