@@ -55,7 +55,7 @@ STAGES = [
     ("source_mixture", mix_sources),
 ]
 
-# Language models and fingerprints have no SQL; tests/llm/test_pipeline.py holds every stage against a brute-force version.
+# Language models and fingerprints have no SQL; tests/llm/test_table_operators.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
