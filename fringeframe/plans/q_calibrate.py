@@ -152,6 +152,11 @@ def g9(v):
     return tidy(G.correlations(mapped(v), X, Y).select("n", "pearson_r", "spearman_rho"))
 
 
+@query("g9_correlation_p_values")
+def g9_p_values(v):
+    return tidy(G.correlations(mapped(v), X, Y))
+
+
 ORIGIN_SQL = "os AS (SELECT sum(x*y)/sum(x*x) AS s FROM p), og AS (SELECT max(s) AS slope, sqrt(avg((y-s*x)**2)) AS rmse, avg(abs(y-s*x)) AS mae, 1-sum((y-s*x)**2)/regr_syy(y,y) AS centered_r2 FROM p, os)"
 
 

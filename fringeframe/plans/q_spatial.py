@@ -244,6 +244,11 @@ def d14(v):
     return long_pixels(D.augment(v.images(), 3, 5, CUBE_BANDS, noise=0.0), "class_index", "item", "cube_id", "band")
 
 
+@query("d14_augment_noise")
+def d14_noise(v):
+    return long_pixels(D.augment(v.images(), 3, 5, CUBE_BANDS), "class_index", "item", "cube_id", "band")
+
+
 REFERENCE = f"""sb AS (SELECT cube_id, class_index, band, avg(intensity) AS v FROM np GROUP BY 1,2,3), rs AS (SELECT class_index, band, avg(v) AS mean, sqrt(greatest(var_pop(v),1.0E-6)) AS sd FROM sb GROUP BY 1,2),
 ec AS (SELECT cube_id, class_index, avg(intensity) AS v FROM np GROUP BY 1,2), re AS (SELECT class_index, avg(v) AS mean, sqrt(greatest(var_pop(v),1.0E-6)) AS sd FROM ec GROUP BY 1),
 {PROFILE.format(src='np')}, rr AS (SELECT class_index, band, bin, avg(m) AS mean, sqrt(greatest(var_pop(m),1.0E-6)) AS sd FROM pf GROUP BY 1,2,3)"""
