@@ -77,7 +77,7 @@ def _blocks(df: DataFrame, pivots: np.ndarray, block: int, rows: int) -> DataFra
 
 
 def _met(k: int, exclude_self: bool):
-    """Rows (qblock, kind, qids, qx, ids, classes, x) to the k best of each query in the other block, and `limit`: the largest k-th distance (infinite where one has fewer)."""
+    """Rows (qblock, kind, qids, qx, ids, classes, x, known) to the k best of each query in the other block, and `limit`: the largest k-th distance (infinite where one has fewer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,6 +98,11 @@ def _met(k: int, exclude_self: bool):
                 r, c, d = r[order], c[order], d[order]
                 rank = np.arange(len(r)) - np.searchsorted(r, r)
                 keep = rank < k
+                known = batch.column("known")[i].as_py()
+                if known:
+                    # What a query has found so far: rows farther than its k-th are not handed on.
+                    far = {e["query_id"]: e["kth"] for e in known}
+                    keep &= d <= np.array([far.get(q, np.inf) for q in qid.tolist()])[r] * (1 + _SLACK)
                 r, c, d = r[keep], c[keep], d[keep]
                 full = np.bincount(r, minlength=len(qid)) >= k
                 limit = float(d[rank[keep] == k - 1].max(initial=0)) if full.all() else float("inf")
@@ -133,27 +138,31 @@ def search(
     # Pairs of block centres, not of rows; the join is on the pivot, so that it is spread over tasks.
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(len(places) - 1).cast("bigint"))
     asked = left.select(F.col("block").alias("qblock"), F.col("centre").alias("qc"), F.col("radius").alias("qr"), F.explode(every).alias("cell"))
-    known = right.select("cell", "block", "kind", "rows", "centre", "radius")
+    held = right.select("cell", "block", "kind", "rows", "centre", "radius")
     apart = F.sqrt(F.aggregate(F.zip_with("qc", "centre", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
-    pairs = asked.join(known, "cell").select("qblock", "block", "kind", "rows", "qr", "radius", apart.alias("apart"))
+    pairs = asked.join(held, "cell").select("qblock", "block", "kind", "rows", "qr", "radius", apart.alias("apart"))
     enough = F.col("rows") < k + (1 if exclude_self else 0)
     near = F.row_number().over(Window.partitionBy("qblock", "kind").orderBy(enough, "apart", "block"))
     first = pairs.withColumn("r", near).filter("r = 1").select("qblock", "block")
     sides = left.select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("x").alias("qx")), right.select("block", "kind", "ids", "classes", "x")
 
     def meet(which: DataFrame) -> DataFrame:
-        return which.join(sides[0], "qblock").join(sides[1], "block").select("qblock", "kind", "qids", "qx", "ids", "classes", "x").mapInArrow(_met(k, exclude_self), _MET)
+        return which.join(sides[0], "qblock").join(sides[1], "block").select("qblock", "kind", "qids", "qx", "ids", "classes", "x", "known").mapInArrow(_met(k, exclude_self), _MET)
 
-    begun = settled(meet(first))
+    entry = "array<struct<query_id: bigint, kth: double>>"
+    begun = settled(meet(first.withColumn("known", F.lit(None).cast(entry))))
     limits = begun.groupBy("qblock", "kind").agg(F.max("limit").alias("limit"))
+    kth = begun.groupBy("qblock", "kind", "query_id").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    known = kth.groupBy("qblock", "kind").agg(F.collect_list(F.struct("query_id", "kth")).cast(entry).alias("known"))
     bound = F.greatest(F.lit(0.0), F.col("apart") * (1 - _SLACK) - (F.col("qr") + F.col("radius")) * (1 + _SLACK))
     open_ = pairs.join(limits, ["qblock", "kind"], "left").filter(F.col("limit").isNull() | (bound <= F.col("limit") * (1 + _SLACK)))
-    rest = open_.select("qblock", "block").join(first, ["qblock", "block"], "left_anti")
-    both = begun.unionByName(meet(rest)).drop("qblock", "limit")
+    rest = open_.select("qblock", "block", "kind").join(first, ["qblock", "block"], "left_anti")
+    met = meet(rest.join(known, ["qblock", "kind"], "left").drop("kind"))
+    both = begun.unionByName(met).drop("qblock", "limit")
     keys = ["query_id", "kind"] if per_class else ["query_id"]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "row_id"))
     best = both.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return best, first.unionByName(rest), pairs
+    return best, first.unionByName(rest.drop("kind")), pairs
 
 
 def nearest_rows(
