@@ -54,14 +54,41 @@ def test_urls(spark):
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in rows], "page_id int, url string, rule string, place int")
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
     want = Counter((i, *_verdict(u)) for i, u in rows)
-    for limit in (1000, 1):  # by the cascade, and beyond its size by a join
-        out = urls.judge_urls(pages, rules, max_keys=limit)
+    for limits in ({}, {"max_keys": 1}, {"max_lengths": 1}):  # by the cascade, and beyond its size by joins
+        out = urls.judge_urls(pages, rules, **limits)
         assert Counter(tuple(r) for r in out.select("page_id", "host", "path", "rule", "verdict").collect()) == want
         assert out.columns == ["page_id", "url", "place", "host", "path", "rule", "verdict"]
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in urls.judge_urls(pages, rules.limit(0), otherwise="block").collect()} == {"block"}
 
 
+def test_urls_with_very_many_path_lengths(spark):
+    """Beyond any number of lengths the rules still decide; a list of one length more than the limit agrees with one of as many."""
+    rules = [("a.com", "/" + "p" * n, "block" if n % 2 else "allow") for n in range(1200)]
+    listed = spark.createDataFrame(rules, "host string, path string, action string")
+    pages = spark.createDataFrame([(n, f"http://x.a.com/{'p' * n}q") for n in (0, 1, 2, 63, 64, 700, 1199, 3000)], "page_id int, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(pages, listed).collect()}
+    assert got == {n: ("a.com/" + "p" * min(n, 1199), "block" if min(n, 1199) % 2 else "allow") for n in (0, 1, 2, 63, 64, 700, 1199, 3000)}
+    few = listed.filter(F.length("path") <= 64)
+    a, b = (urls.judge_urls(pages, few, max_lengths=limit).select("page_id", "rule", "verdict").collect() for limit in (64, 63))
+    assert sorted(a) == sorted(b)
+
+
+def test_broadcasts_need_no_package():
+    """What tasks read holds arrays and lists alone: unpickling it imports no module of the package."""
+    import pickle
+
+    from fringeframe.llm import leaks
+
+    statistics = leaks.Statistics(1, 2.0, np.unique(leaks.Words(leaks.pa.array(["red door"]), lower=True, breaks=leaks.SIGNS).hashes[0]), np.ones(2, np.int64))
+    (index,) = leaks.build_indexes([1], ["red door"], statistics)
+    cascade = urls.Cascade()
+    cascade.add(np.arange(8, dtype=np.uint64).reshape(4, 2), 0.5)
+    for value in (index.plain(), cascade.levels):
+        assert b"fringeframe" not in pickle.dumps(value)
+    assert leaks.Index.of(index.plain()).passage == 128
+
+
 # Vectors
 
 
