@@ -361,7 +361,11 @@ def test_leaks(spark, docs, none):
 def test_leak_retrieval_is_exact():
     """Block-max retrieval returns what scoring every passage against every item returns; searched tables as dense ones."""
     texts = [f"{prose(i % 7, 10)} {prose(50 + i, 18)}" for i in range(40)]
-    index = leaks.build_index(list(range(40)), texts)
+    held = [set(t.split(" ")) for t in texts]
+    terms = {w: int(Words(pa.array([w]), lower=True, breaks=leaks.SIGNS).hashes[0][0]) for w in set().union(*held)}
+    known = sorted((h, sum(w in x for x in held)) for w, h in terms.items())
+    whole = leaks.Statistics(40, sum(len(t.split(" ")) for t in texts) / 40, *(np.array(c) for c in (np.array([h for h, _ in known], np.uint64), [n for _, n in known])))
+    (index,) = leaks.build_indexes(list(range(40)), texts, whole)
     corpus = pa.array([prose(600 + i, 90) + " " + texts[i * 3 % 40] + " " + prose(i % 7, 10) for i in range(30)])
     words = Words(corpus, lower=True, breaks=leaks.SIGNS)
     weights = np.zeros((len(index.best), 40))
@@ -381,10 +385,34 @@ def test_leak_retrieval_is_exact():
                 index.by_block.dense = index.by_item.dense = None
             text, lo, _, item, _ = leaks.retrieve(index, words, threshold)
             assert {(d, a - words.first[d], i) for d, a, i in zip(text.tolist(), lo.tolist(), item.tolist())} == want
-        index = leaks.build_index(list(range(40)), texts)
+        (index,) = leaks.build_indexes(list(range(40)), texts, whole)
         assert want
 
 
+def test_leaks_do_not_depend_on_parts_or_on_other_items(spark):
+    items = [(i, f"{prose(900 + i, 12 + 9 * i)}. {prose(990 + i, 1 + i % 4)}") for i in range(24)] + [(50, "red door"), (51, "zzyzx")]
+    half = items[20][1].split(" ")
+    texts = [prose(700 + i, 150) + " " + items[i][1] + " " + prose(800 + i, 150) for i in range(24)]
+    texts += [" ".join(half[: len(half) // 2]) + " " + prose(870, 3000) + " " + " ".join(half[len(half) // 2 :])]
+    texts += ["the red door is open", "red " + prose(871, 100) + " door", "a zzyzx here", "door red"]
+    # Only a part of an item, so that scores lie on both sides of the threshold.
+    texts += [" ".join(t.split(" ")[: 4 + 7 * i // 8 * 2]) for i, (_, t) in enumerate(items[:24])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = lambda b, **kw: sorted(tuple(r) for r in leaks.find_leaks(docs, b, **kw).collect())
+    whole = rows(bench)
+    assert {(i, i) for i in range(24)} <= {r[:2] for r in whole} and not [r for r in whole if r[0] == 24]
+    assert [r[:2] for r in whole if r[1] >= 50] == [(25, 50), (27, 51)]
+    size = sum(len(t) for _, t in items)
+    assert rows(bench, index_bytes=size // 5) == whole
+    screened = leaks.screen(docs, bench, index_bytes=size // 5).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*")
+    assert sorted(tuple(r) for r in screened.collect()) == whole
+    # An item of 10,000 words changes the mean length and frequencies a little, but neither passages nor what is whole in a text.
+    more = rows(bench.union(spark.createDataFrame([(99, prose(5000, 10_000))], bench.schema)))
+    assert {(i, i) for i in range(24)} <= {r[:2] for r in more} and not [r for r in more if r[0] in (24, 26)]
+    assert rows(bench, split=lambda t: (t, "")) != []
+
+
 def test_shingle_counts_of_short_texts():
     texts = ["a", "a b c d", "a b c d e", "A  B c D e e", ""]
     _, counts = jaccard.shingle_sets(pa.array(texts), 5)
