@@ -15,6 +15,7 @@ from fringeframe.plans.registry import query, tidy
 from fringeframe.plans.views import CUBE_BANDS, IMAGE_HEIGHT, IMAGE_WIDTH, SIDE, WAVELENGTH_START
 from fringeframe.sources import envi, frames, labels, tables
 from fringeframe.streaming import acquisition as J
+from fringeframe.streaming.snapshots import keyed_sink, snapshot
 
 
 def r(expr: str, name: str | None = None) -> str:
@@ -270,8 +271,8 @@ def j1(v):
 )
 def j2(v):
     out = scratch(v.spark, "progress")
-    J.run_available(J.scan_progress(J.landed_frames(v.spark, landed(v)), TOTAL), J.versioned_sink(out), "update")
-    return tidy(J.latest(v.spark, out, "scan_id"))
+    J.run_available(J.scan_progress(J.landed_frames(v.spark, landed(v)), TOTAL), keyed_sink(out, "scan_id"), "update")
+    return tidy(snapshot(v.spark, out))
 
 
 @query("j3_without_retries", f"SELECT scan_id, position, count(*) AS copies FROM ({RECORDS}) GROUP BY 1,2")
@@ -309,6 +310,6 @@ def j5(v):
     rows.write.parquet(path)
     stream = v.spark.readStream.schema(rows.schema).parquet(path)
     model = M.centroid_model(M.as_features(v.spectra().filter("sample_id % 10 >= 3")))
-    J.run_available(J.field_quantities(stream, model, LABELS), J.versioned_sink(out), "update")
-    counts = J.latest(v.spark, out, "field_id")
+    J.run_available(J.field_quantities(stream, model, LABELS), keyed_sink(out, "field_id"), "update")
+    counts = snapshot(v.spark, out)
     return tidy(J.quantified(counts, LABELS, G.PUBLISHED_SLOPE, G.PUBLISHED_INTERCEPT), 4)
