@@ -49,6 +49,79 @@ def test_decoding(code, kind, interleave, tmp_path):
         assert np.array_equal(got[2], data[2].ravel()) and np.array_equal(got[0], data[0].ravel())
 
 
+class Counting:
+    """A file that counts the bytes it hands out."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.read_bytes = data, 0, 0
+
+    def size(self):
+        return len(self.data)
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, size):
+        part = self.data[self.at : self.at + size]
+        self.at += len(part)
+        self.read_bytes += len(part)
+        return part
+
+
+@pytest.mark.parametrize("interleave", ["bsq", "bil", "bip"])
+def test_bytes_read_for_some_bands(interleave, monkeypatch):
+    """One band of twelve costs a twelfth of the file, but for pixel-interleaved cubes; small blocks and groups change nothing."""
+    data = np.random.default_rng(3).integers(0, 999, (12, 7, 5)).astype("<u2")
+    order = {"bsq": (0, 1, 2), "bil": (1, 0, 2), "bip": (1, 2, 0)}[interleave]
+    raw = data.transpose(order).tobytes()
+    meta = envi.parse_header(f"samples = 5\nlines = 7\nbands = 12\ndata type = 12\ninterleave = {interleave}\n", (400.0, 800.0))
+    for block, image in ((envi.BLOCK_BYTES, envi.IMAGE_BYTES), (250, 300)):
+        monkeypatch.setattr(envi, "BLOCK_BYTES", block)
+        monkeypatch.setattr(envi, "IMAGE_BYTES", image)
+        for wanted in ([4], [11, 0, 1], [3, 3], [], list(range(12))):
+            handle = Counting(raw)
+            got = list(envi.read_bands(handle, meta, wanted))
+            assert [b for b, _ in got] == wanted and all(np.array_equal(image, data[b].ravel()) for b, image in got)
+            if interleave != "bip" and len(wanted) == len(set(wanted)) < 12:
+                assert handle.read_bytes == len(raw) * len(wanted) // 12
+    assert envi.BLOCK_BYTES == 250
+
+
+def test_filters_reach_the_files(spark, tmp_path):
+    data = np.random.default_rng(4).random((6, 4, 3)).astype("f4")
+    for name in ("a", "b", "c"):
+        envi.write_envi(cube_rows(spark, data, np.linspace(411, 779, 6), name), str(tmp_path), (6, 4, 3))
+    cubes = envi.read_envi(spark, str(tmp_path))
+    asked = {
+        "band = 3": 3,
+        "band in (1, 4) and cube_id = 'b'": 2,
+        "band > 1 and band <= 3 and cube_id in ('a', 'c')": 4,
+        "cube_id <> 'a' and not band in (0, 1, 2)": 6,
+        "band = 9": 0,
+        "cube_id = 'none'": 0,
+        "wavelength_nm > 700": 6,
+    }
+    every = [(r["cube_id"], r["band"], r["wavelength_nm"], r["pixels"]) for r in cubes.collect()]
+    whole = spark.createDataFrame(every, "cube_id string, band int, wavelength_nm double, pixels array<float>")
+    for condition, n in asked.items():
+        got = cubes.filter(condition).select(*whole.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.filter(condition).collect())) and got.count() == n
+    # A cube that the filter rules out is not opened: this one is too short to be read.
+    (tmp_path / "d.hdr").write_text((tmp_path / "a.hdr").read_text())
+    (tmp_path / "d.raw").write_bytes(b"1234")
+    assert cubes.filter("cube_id < 'd' and band = 0").count() == 3
+    with pytest.raises(Exception, match="too short"):
+        cubes.filter("band = 0").collect()
+
+
+def test_partitions_are_cut_by_bytes(spark, tmp_path):
+    data = np.zeros((6, 4, 3), "f4")
+    for name in ("a", "b", "c", "d", "e"):
+        envi.write_envi(cube_rows(spark, data, np.linspace(411, 779, 6), name), str(tmp_path), (6, 4, 3))
+    sizes = lambda limit: [len(p.headers) for p in envi.EnviReader({"path": str(tmp_path), "partition_bytes": limit}).partitions()]
+    assert sizes(2 * data.nbytes) == [2, 2, 1] and sizes(1) == [1] * 5 and sizes(1 << 30) == [5]
+
+
 def test_bad_cubes(spark, tmp_path):
     with pytest.raises(ValueError, match="wavelength per band"):
         envi.parse_header("samples = 1\nlines = 1\nbands = 2\ndata type = 4\nwavelength = {1.0}\n", None)
