@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fringeframe.llm.graph import compact, components, small_batches
+from fringeframe.llm.graph import compact, components, joins_by_shuffle, small_batches
 from fringeframe.llm.words import Words, from_planes, mix, packed, planes, slices, trim, unpacked
 from fringeframe.operators.settle import settled
 
@@ -354,7 +354,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """`similar_documents` and the verified links (x, y) between classes of different sets that its components rest on."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), joins_by_shuffle(docs.sparkSession):
         return _links(docs, key, text, size, percent)
 
 

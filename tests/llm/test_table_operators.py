@@ -255,8 +255,13 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    out = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert out == {n: find(n) for a, b in edges if a != b for n in (a, b)}
+    want = {n: find(n) for a, b in edges if a != b for n in (a, b)}
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    # All edges in one task, in several that end in star rounds, and in very small ones.
+    for task_edges in (graph.TASK_EDGES, 60, 20):
+        rows = graph.components(table, task_edges=task_edges).collect()
+        assert len(rows) == len(want) and {r["node"]: r["component"] for r in rows} == want
+    assert graph.components(table.filter("a = b")).count() == 0
 
 
 # Queries and pipeline
