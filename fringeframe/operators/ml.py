@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from fringeframe.functions import arrays as A
 from fringeframe.operators.evaluate import metrics
+from fringeframe.operators.kernels import default_gamma, nystroem_features
 from fringeframe.operators.neighbours import nearest_rows
 from fringeframe.operators.settle import settled
 
@@ -74,6 +75,10 @@ def estimator(name: str, n: int, width: int, classes: int, c: float = 1.0, seed:
     if name == "linear_svm":
         svc = LinearSVC(featuresCol="vector", regParam=reg, maxIter=50)
         return OneVsRest(classifier=svc, **common, weightCol="weight", parallelism=4)
+    if name == "kernel_svm":
+        # Kernel features carry their scale: the penalty is the kernel's own norm.
+        svc = LinearSVC(featuresCol="vector", regParam=reg, maxIter=200, standardization=False)
+        return OneVsRest(classifier=svc, **common, weightCol="weight", parallelism=4)
     if name == "random_forest":
         return RandomForestClassifier(
             **common, weightCol="weight", numTrees=100, seed=seed, probabilityCol="_p", rawPredictionCol="_r"
@@ -88,18 +93,19 @@ def estimator(name: str, n: int, width: int, classes: int, c: float = 1.0, seed:
     raise ValueError(name)
 
 
-def fit_predict(name: str, train: DataFrame, test: DataFrame, c: float = 1.0, seed: int = 2026) -> DataFrame:
+def fit_predict(name: str, train: DataFrame, test: DataFrame, c: float | None = None, seed: int = 2026) -> DataFrame:
     """Standardise on train, fit, and return test rows with `predicted_index`.
 
-    `svm_rbf` and `knn_5` are handled here as well.
+    `svm_rbf` and `knn_5` are handled here as well. c defaults to 10 for `svm_rbf`, else to 1.
     """
+    c = (10.0 if name == "svm_rbf" else 1.0) if c is None else c
     scaler = settled(fit_scaler(train))
     a, b = scale(train, scaler), scale(test, scaler)
     if name == "knn_5":
         return knn_classify(a, b, 5)
     if name == "svm_rbf":
-        a, b = fourier_features(a, b, seed=seed)
-        name, c = "linear_svm", 10.0
+        a, b = (df.drop("residual") for df in nystroem_features(a, b, seed=seed))
+        name = "kernel_svm"
     a = settled(balanced_weights(with_vector(a)))
     facts = a.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("w"), F.max("class_index").alias("k")
@@ -114,10 +120,7 @@ def fourier_features(train: DataFrame, test: DataFrame, size: int = 300, gamma:
 
     gamma defaults to 1/(features * variance of all training values). The kernel is approximate.
     """
-    if gamma is None:
-        facts = train.select(F.explode("features").alias("v")).agg(F.var_pop("v").alias("v")).first()
-        width = train.agg(F.max(F.size("features"))).first()[0]
-        gamma = 1.0 / (width * (facts["v"] or 1.0))
+    gamma = default_gamma(train) if gamma is None else gamma
 
     def mapped(df: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

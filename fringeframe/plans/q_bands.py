@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from fringeframe.operators import bands as B
+from fringeframe.operators import kernels as K
 from fringeframe.operators import ml as M
 from fringeframe.operators.settle import settled
 from fringeframe.plans.registry import query, tidy
@@ -195,6 +196,14 @@ def i4(v):
     return predicted(v, "svm_rbf")
 
 
+@query("i4_kernel_residuals")
+def i4_residuals(v):
+    train, test = split(v)
+    scaler = settled(M.fit_scaler(train))
+    both = K.nystroem_features(M.scale(train, scaler), M.scale(test, scaler))
+    return tidy(both[0].unionByName(both[1]).select("sample_id", "class_index", "residual"))
+
+
 @query(
     "i5_knn_classify",
     """WITH tr AS (SELECT * FROM v_spectra WHERE sample_id%10>=3), ts AS (SELECT * FROM v_spectra WHERE sample_id%10<3),
