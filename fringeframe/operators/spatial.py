@@ -441,25 +441,24 @@ VARIANTS = ("spectral", "spectral_radial", "spectral_radial_stats")
 
 
 def features(images: DataFrame, bands: list[int], bins: int, variant: str = "spectral_radial_stats") -> DataFrame:
-    """(cube_id, class_index, features): SNV of the selected bands, their radial profiles, six globals."""
+    """(cube_id, class_index, features): SNV of the selected bands, their radial profiles, six globals.
+
+    A feature's place depends on the order of `bands` alone. The places of a band that a cube lacks are NULL, the SNV is over the others.
+    """
     if variant not in VARIANTS:
         raise ValueError(variant)
     keys = ["cube_id", "class_index"]
     pixels = F.col("pixels")
     per_band = images.select(*keys, "band", nonzero_mean(pixels).alias("intensity"))
-    spectra = collect_spectra(per_band, keys)
-    chosen = F.transform(F.array(*[F.lit(b) for b in bands]), lambda b: A.at(F.col("spectrum"), b))
-    out = spectra.withColumn("features", A.snv(chosen))
+    packed = F.sort_array(F.collect_list(F.struct(F.col("band").alias("at"), F.col("intensity").alias("v"))))
+    spectra = per_band.groupBy(*keys).agg(packed.alias("_s"))
+    out = spectra.withColumn("features", _snv_of_present(_placed(F.col("_s"), bands, F.lit(None).cast("double"))))
     if variant != "spectral":
-        order = F.create_map(*[F.lit(x) for i, b in enumerate(bands) for x in (b, i)])
         profiles = radial_profile(images.filter(F.col("band").isin(bands)), bins, True)
-        stacked = profiles.groupBy(*keys).agg(
-            F.sort_array(F.collect_list(F.struct(order[F.col("band").cast("int")].alias("o"), "profile"))).alias("_p")
-        )
-        flat = F.flatten(F.transform("_p", lambda s: s["profile"]))
-        out = out.join(stacked, keys).withColumn("features", F.concat("features", flat)).drop("_p")
+        stacked = profiles.groupBy(*keys).agg(F.collect_list(F.struct(F.col("band").alias("at"), F.col("profile").alias("v"))).alias("_p"))
+        out = out.join(stacked, keys, "left").withColumn("features", F.concat("features", _flat_profiles(F.col("_p"), bands, bins))).drop("_p")
     if variant == "spectral_radial_stats":
-        s = F.col("spectrum")
+        s = F.transform("_s", lambda b: b["v"])
         globals_ = F.array(
             A.mean(s), A.sd_pop(s), A.percentile(s, 0.1), A.percentile(s, 0.9), F.col("cube_mean"), F.col("cube_sd")
         )
@@ -467,13 +466,39 @@ def features(images: DataFrame, bands: list[int], bins: int, variant: str = "spe
     return out.select(*keys, "features")
 
 
+def _placed(found: Column, places: list[int], missing: Column) -> Column:
+    """Values of (at, v) structs in the order of `places`; `missing` where a place has none."""
+    return A.let(
+        F.coalesce(found, F.array()),
+        lambda f: F.transform(
+            F.array(*[F.lit(p) for p in places]), lambda p: F.coalesce(A.at(F.filter(f, lambda s: s["at"] == p), F.lit(0))["v"], missing)
+        ),
+    )
+
+
+def _flat_profiles(found: Column, places: list[int], bins: int) -> Column:
+    return F.flatten(_placed(found, places, F.array_repeat(F.lit(None).cast("double"), bins)))
+
+
+def _snv_of_present(a: Column) -> Column:
+    """SNV over the values that are there; a NULL stays NULL."""
+    return A.let(
+        F.struct(a.alias("a"), F.filter(a, lambda v: v.isNotNull()).alias("p")),
+        lambda t: A.let(
+            F.struct(t["a"].alias("a"), A.mean(t["p"]).alias("m"), A.sd_pop(t["p"]).alias("s")),
+            lambda u: F.transform(u["a"], lambda v: (v - u["m"]) / (u["s"] + F.lit(1e-6))),
+        ),
+    )
+
+
 def features_selected_only(
     images: DataFrame, wavelengths: list[float], axis: tuple[float, float, int], bins: int
 ) -> DataFrame:
     """(cube_id, class_index, features): SNV and radial profiles at selected wavelengths only.
 
     Only the frames next to a selected wavelength are read (the band filter reaches the scan); frames
-    between two bands are interpolated. `axis` is (first nm, last nm, bands).
+    between two bands are interpolated. `axis` is (first nm, last nm, bands). A wavelength for which a cube lacks one of the frames
+    leaves its places NULL, the SNV is over the others.
     """
     lo, hi, count = axis
     keys = ["cube_id", "class_index"]

@@ -190,7 +190,8 @@ def feature_sql(src: str, order: str, stats: bool) -> str:
 
 
 def long_features(df):
-    return tidy(df.select("cube_id", F.posexplode("features").alias("position", "value")))
+    """One row per feature that the cube has; the places of missing bands have none."""
+    return tidy(df.select("cube_id", F.posexplode("features").alias("position", "value")).filter("value IS NOT NULL"))
 
 
 @query("d12_features", feature_sql("v_pixels", "CASE band WHEN 1 THEN 0 WHEN 4 THEN 1 WHEN 7 THEN 2 END", True))
