@@ -180,7 +180,8 @@ def score_linear(df: DataFrame, model: DataFrame, variant: str = "spectral_radia
     """Add predicted_index, margin (best minus second score) and scores.
 
     `model`: one row (mean, scale, classes ARRAY<BIGINT>, coefficients ARRAY<ARRAY>, intercepts ARRAY).
-    The selected-only variant drops six trailing features; any other length mismatch fails the job.
+    The selected-only variant drops six trailing features; any other length mismatch fails the job. A missing (NULL) feature adds
+    nothing to a score, as if it were the training mean; a row without any feature gets no prediction.
     """
     whole = model.select(F.struct("mean", "scale", "classes", "coefficients", "intercepts")).scalar()
     width = F.size("_m.mean")
@@ -193,8 +194,9 @@ def score_linear(df: DataFrame, model: DataFrame, variant: str = "spectral_radia
     z = F.zip_with(
         F.zip_with(checked, F.col("_m.mean"), lambda v, m: v - m),
         F.col("_m.scale"),
-        lambda v, s: v / F.when(s == 0, F.lit(1.0)).otherwise(s),
+        lambda v, s: F.coalesce(v / F.when(s == 0, F.lit(1.0)).otherwise(s), F.lit(0.0)),
     )
+    known = (F.size("features") == 0) | F.exists("features", lambda v: v.isNotNull())
     scores = A.let(
         F.struct(z.alias("z"), F.col("_m.coefficients").alias("c"), F.col("_m.intercepts").alias("b")),
         lambda t: F.transform(t["c"], lambda w, i: A.dot(w, t["z"]) + A.at(t["b"], i)),
@@ -203,7 +205,7 @@ def score_linear(df: DataFrame, model: DataFrame, variant: str = "spectral_radia
     margin = A.let(F.sort_array("scores", asc=False), lambda s: A.at(s, F.lit(0)) - A.at(s, F.lit(1)))
     return (
         df.withColumn("_m", whole)
-        .withColumn("scores", scores)
+        .withColumn("scores", F.when(known, scores))
         .withColumn("predicted_index", A.at(F.col("_m.classes"), best))
         .withColumn("margin", margin)
         .drop("_m")
