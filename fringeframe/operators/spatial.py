@@ -18,7 +18,7 @@ from fringeframe.functions import arrays as A
 from fringeframe.functions.draws import draw_index, normal, uniform
 from fringeframe.operators.quantiles import quantiles
 from fringeframe.operators.skew import group_rank
-from fringeframe.operators.spectral import class_mean_spectra, collect_spectra, nonzero_mean
+from fringeframe.operators.spectral import nonzero_mean
 
 IMAGE_KEYS = ["cube_id", "class_index", "band"]
 
@@ -527,14 +527,17 @@ def features_selected_only(
         F.struct("a", "b", "w"),
         lambda t: F.zip_with(t["a"], t["b"], lambda p, q: p * (1.0 - t["w"]) + q * t["w"]),
     )
-    crops = mixed.select(*keys, F.col("order").alias("band"), "height", "width", pixels.alias("pixels"))
+    whole = mixed.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    crops = whole.select(*keys, F.col("order").alias("band"), "height", "width", pixels.alias("pixels"))
     profiles = radial_profile(crops, bins, True)
     spectrum = crops.select(*keys, "band", nonzero_mean(F.col("pixels")).alias("intensity"))
     joined = spectrum.join(profiles, [*keys, "band"]).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("band", "intensity", "profile"))).alias("_s")
+        F.collect_list(F.struct(F.col("band").alias("at"), F.col("intensity").alias("v"))).alias("_s"),
+        F.collect_list(F.struct(F.col("band").alias("at"), F.col("profile").alias("v"))).alias("_p"),
     )
-    snv = A.snv(F.transform("_s", lambda s: s["intensity"]))
-    return joined.select(*keys, F.concat(snv, F.flatten(F.transform("_s", lambda s: s["profile"]))).alias("features"))
+    orders = list(range(len(wavelengths)))
+    snv = _snv_of_present(_placed(F.col("_s"), orders, F.lit(None).cast("double")))
+    return joined.select(*keys, F.concat(snv, _flat_profiles(F.col("_p"), orders, bins)).alias("features"))
 
 
 def augment(
@@ -803,14 +806,20 @@ def geometry_report(
 
 
 def cube_manifest(images: DataFrame, normaliser: DataFrame) -> DataFrame:
-    """Per cube: normalised mean and SD, cosine of its mean spectrum to the class mean, raw min and max."""
+    """Per cube: normalised mean and SD, cosine of its mean spectrum to the class mean, raw min and max.
+
+    Bands meet by number: a cube that lacks some is compared over those it has.
+    """
     keys = ["cube_id", "class_index"]
     scaled = normalise(images, normaliser)
-    spectra = collect_spectra(
-        scaled.select(*keys, "band", A.mean(F.col("pixels")).alias("intensity")), keys
-    )
-    means = class_mean_spectra(spectra)
-    cosine = spectra.join(means, "class_index").select(*keys, A.cosine(F.col("spectrum"), F.col("class_mean")).alias("cosine"))
+    spectra = scaled.select(*keys, "band", A.mean(F.col("pixels")).alias("v"))
+    means = spectra.groupBy("class_index", "band").agg(F.avg("v").alias("m"))
+    product = lambda a, b: F.sum(F.col(a) * F.col(b))
+    sums = spectra.join(means, ["class_index", "band"]).groupBy(*keys).agg(
+        product("v", "m").alias("_vm"), F.sqrt(product("v", "v")).alias("_v"), F.sqrt(product("m", "m")).alias("_m")
+    )
+    length = F.col("_v") * F.col("_m")
+    cosine = sums.select(*keys, F.when(length <= 1e-12, F.lit(0.0)).otherwise(F.col("_vm") / length).alias("cosine"))
     raw = images.groupBy(*keys).agg(
         F.min(F.array_min("pixels")).alias("min_raw"), F.max(F.array_max("pixels")).alias("max_raw")
     )

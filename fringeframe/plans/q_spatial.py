@@ -207,7 +207,9 @@ def d12_spectral(v):
     return long_features(D.features(v.images(), PICKED, BINS, "spectral"))
 
 
-MIXED = """(SELECT cube_id, o AS band, y, x, sum(intensity*w) AS intensity FROM v_pixels JOIN (VALUES (0,1,0.5E0),(0,2,0.5E0),(1,4,1.0E0),(2,7,0.75E0),(2,8,0.25E0)) t(o,b,w) ON t.b=v_pixels.band GROUP BY ALL)"""
+# A wavelength between two bands needs both frames of the cube.
+MIXED = """(SELECT a.cube_id, o AS band, a.y, a.x, a.intensity*(1.0E0-w)+b.intensity*w AS intensity FROM (VALUES (0,1,2,0.5E0),(1,4,4,0.0E0),(2,7,8,0.25E0)) t(o,lo,hi,w)
+    JOIN v_pixels a ON a.band=t.lo JOIN v_pixels b ON b.cube_id=a.cube_id AND b.band=t.hi AND b.y=a.y AND b.x=a.x)"""
 
 
 @query("d13_features_selected_only", feature_sql(MIXED, "band", False))
