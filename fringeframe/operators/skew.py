@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringeframe.functions.arrays import let
+from fringeframe.operators.settle import settled
 
 HOT_ROWS = 200_000
 # Value ranges of a hot key: RANGE_STEP**2, found by a search in two steps.
@@ -56,11 +57,12 @@ def running_total(
         return df.withColumn(name, ordered(*keys))
     data = df.withColumn("_range_by", range_by.cast("double"))
     sketch = F.percentile_approx("_range_by", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)
+    # The sketch depends on the order in which rows arrive, so ranges and the totals below them must share one result of it.
     if keys:
-        cuts = data.join(hot, keys, "left_semi").groupBy(*keys).agg(sketch.alias("_cuts"))
+        cuts = settled(data.join(hot, keys, "left_semi").groupBy(*keys).agg(sketch.alias("_cuts")))
         cut = data.join(cuts, keys, "left")
     else:
-        cut = data.withColumn("_cuts", data.agg(sketch).scalar())
+        cut = data.withColumn("_cuts", settled(data.agg(sketch.alias("_cuts"))).scalar())
     place = _range_of(F.col("_cuts"), F.col("_range_by"))
     ranged = cut.withColumn("_range", F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(place))
     below = (
