@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from fringeframe.functions.arrays import finite
 from fringeframe.functions.distributions import t_critical_95, t_p_value
-from fringeframe.functions.draws import draw_index
-from fringeframe.operators.evaluate import explode_slots
-from fringeframe.operators.resample import resampled_lines
+from fringeframe.operators.resample import hashed_lines, resampled_lines
 from fringeframe.operators.settle import settled
 from fringeframe.operators.skew import group_rank, running_total
 
@@ -188,22 +186,14 @@ def stratified_draws(
 ) -> DataFrame:
     """Slope and intercept per resample drawn within strata (NULL when x is constant).
 
-    Draw (iteration, stratum, slot) picks row number hash mod n of its stratum.
+    Draw (iteration, stratum, slot) picks row number hash mod n of its stratum. Rows with a NULL stratum are never drawn.
     """
-    df = settled(df.select(stratum, order, x, y))
-    ranked = group_rank(
-        df, [stratum], [F.col(order)], F.col(order), "_rank"
-    ).withColumn("_pick", F.col("_rank") - 1)
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_m"))
-    iters = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")
-    draws = explode_slots(sizes.select(stratum, "_m", iters).repartition("iteration", stratum), "_m", "slot").withColumn(
-        "_pick", draw_index(F.col("_m"), seed, F.col("iteration"), F.col(stratum), F.col("slot"))
-    )
-    return (
-        draws.join(ranked, [stratum, "_pick"])
-        .groupBy("iteration")
-        .agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    df = settled(df.filter(F.col(stratum).isNotNull()).select(stratum, order, x, y))
+    ranked = group_rank(df, [stratum], [F.col(order)], F.col(order), "_rank").select(
+        F.col(stratum).cast("string").alias("stratum"), (F.col("_rank") - 1).alias("pick"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
+    sizes = df.groupBy(F.col(stratum).cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("size"))
+    return hashed_lines(ranked, sizes, iterations, seed)
 
 
 def _line_intervals(draws: DataFrame) -> DataFrame:
@@ -227,7 +217,7 @@ def stratified_bootstrap(
 def stratified_bootstrap_hashed(
     df: DataFrame, x: str, y: str, stratum: str, order: str, iterations: int, seed: int = 2026
 ) -> DataFrame:
-    """`stratified_bootstrap` with draws that are hashes of (seed, iteration, stratum, slot), which other engines can repeat; each costs a joined row."""
+    """`stratified_bootstrap` with draws that are hashes of (seed, iteration, stratum, slot), which other engines can repeat; each costs a hash and four bytes."""
     return _line_intervals(stratified_draws(df, x, y, stratum, order, iterations, seed))
 
 

@@ -8,6 +8,7 @@ the result is the same under every partitioning and after a lost executor.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,9 @@ def resampled_sums(df: DataFrame, stratum: str | None, order: str, columns: list
     return drawn.groupBy("chunk").applyInArrow(_added(columns), ", ".join(["iteration bigint", *[f"`{c}` double" for c in columns]]))
 
 
+_MOMENTS = ["n", "u", "v", "uu", "uv"]
+
+
 def resampled_lines(df: DataFrame, x: str, y: str, stratum: str, order: str, iterations: int, seed: int) -> DataFrame:
     """(iteration, slope, intercept) of the least-squares line of each resample within strata; null where x is constant."""
     used = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -107,9 +111,88 @@ def resampled_lines(df: DataFrame, x: str, y: str, stratum: str, order: str, ite
     rows = used.select(
         F.col(stratum).alias("stratum"), F.col(order).alias("order"), F.lit(1.0).alias("n"), u.alias("u"), v.alias("v"), (u * u).alias("uu"), (u * v).alias("uv")
     )
-    sums = resampled_sums(rows, "stratum", "order", ["n", "u", "v", "uu", "uv"], iterations, seed)
+    return _lines(resampled_sums(rows, "stratum", "order", _MOMENTS, iterations, seed), middle)
+
+
+def _lines(sums: DataFrame, middle) -> DataFrame:
+    """(iteration, slope, intercept) from sums of values near their means."""
+    drawn = F.nullif(F.col("n"), F.lit(0.0))
     wide = F.col("n") * F.col("uu") - F.col("u") * F.col("u")
     slope = F.when(wide > 1e-12 * F.col("n") * F.col("uu"), (F.col("n") * F.col("uv") - F.col("u") * F.col("v")) / wide)
     out = sums.withColumn("slope", slope)
-    intercept = F.lit(float(middle["y"])) + F.col("v") / F.col("n") - F.col("slope") * (F.lit(float(middle["x"])) + F.col("u") / F.col("n"))
+    intercept = F.lit(float(middle["y"])) + F.col("v") / drawn - F.col("slope") * (F.lit(float(middle["x"])) + F.col("u") / drawn)
     return out.select("iteration", "slope", intercept.alias("intercept"))
+
+
+# Slots whose hashes one row stands for.
+SLOTS = 32_768
+
+
+def _dealt(seed: int, rows: int):
+    """(stratum, size, iteration, first, last) to (stratum, bucket, chunk, iteration, picks): the draws of these slots, by the bucket of the row they pick."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                text = f"{seed}|{row['iteration']}|{row['stratum']}|".encode()
+                digests = b"".join([hashlib.sha1(text + b"%d" % slot).digest()[:4] for slot in range(row["first"], row["last"])])
+                picks = np.sort(np.frombuffer(digests, ">u4").astype(np.int64) % row["size"])
+                buckets, starts = np.unique(picks // rows, return_index=True)
+                parts = [(part - bucket * rows).astype("<i4").tobytes() for bucket, part in zip(buckets, np.split(picks, starts[1:]))]
+                count = len(parts)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "stratum": pa.array([row["stratum"]] * count, pa.string()),
+                        "bucket": pa.array(buckets, pa.int64()),
+                        "chunk": pa.array([row["iteration"] // CHUNK] * count, pa.int64()),
+                        "iteration": pa.array([row["iteration"]] * count, pa.int64()),
+                        "picks": pa.array(parts, pa.binary()),
+                    }
+                )
+
+    return run
+
+
+def _picked(columns: list[str]):
+    """Rows of one bucket and the draws that pick them to sums of the columns per iteration."""
+
+    def run(rows: pa.Table, draws: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        place = rows.column("place").to_numpy()
+        values = np.stack([rows.column(c).to_numpy() for c in columns], axis=1)
+        drawn: dict[int, np.ndarray] = {}
+        for iteration, raw in zip(draws.column("iteration").to_pylist(), draws.column("picks").to_pylist()):
+            weights = np.bincount(np.frombuffer(raw, "<i4"), minlength=int(place.max(initial=-1)) + 1)
+            drawn[iteration] = drawn[iteration] + weights if iteration in drawn else weights
+        order = sorted(drawn)
+        sums = np.array([drawn[i][place] @ values for i in order]).reshape(len(order), len(columns))
+        return pa.table([pa.array(order, pa.int64()), *[pa.array(sums[:, k]) for k in range(len(columns))]], names=["iteration", *columns])
+
+    return run
+
+
+def hashed_lines(ranked: DataFrame, sizes: DataFrame, iterations: int, seed: int, rows: int = ROWS, slots: int = SLOTS) -> DataFrame:
+    """(iteration, slope, intercept) of resamples whose draw (iteration, stratum, slot) is the row numbered sha1 mod n of its stratum.
+
+    `ranked` (stratum, pick, x, y), `sizes` (stratum, size). Draws go to buckets of rows as packed numbers, so a draw costs four bytes and
+    no joined row; a task holds one bucket and its draws of at most `CHUNK` iterations. Rows without x or y weigh nothing.
+    """
+    spark = ranked.sparkSession
+    used = F.col("x").isNotNull() & F.col("y").isNotNull()
+    ranked = settled(ranked)
+    middle = ranked.filter(used).agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("x"), F.coalesce(F.avg("y"), F.lit(0.0)).alias("y")).first()
+    u, v = F.col("x") - float(middle["x"]), F.col("y") - float(middle["y"])
+    moments = dict(zip(_MOMENTS, (F.lit(1.0), u, v, u * u, u * v)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n))
+    values = ranked.select(
+        "stratum", F.floor(F.col("pick") / rows).alias("bucket"), (F.col("pick") % rows).alias("place"), *[F.when(used, c).otherwise(0.0).alias(n) for n, c in moments.items()]
+    ).withColumn("chunk", upto(F.lit((iterations - 1) // CHUNK).cast("bigint")))
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = sizes.withColumn("iteration", upto(F.lit(iterations - 1).cast("bigint"))).withColumn("_block", upto(F.floor((F.col("size") - 1) / slots)))
+    blocks = blocks.withColumn("first", F.col("_block") * slots)
+    # A given number of partitions is kept: these few short rows stand for all the work.
+    blocks = blocks.withColumn("last", F.least("size", F.col("first") + slots)).select("stratum", "size", "iteration", "first", "last").repartition(parts, "stratum", "iteration", "first")
+    draws = blocks.mapInArrow(_dealt(seed, rows), "stratum string, bucket bigint, chunk bigint, iteration bigint, picks binary")
+    keys = ["stratum", "bucket", "chunk"]
+    sums = values.groupBy(*keys).cogroup(draws.groupBy(*keys)).applyInArrow(_picked(_MOMENTS), ", ".join(["iteration bigint", *[f"{c} double" for c in _MOMENTS]]))
+    return _lines(sums.groupBy("iteration").agg(*[F.sum(c).alias(c) for c in _MOMENTS]), middle)

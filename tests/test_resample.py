@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fringeframe.operators import calibrate as G, evaluate as E
-from fringeframe.operators.resample import resampled_lines, resampled_sums
+from fringeframe.operators.calibrate import stratified_draws
+from fringeframe.operators.resample import hashed_lines, resampled_lines, resampled_sums
 
 
 def _rows(spark, n=600):
@@ -66,3 +67,26 @@ def test_clusters(spark):
     assert new["accuracy"] == old["accuracy"] and new["iterations"] == 1_500
     for side in ("accuracy_ci_low", "accuracy_ci_high"):
         assert new[side] == pytest.approx(old[side], abs=0.02)
+
+
+def test_hashed_draws_pick_the_rows_their_hashes_name(spark):
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    rows = [("ab"[i % 2], i, float(x), float(3 * x + e)) for i, (x, e) in enumerate(zip(rng.random(90), rng.normal(size=90)))]
+    rows += [(None, 100, 50.0, -70.0), ("a", 101, None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, k bigint, x double, y double")
+    strata = {g: sorted(r[1:] for r in rows if r[0] == g) for g in "ab"}
+    ranked = spark.createDataFrame([(g, i, r[1], r[2]) for g, own in strata.items() for i, r in enumerate(own)], "stratum string, pick bigint, x double, y double")
+    sizes = spark.createDataFrame([(g, len(own)) for g, own in strata.items()], "stratum string, size bigint")
+    want = {}
+    for i in range(6):
+        got = []
+        for g, own in strata.items():
+            for j in range(len(own)):
+                got.append(own[int(hashlib.sha1(f"9|{i}|{g}|{j}".encode()).hexdigest()[:8], 16) % len(own)])
+        pairs = np.array([r[1:] for r in got if r[1] is not None])
+        want[i] = np.polyfit(pairs[:, 0], pairs[:, 1], 1)
+    for found in (hashed_lines(ranked, sizes, 6, 9, rows=7, slots=10), stratified_draws(df, "x", "y", "g", "k", 6, 9)):
+        found = {r["iteration"]: (r["slope"], r["intercept"]) for r in found.collect()}
+        assert set(found) == set(want) and all(found[i] == pytest.approx(tuple(want[i])) for i in want)
