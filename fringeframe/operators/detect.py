@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from fringeframe.operators.settle import settled
 from fringeframe.operators.skew import group_rank
 
 FIELD_LIMIT = 20_000
+# Greedy matching: fields of up to this many possible pairs per row of the limit are paired in one task.
+PAIRS_PER_ROW = 100
 COPY_LIMIT = 16
 
 
@@ -361,14 +364,67 @@ def _greedy_pair_rounds(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
+def _greedy_field(keys: list[str], radius: float):
+    """References and detections of one field to its pairs: near ones by a sorted axis, taken in order."""
+
+    def run(refs: pa.Table, dets: pa.Table) -> pa.Table:
+        rx, ry, dx, dy = (t.column(c).cast(pa.float64()).to_numpy() for t in (refs, dets) for c in ("x", "y"))
+        by_x = np.argsort(dx, kind="stable")
+        sorted_x = dx[by_x]
+        # The distance decides; the window is a little wider, as sums round.
+        wide = radius * (1.0 + 1e-9) + 1e-9 * np.abs(rx)
+        lo = np.searchsorted(sorted_x, rx - wide)
+        own = np.maximum(np.searchsorted(sorted_x, rx + wide, side="right") - lo, 0)
+        row = np.repeat(np.arange(len(rx)), own)
+        col = by_x[np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(lo, own)]
+        ax, ay = rx[row] - dx[col], ry[row] - dy[col]
+        distance = np.sqrt(ax * ax + ay * ay)
+        near = distance <= radius
+        row, col, distance = row[near], col[near], distance[near]
+        # Copies of an id are one center, as in `_greedy_pairs`.
+        ref_id, det_id = refs.column("ref_id").to_numpy()[row], dets.column("det_id").to_numpy()[col]
+        seen_refs, seen_dets, keep = set(), set(), []
+        order = np.lexsort((det_id, ref_id, distance))
+        for place, r, d in zip(order.tolist(), ref_id[order].tolist(), det_id[order].tolist()):
+            if r not in seen_refs and d not in seen_dets:
+                seen_refs.add(r)
+                seen_dets.add(d)
+                keep.append(place)
+        kept = {k: pa.array([refs.column(k)[0].as_py()] * len(keep) if keep else [], refs.schema.field(k).type) for k in keys}
+        kept["ref_id"] = refs.column("ref_id").take(pa.array(row[keep], pa.int64())).combine_chunks()
+        kept["det_id"] = dets.column("det_id").take(pa.array(col[keep], pa.int64())).combine_chunks()
+        return pa.table({**kept, "distance": pa.array(distance[keep], pa.float64())})
+
+    return run
+
+
 def match_greedy(
     refs: DataFrame, dets: DataFrame, radius: float, keys: list[str] | None = None, field_limit: int = FIELD_LIMIT
 ) -> DataFrame:
-    """One-to-one pairs taken in order of (distance, ref_id, det_id)."""
+    """One-to-one pairs taken in order of (distance, ref_id, det_id).
+
+    Both sides of a field meet in one task, which lists the pairs within the radius itself, while its possible pairs are at most
+    `PAIRS_PER_ROW` x `field_limit`. Other fields list their pairs by a grid join and go on apart.
+    """
     keys = keys or ["field_id"]
-    pairs = reduced_pairs(refs, dets, radius, keys)
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    a = settled(refs.filter(known).select(*keys, "ref_id", "x", "y"))
+    b = settled(dets.filter(known).select(*keys, "det_id", "x", "y"))
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    many = F.col("_a").cast("double") * F.col("_b") > PAIRS_PER_ROW * field_limit
+    big = settled(count(a, "_a").join(count(b, "_b"), keys).filter(many).select(*keys))
+    kinds = dict(a.dtypes) | dict(b.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "ref_id", "det_id"]) + ", distance double"
+
+    def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_greedy_field(keys, radius), schema)
+
+    if big.isEmpty():
+        return paired(a, b)
+    pairs = reduced_pairs(a.join(big, keys, "left_semi"), b.join(big, keys, "left_semi"), radius, keys)
     small = lambda part: part.groupBy(*keys).applyInPandas(_greedy_pairs, part.schema)
-    return _split_by_size(pairs, keys, field_limit, small, lambda part: _greedy_pair_rounds(part, keys))
+    crowded = _split_by_size(pairs, keys, field_limit, small, lambda part: _greedy_pair_rounds(part, keys))
+    return paired(a.join(big, keys, "left_anti"), b.join(big, keys, "left_anti")).unionByName(crowded)
 
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -170,3 +170,18 @@ def test_penalised_matching_of_a_large_field_and_a_long_chain(spark):
     assert got.count() == n and got.filter("ref_id <> det_id").isEmpty()
     chain = H.match_penalised(refs, dets, 9.5).agg({"distance": "sum", "ref_id": "count"}).first()
     assert sorted(chain) == [n, float(n)]
+
+
+def test_greedy_fields_list_no_pairs_by_a_join(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    some = lambda n: [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 60, (n, 2)) / 2)]
+    refs, dets = points(spark, some(80) + [(90, float("nan"), 1.0)], "ref_id"), points(spark, some(120), "det_id")
+    every = H.candidate_pairs(refs, dets, 4.0)
+    want = every.groupBy("field_id").applyInPandas(H._greedy_pairs, every.schema).collect()
+
+    def never(*_args, **_kwargs):
+        raise AssertionError("a small field needs no join of pairs")
+
+    monkeypatch.setattr(H, "candidate_pairs", never)
+    got = H.match_greedy(refs, dets, 4.0).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 40
