@@ -16,14 +16,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fringeframe.functions import arrays as A
-from fringeframe.operators.settle import settled
+from fringeframe.operators.settle import dealt, settled
 from fringeframe.operators.skew import group_rank
 
 TILE = 2_000
+# Tiles of up to this many possible pairs are solved on the table of their distances.
+DENSE = 1 << 21
 # Prices further apart than this are a violation; rounding alone stays far below.
 _TOLERANCE = 1e-9
 _CHUNK = 1 << 20
@@ -42,8 +45,12 @@ class Tile:
         self.free, self.reach = free, reach
         self.by_x, self.rows_by_x = np.argsort(self.cx, kind="stable"), np.argsort(self.rx, kind="stable")
         self.sorted_x, self.sorted_rx = self.cx[self.by_x], self.rx[self.rows_by_x]
+        self.apart = None
 
     def solve(self) -> None:
+        if math.isinf(self.reach) and len(self.mate) * len(self.v) <= DENSE and (self.mate < 0).all() and not self.v.any():
+            self.place(np.arange(len(self.mate)))
+            return
         best = self._lower()
         mended = self._release()
         self._take(best)
@@ -56,6 +63,106 @@ class Tile:
             if self.holder[col] < 0 and self.v[col] < 0:
                 self._settle_col(col)
 
+    def place(self, rows: np.ndarray) -> None:
+        """Pair further rows of a tile that starts without prices; rows placed before keep a column each, unless they may stay free."""
+        if self.apart is None:
+            x, y = self.rx[:, None] - self.cx, self.ry[:, None] - self.cy
+            self.apart = np.sqrt(x * x + y * y)
+            self.u = np.full(len(self.rx), min(self.free, np.finfo(float).max))
+        if not len(self.cx) or not len(rows):
+            return
+        worth = self.apart[rows] - self.v
+        best, left = worth.argmin(axis=1), []
+        for row, col, least in zip(rows.tolist(), best.tolist(), worth[np.arange(len(rows)), best].tolist()):
+            if least < self.free and self.holder[col] < 0:
+                self.u[row], self.mate[row], self.holder[col] = least, col, row
+            else:
+                left.append(row)
+        for row in self._reduced(left):
+            self._place_dense(row)
+
+    def _reduced(self, rows: list[int]) -> list[int]:
+        """Every row takes its best column at the price of its second best and sends the holder away; rows that are left without one."""
+        apart, u, v, mate, holder, free = self.apart, self.u, self.v, self.mate, self.holder, self.free
+        todo, later, tries = rows[::-1], [], 3 * len(rows)
+        while todo:
+            row = todo.pop()
+            if tries <= 0:
+                later.append(row)
+                continue
+            tries -= 1
+            worth = apart[row] - v
+            col = int(worth.argmin())
+            least = float(worth[col])
+            if least >= free or least == math.inf:
+                continue
+            worth[col] = math.inf
+            second = min(float(worth.min()), free)
+            if second == math.inf:
+                # A single column: its price is open, a path decides.
+                u[row] = least
+                later.append(row)
+                continue
+            other = int(holder[col])
+            if other >= 0 and second <= least:
+                u[row] = least
+                later.append(row)
+                continue
+            u[row] = second
+            v[col] -= second - least
+            mate[row], holder[col] = col, row
+            if other >= 0:
+                mate[other] = -1
+                todo.append(other)
+        return later
+
+    def _place_dense(self, start: int) -> None:
+        """`_place_row` on the table of distances."""
+        apart, u, v, holder, free = self.apart, self.u, self.v, self.holder, self.free
+        u[start] = min(float((apart[start] - v).min()), free)
+        if u[start] >= free or u[start] == math.inf:
+            u[start] = min(free, np.finfo(float).max)
+            return
+        reach, came = np.full(len(v), np.inf), np.full(len(v), -1)
+        open_, rows, cols, ways = reach.copy(), [start], [], [0.0]
+        row, base, top, end = start, 0.0, math.inf, None
+        while True:
+            if base + free - u[row] < top:
+                top, end = max(base, base + free - u[row]), (row, -1)
+            way = apart[row] - v
+            way += base - u[row]
+            np.maximum(way, base, out=way)
+            better = way < reach
+            np.copyto(reach, way, where=better)
+            np.copyto(open_, way, where=better)
+            came[better] = row
+            col = int(open_.argmin())
+            near = float(open_[col])
+            if near >= top:
+                break
+            row = int(holder[col])
+            if row < 0:
+                top, end = near, (-1, col)
+                break
+            open_[col], base = np.inf, near
+            cols.append(col)
+            rows.append(row)
+            ways.append(base)
+        if end is None:
+            return
+        u[rows] += top - np.array(ways)
+        v[cols] -= top - np.array(ways[1:])
+        row, col = end
+        if row >= 0:
+            if row == start:
+                return
+            col, self.mate[row] = self.mate[row], -1
+        while True:
+            row = came[col]
+            self.mate[row], holder[col], col = col, row, self.mate[row]
+            if row == start:
+                return
+
     def _lower(self) -> np.ndarray:
         """Lower u where a column is nearer than the prices allow (new rows start above all); the column that sets it, or -1."""
         n, best = len(self.rx), np.full(len(self.rx), -1)
@@ -253,8 +360,48 @@ def assigned(
     `reach` apart. Centers with a null or non-finite coordinate are left out; among optima of equal cost the choice is
     fixed by order, not by partitioning.
     """
-    sides = [df.select(*keys, F.lit(k).alias("side"), F.col("id").cast("bigint").alias("id"), "x", "y") for k, df in enumerate((rows, cols))]
-    points = sides[0].unionByName(sides[1]).filter(A.finite(F.col("x")) & A.finite(F.col("y")))
+    sound = A.finite(F.col("x")) & A.finite(F.col("y"))
+    for k in keys:
+        sound = sound & F.col(k).isNotNull()
+    sides = [df.select(*keys, F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(sound) for df in (rows, cols)]
+    counts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)) for df, name in zip(sides, ("_a", "_b"))]
+    sizes = settled(counts[0].join(counts[1], keys).select(*keys, (F.col("_a") + F.col("_b")).alias("_n")))
+    facts = sizes.agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).first()
+    most = facts["most"] or 0
+    if most <= tile:
+        return _paired(*sides, keys, facts["all"] or 0, free, reach)
+    big = sizes.filter(F.col("_n") > tile).select(*keys)
+    apart = _paired(*[df.join(big, keys, "left_anti") for df in sides], keys, facts["all"], free, reach)
+    return apart.unionByName(_merged(*[df.join(big, keys, "left_semi") for df in sides], keys, most, free, reach, tile))
+
+
+def _paired(rows: DataFrame, cols: DataFrame, keys: list[str], centers: int, free: float, reach: float) -> DataFrame:
+    """Fields of one tile: both sides meet in one task and only pairs are handed on."""
+
+    def run(rows: pa.Table, cols: pa.Table) -> pa.Table:
+        flipped = math.isinf(free) and len(rows) > len(cols)
+        # A fixed order makes the result the same under every partitioning.
+        a, b = (t.sort_by([(c, "ascending") for c in ("id", "x", "y")]) for t in ((cols, rows) if flipped else (rows, cols)))
+        places = [np.stack([t.column(c).to_numpy() for c in ("x", "y")]) for t in (a, b)]
+        tile = Tile(*places, np.full(len(a), np.inf), np.zeros(len(b)), np.full(len(a), -1), free, reach)
+        if len(a) and len(b):
+            tile.solve()
+        r = np.flatnonzero(tile.mate >= 0)
+        c = tile.mate[r]
+        gap = np.hypot(places[0][0][r] - places[1][0][c], places[0][1][r] - places[1][1][c])
+        ids = a.column("id").take(pa.array(r)).combine_chunks(), b.column("id").take(pa.array(c)).combine_chunks()
+        out = {k: pa.array([rows.column(k)[0].as_py()] * len(r) if len(r) else [], rows.schema.field(k).type) for k in keys}
+        return pa.table({**out, "row_id": ids[flipped], "col_id": ids[not flipped], "distance": pa.array(gap, pa.float64())})
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "row_id bigint, col_id bigint, distance double"])
+    a, b = (dealt(df, keys, centers).groupBy(*keys) for df in (rows, cols))
+    return a.cogroup(b).applyInArrow(run, schema)
+
+
+def _merged(rows: DataFrame, cols: DataFrame, keys: list[str], most: int, free: float, reach: float, tile: int) -> DataFrame:
+    """Fields of several tiles of at most `most` centers."""
+    points = rows.select(*keys, F.lit(0).alias("side"), "id", "x", "y").unionByName(cols.select(*keys, F.lit(1).alias("side"), "id", "x", "y"))
     box = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         (F.count_if(F.col("side") == 0) > F.count_if(F.col("side") == 1)).alias("_flip"),
@@ -262,16 +409,9 @@ def assigned(
     )
     flip = F.col("_flip") if math.isinf(free) else F.lit(False)
     placed = points.join(box, keys).withColumn("flipped", flip).withColumn("side", F.when(F.col("flipped"), 1 - F.col("side")).otherwise(F.col("side")))
-    most = box.agg(F.max("_n")).first()[0] or 0
-    big = None
-    if most > tile:
-        code = F.shiftleft(_curve(F.col("y"), F.col("_low_y"), F.col("_high_y")), 1).bitwiseOR(_curve(F.col("x"), F.col("_low_x"), F.col("_high_x")))
-        large = placed.filter(F.col("_n") > tile).withColumn("_code", code)
-        big = group_rank(large, keys, [F.col("_code"), F.col("side"), F.col("id"), F.col("x"), F.col("y")], F.col("_code"), "uid")
-        big = big.withColumn("place", F.floor((F.col("uid") - 1) / tile)).withColumn("tiles", F.ceil(F.col("_n") / tile))
-    small = placed.filter(F.col("_n") <= tile).withColumn("uid", F.lit(0)).withColumn("place", F.lit(0)).withColumn("tiles", F.lit(1))
-    columns = [*keys, "flipped", "side", "uid", "id", "x", "y", "place", "tiles"]
-    state = small.select(*columns) if big is None else small.select(*columns).unionByName(big.select(*columns))
+    code = F.shiftleft(_curve(F.col("y"), F.col("_low_y"), F.col("_high_y")), 1).bitwiseOR(_curve(F.col("x"), F.col("_low_x"), F.col("_high_x")))
+    state = group_rank(placed.withColumn("_code", code), keys, [F.col("_code"), F.col("side"), F.col("id"), F.col("x"), F.col("y")], F.col("_code"), "uid")
+    state = state.withColumn("place", F.floor((F.col("uid") - 1) / tile)).withColumn("tiles", F.ceil(F.col("_n") / tile))
     kinds = dict(points.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "flipped boolean", _STATE])
     state = state.selectExpr(*[f"`{k}`" for k in keys], "flipped", "side", "cast(uid as bigint) uid", "id", "cast(x as double) x", "cast(y as double) y",

@@ -16,15 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fringeframe.functions import arrays as A
-from fringeframe.operators.assignment import TILE, assigned
+from fringeframe.operators.assignment import TILE, Tile, assigned
 from fringeframe.operators.nearest import nearest
 from fringeframe.operators.quantiles import quantiles
-from fringeframe.operators.settle import settled
+from fringeframe.operators.settle import dealt, settled
 from fringeframe.operators.skew import group_rank
 
 FIELD_LIMIT = 20_000
 # Greedy matching: fields of up to this many possible pairs per row of the limit are paired in one task.
 PAIRS_PER_ROW = 100
+# Centers of a task that solves fields one after the other.
+FIELDS_PER_TASK = 100_000
 COPY_LIMIT = 16
 
 
@@ -551,6 +553,11 @@ def field_metrics(
     keys = keys or ["field_id"]
     truth = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("ground_truth_count"))
     found = dets.groupBy(*keys).agg(F.count(F.lit(1)).alias("predicted_count"))
+    return _field_scores(matches, truth, found, radii, keys)
+
+
+def _field_scores(matches: DataFrame, truth: DataFrame, found: DataFrame, radii, keys: list[str]) -> DataFrame:
+    """`field_metrics` of counted labels and detections."""
     hits = matches.groupBy(*keys).agg(*[F.count_if(F.col("distance") <= r).alias(f"tp_{r}px") for r in radii])
     both = truth.join(found, keys, "full_outer").join(hits, keys, "left").fillna(0)
     gap = F.col("predicted_count") - F.col("ground_truth_count")
@@ -588,18 +595,77 @@ def pooled_metrics(fields: DataFrame, matches: DataFrame, radii=RADII, by: list[
 
 
 def threshold_sweep(
-    dets: DataFrame, refs: DataFrame, thresholds: list[float], crop: int, distance: float, width: int, height: int
+    dets: DataFrame, refs: DataFrame, thresholds: list[float], crop: int, distance: float, width: int, height: int, tile: int = TILE
 ) -> DataFrame:
     """Pooled detection scores at each threshold: filter, suppress, least-total-distance matching."""
-    listed = F.array(*[F.lit(float(t)) for t in thresholds])
-    each = dets.withColumn("threshold", F.explode(listed))
-    judged = judge_detections(each, 0.0, crop, width, height)
-    strong = (F.col("box_conf") >= F.col("threshold")) & (F.coalesce("kp_conf", F.lit(1.0)) >= F.col("threshold"))
+    marks = sorted({float(t) for t in thresholds}, reverse=True)
+    listed = F.array(*[F.lit(t) for t in marks])
+    judged = judge_detections(dets.filter(F.col("box_conf") >= marks[-1]), 0.0, crop, width, height)
+    strong = accepted(judged).filter(F.col("joint") >= marks[-1]).select("field_id", "det_id", "x", "y", "joint")
+    # Weaker detections never drop stronger ones, so what a threshold keeps is what it leaves of the lowest one's.
+    kept = settled(suppress_centers(strong, distance))
     keys = ["threshold", "field_id"]
-    kept = settled(suppress_centers(accepted(judged.filter(strong)), distance, keys))
-    truth = refs.withColumn("threshold", F.explode(listed))
-    matches = settled(match_hungarian(truth, kept, keys))
-    return pooled_metrics(field_metrics(matches, truth, kept, keys=keys), matches, by=["threshold"])
+    passed = F.explode(F.filter(listed, lambda t: t <= F.col("joint")))
+    found = kept.select("field_id", passed.alias("threshold")).groupBy(*keys).agg(F.count(F.lit(1)).alias("predicted_count"))
+    truth = refs.groupBy("field_id").agg(F.count(F.lit(1)).alias("ground_truth_count")).withColumn("threshold", F.explode(listed))
+    # Pairs beyond the largest radius enter no score.
+    matches = settled(match_nested(refs, kept, marks, tile).filter(F.col("distance") <= max(RADII)).select(*keys, "distance"))
+    return pooled_metrics(_field_scores(matches, truth, found, RADII, keys), matches, by=["threshold"])
+
+
+def match_nested(refs: DataFrame, dets: DataFrame, thresholds: list[float], tile: int = TILE) -> DataFrame:
+    """(threshold, field_id, ref_id, det_id, distance): `match_hungarian` of the detections of at least each threshold's joint score.
+
+    A field of up to `tile` centers is one task's for all thresholds: as long as detections are the smaller side, those of a lower
+    threshold are added to the solved ones. Larger fields go threshold by threshold through merged tiles.
+    """
+    marks = sorted(thresholds, reverse=True)
+    sound = F.col("field_id").isNotNull() & A.finite(F.col("x")) & A.finite(F.col("y"))
+    point = [F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
+    a = refs.filter(sound).select("field_id", F.col("ref_id").cast("bigint").alias("ref_id"), *point)
+    b = dets.filter(sound & (F.col("joint") >= marks[-1])).select("field_id", F.col("det_id").cast("bigint").alias("det_id"), *point, "joint")
+    sizes = [df.groupBy("field_id").agg(F.count(F.lit(1)).alias(name)) for df, name in ((a, "_a"), (b, "_b"))]
+    sizes = settled(sizes[0].join(sizes[1], "field_id").select("field_id", (F.col("_a") + F.col("_b")).alias("_n")))
+    facts = sizes.agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).first()
+
+    def run(refs: pa.Table, dets: pa.Table) -> pa.Table:
+        refs = refs.sort_by([(c, "ascending") for c in ("ref_id", "x", "y")])
+        dets = dets.sort_by([("joint", "descending"), *[(c, "ascending") for c in ("det_id", "x", "y")]])
+        (rx, ry), (dx, dy) = (np.stack([t.column(c).to_numpy() for c in ("x", "y")]) for t in (refs, dets))
+        joint, parts, done, tile = dets.column("joint").to_numpy(), [], 0, None
+        for t in marks if len(rx) else []:
+            n = int(np.searchsorted(-joint, -t, side="right"))
+            if n <= len(rx):
+                if tile is None:
+                    most = int(min(len(dx), len(rx)))
+                    tile = Tile(np.stack([dx, dy])[:, :most], np.stack([rx, ry]), np.full(most, np.inf), np.zeros(len(rx)), np.full(most, -1))
+                tile.place(np.arange(done, n))
+                done, det = n, np.arange(n)
+                ref = tile.mate[:n].copy()
+            else:
+                whole = Tile(np.stack([rx, ry]), np.stack([dx, dy])[:, :n], np.full(len(rx), np.inf), np.zeros(n), np.full(len(rx), -1))
+                whole.solve()
+                ref, det = np.arange(len(rx)), whole.mate
+            parts.append((np.full(n if n <= len(rx) else len(rx), t), ref, det))
+        t, r, d = (np.concatenate([p[i] for p in parts] or [np.zeros(0)]) for i in range(3))
+        r, d = r.astype(np.int64), d.astype(np.int64)
+        field = pa.array([dets.column("field_id")[0].as_py()] * len(r) if len(r) else [], dets.schema.field("field_id").type)
+        ids = refs.column("ref_id").take(pa.array(r)).combine_chunks(), dets.column("det_id").take(pa.array(d)).combine_chunks()
+        return pa.table({"threshold": pa.array(t, pa.float64()), "field_id": field, "ref_id": ids[0], "det_id": ids[1], "distance": pa.array(np.hypot(rx[r] - dx[d], ry[r] - dy[d]), pa.float64())})
+
+    def nested(a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = (dealt(df, ["field_id"], facts["all"] or 0, FIELDS_PER_TASK) for df in (a, b))
+        schema = f"threshold double, field_id {dict(a.dtypes)['field_id']}, ref_id bigint, det_id bigint, distance double"
+        return a.groupBy("field_id").cogroup(b.groupBy("field_id")).applyInArrow(run, schema)
+
+    if (facts["most"] or 0) <= tile:
+        return nested(a, b)
+    big = sizes.filter(F.col("_n") > tile).select("field_id")
+    listed = F.array(*[F.lit(float(t)) for t in marks])
+    each = b.join(big, "field_id", "left_semi").withColumn("threshold", F.explode(F.filter(listed, lambda t: t <= F.col("joint"))))
+    truth = a.join(big, "field_id", "left_semi").withColumn("threshold", F.explode(listed))
+    large = match_hungarian(truth, each, ["threshold", "field_id"], tile)
+    return nested(*[df.join(big, "field_id", "left_anti") for df in (a, b)]).unionByName(large.select("threshold", "field_id", "ref_id", "det_id", "distance"))
 
 
 def match_audit(matches: DataFrame, refs: DataFrame, dets: DataFrame, keys: list[str] | None = None) -> DataFrame:

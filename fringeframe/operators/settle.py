@@ -31,3 +31,13 @@ def settled(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, survives executor loss, lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+# Rows of a task where a step holds or sorts them.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int, per_task: int = TASK_ROWS) -> DataFrame:
+    """Dealt by hash of the keys over tasks whose number grows with the rows, so that a task's share does not."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(max(usual, -(-rows // per_task)), *keys)
