@@ -27,6 +27,8 @@ FIELD_LIMIT = 20_000
 PAIRS_PER_ROW = 100
 # Centers of a task that solves fields one after the other.
 FIELDS_PER_TASK = 100_000
+# Points that look for their nearest center together.
+POINTS_AT_ONCE = 32
 COPY_LIMIT = 16
 
 
@@ -79,19 +81,16 @@ def rejection_counts(judged: DataFrame, kept: DataFrame, field: str = "field_id"
 # ---- greedy suppression ----------------------------------------------------------------------------
 
 
-def _large(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    """Keys with more than `limit` rows, or None."""
-    big = settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys))
-    return None if big.isEmpty() else big
-
-
-def _split_by_size(df: DataFrame, keys: list[str], limit: int, small: Callable, large: Callable) -> DataFrame:
-    """Kernel for small groups, distributed way for large ones; the input is computed once."""
-    df = settled(df)
-    big = _large(df, keys, limit)
-    if big is None:
-        return small(df)
-    rest = small(df.join(big, keys, "left_anti"))
+def _split_by_size(df: DataFrame, keys: list[str], limit: int, small: Callable, large: Callable, stored: bool = False) -> DataFrame:
+    """Kernel for small groups, distributed way for large ones; the input is computed once (before, if `stored`)."""
+    df = df if stored else settled(df)
+    sizes = settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    facts = sizes.agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).first()
+    spread = lambda part: dealt(part, keys, facts["all"] or 0, FIELDS_PER_TASK)
+    if (facts["most"] or 0) <= limit:
+        return small(spread(df))
+    big = sizes.filter(F.col("_n") > limit).select(*keys)
+    rest = small(spread(df.join(big, keys, "left_anti")))
     return rest.unionByName(large(df.join(big, keys, "left_semi")))
 
 
@@ -131,22 +130,26 @@ def _greedy_rounds(
     return out
 
 
+def _best_first(table: pa.Table, score: str) -> np.ndarray:
+    return np.lexsort((table.column("det_id").to_numpy(), -table.column(score).to_numpy()))
+
+
 def _center_kernel(distance: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["det_id"].to_numpy(), -pdf["joint"].to_numpy()))
-        xs, ys = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        limit = distance * distance
-        cells: dict[tuple[int, int], list[int]] = {}
-        keep = []
-        for i in order:
-            cx, cy = int(xs[i] // distance), int(ys[i] // distance)
-            close = (
-                j for a in (cx - 1, cx, cx + 1) for b in (cy - 1, cy, cy + 1) for j in cells.get((a, b), ())
-            )
-            if all((xs[i] - xs[j]) ** 2 + (ys[i] - ys[j]) ** 2 >= limit for j in close):
+    def run(table: pa.Table) -> pa.Table:
+        order = _best_first(table, "joint")
+        x, y = (table.column(c).to_numpy()[order] for c in ("x", "y"))
+        by_x = np.argsort(x, kind="stable")
+        # The distance decides; the window is a little wider, as sums round.
+        wide = distance + 1e-9 * (1.0 + np.abs(x))
+        lo, hi = (np.searchsorted(x[by_x], x + s * wide, side).tolist() for s, side in ((-1, "left"), (1, "right")))
+        alive, keep = np.ones(len(x), bool), []
+        for i in range(len(x)):
+            if alive[i]:
                 keep.append(i)
-                cells.setdefault((cx, cy), []).append(i)
-        return pdf.iloc[keep]
+                near = by_x[lo[i] : hi[i]]
+                dx, dy = x[near] - x[i], y[near] - y[i]
+                alive[near[dx * dx + dy * dy < distance * distance]] = False
+        return table.take(pa.array(order[keep]))
 
     return run
 
@@ -175,28 +178,36 @@ def suppress_centers(
         clash = lambda a, b: (a("x") - b("x")) * (a("x") - b("x")) + (a("y") - b("y")) * (a("y") - b("y")) < distance**2
         return _greedy_rounds(part, keys, rank, F.floor(F.col("x") / half), F.floor(F.col("y") / half), 2, clash)
 
-    small = lambda part: part.groupBy(*keys).applyInPandas(_center_kernel(distance), part.schema)
+    small = lambda part: part.groupBy(*keys).applyInArrow(_center_kernel(distance), part.schema)
     kept = _split_by_size(df, keys, field_limit, small, large)
     return _top(kept, keys, [F.desc("joint"), F.col("det_id")], limit)
 
 
 def _box_kernel(iou: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["det_id"].to_numpy(), -pdf["score"].to_numpy()))
-        box = pdf[["bx", "by", "bw", "bh"]].to_numpy(dtype=float)
-        lo, hi = box[:, :2] - box[:, 2:] / 2.0, box[:, :2] + box[:, 2:] / 2.0
-        area = np.prod(np.maximum(0.0, hi - lo), axis=1)
-        alive = np.ones(len(box), dtype=bool)
-        keep = []
-        for i in order:
-            if not alive[i]:
-                continue
-            keep.append(i)
-            shared = np.prod(np.maximum(0.0, np.minimum(hi[i], hi) - np.maximum(lo[i], lo)), axis=1)
-            union = area[i] + area - shared
-            alive &= np.divide(shared, union, out=np.zeros(len(box)), where=union > 0) <= iou
-            alive[i] = False
-        return pdf.iloc[keep]
+    def run(table: pa.Table) -> pa.Table:
+        order = _best_first(table, "score")
+        box = [np.asarray(table.column(c).to_numpy()[order], float) for c in ("bx", "by", "bw", "bh")]
+        left, right = box[0] - box[2] / 2.0, box[0] + box[2] / 2.0
+        top, bottom = box[1] - box[3] / 2.0, box[1] + box[3] / 2.0
+        area = np.maximum(0.0, right - left) * np.maximum(0.0, bottom - top)
+        # Only boxes that begin within the widest one's reach can overlap.
+        by_x = np.argsort(left, kind="stable")
+        widest = float((right - left).max(initial=0.0)) if iou >= 0 else np.inf
+        lo = np.searchsorted(left[by_x], left - widest - 1e-9 * (1.0 + np.abs(left))).tolist()
+        hi = np.searchsorted(left[by_x], right if iou >= 0 else np.full(len(left), np.inf), side="right").tolist()
+        alive, keep = np.ones(len(left), bool), []
+        for i in range(len(left)):
+            if alive[i]:
+                keep.append(i)
+                near = by_x[lo[i] : hi[i]]
+                width = np.minimum(right[i], right[near]) - np.maximum(left[i], left[near])
+                height = np.minimum(bottom[i], bottom[near]) - np.maximum(top[i], top[near])
+                shared = np.maximum(0.0, width) * np.maximum(0.0, height)
+                union = area[i] + area[near] - shared
+                ratio = np.divide(shared, union, out=np.zeros(len(near)), where=union > 0)
+                alive[near[ratio > iou]] = False
+                alive[i] = False
+        return table.take(pa.array(order[keep]))
 
     return run
 
@@ -216,11 +227,11 @@ def overlap(a: Callable, b: Callable) -> Column:
 
 
 def nms_boxes(
-    df: DataFrame, iou: float, limit: int | None = None, keys: list[str] | None = None, field_limit: int = FIELD_LIMIT
+    df: DataFrame, iou: float, limit: int | None = None, keys: list[str] | None = None, field_limit: int = FIELD_LIMIT, stored: bool = False
 ) -> DataFrame:
     """Keep boxes by score (ties by det_id) unless they overlap a kept box by more than `iou`.
 
-    Needs det_id, bx, by, bw, bh, score.
+    Needs det_id, bx, by, bw, bh, score. A `stored` input is read again instead of being materialised.
     """
     keys = keys or ["field_id"]
     rank = F.struct(F.col("score").alias("j"), (-F.col("det_id")).alias("d"))
@@ -233,8 +244,8 @@ def nms_boxes(
         cells = (F.floor(F.col("bx") / F.col("_mw")), F.floor(F.col("by") / F.col("_mh")))
         return _greedy_rounds(sized, keys, rank, *cells, 1, lambda a, b: overlap(a, b) > iou).drop("_mw", "_mh")
 
-    small = lambda part: part.groupBy(*keys).applyInPandas(_box_kernel(iou), part.schema)
-    kept = _split_by_size(df, keys, field_limit, small, large)
+    small = lambda part: part.groupBy(*keys).applyInArrow(_box_kernel(iou), part.schema)
+    kept = _split_by_size(df, keys, field_limit, small, large, stored)
     return _top(kept, keys, [F.desc("score"), F.col("det_id")], limit)
 
 
@@ -257,18 +268,16 @@ def postprocess(
     usable = F.col("score") >= min(threshold, 0.05)
     for c in numbers:
         usable = usable & A.finite(F.col(c))
-    boxes = nms_boxes(decoded.filter(usable), iou, limit)
-    original = boxes.select(
-        "field_id",
-        "det_id",
-        ((F.col("kx") - F.col("pad_left")) / F.col("scale")).alias("x"),
-        ((F.col("ky") - F.col("pad_top")) / F.col("scale")).alias("y"),
-        F.col("score").alias("box_conf"),
-        "kp_conf",
+    # Original pixels take the place of what they come from, so that one narrow table is stored for counts and boxes.
+    original = [((F.col(f"k{c}") - F.col(pad)) / F.col("scale")).alias(c) for c, pad in (("x", "pad_left"), ("y", "pad_top"))]
+    rows = settled(
+        decoded.select("field_id", "det_id", "bx", "by", "bw", "bh", "score", *original, "kp_conf", F.coalesce(usable, F.lit(False)).alias("_usable"))
     )
-    judged = judge_detections(original, threshold, crop, width, height)
+    boxes = nms_boxes(rows.filter("_usable").drop("_usable"), iou, limit, stored=True)
+    boxes = settled(boxes.select("field_id", "det_id", "x", "y", F.col("score").alias("box_conf"), "kp_conf"))
+    judged = judge_detections(boxes, threshold, crop, width, height)
     kept = suppress_centers(accepted(judged), distance)
-    every = decoded.groupBy("field_id").agg(F.count(F.lit(1)).alias("_all"))
+    every = rows.groupBy("field_id").agg(F.count(F.lit(1)).alias("_all"))
     counts = every.join(rejection_counts(judged, kept), "field_id", "left").fillna(0)
     return kept, counts.withColumn(
         "confidence_rejected", F.col("confidence_rejected") + F.col("_all") - F.col("raw_predictions")
@@ -493,31 +502,98 @@ def match_penalised(refs: DataFrame, dets: DataFrame, radius: float, keys: list[
 
 
 def nearest_centers(
-    points: DataFrame, centers: DataFrame, radii: list[float], point_id: str = "ref_id", keys: list[str] | None = None
+    points: DataFrame, centers: DataFrame, radii: list[float], point_id: str = "ref_id", keys: list[str] | None = None,
+    field_limit: int = FIELD_LIMIT,
 ) -> DataFrame:
     """(keys..., point_id, det_id, distance): nearest center per point, ties by det_id.
 
-    Radii grow from step to step; only points without a center so far go on. The last radius bounds the
-    search: points with nothing inside it are left out. Centers at one spot are merged first.
+    The largest radius bounds the search: points with nothing inside it are left out. A small field is searched in one task; in large
+    ones radii grow from step to step, only points without a center so far go on, and centers at one spot are merged first.
     """
     keys = keys or ["field_id"]
-    spots = centers.groupBy(*keys, "x", "y").agg(F.min("det_id").alias("det_id"))
     left = points.select(*keys, F.col(point_id).alias("ref_id"), "x", "y")
-    out = None
-    for radius in radii:
-        best = F.min(F.struct("distance", "det_id"))
-        found = candidate_pairs(left, spots, radius, keys).groupBy(*keys, "ref_id").agg(best.alias("_b")).select(
-            *keys, "ref_id", "_b.det_id", "_b.distance"
-        )
-        out = found if out is None else out.unionByName(found)
-        left = left.join(found, [*keys, "ref_id"], "left_anti")
-    return out.withColumnRenamed("ref_id", point_id)
+
+    def large(left: DataFrame, centers: DataFrame) -> DataFrame:
+        spots = centers.groupBy(*keys, "x", "y").agg(F.min("det_id").alias("det_id"))
+        out = None
+        for radius in radii:
+            best = F.min(F.struct("distance", "det_id"))
+            found = candidate_pairs(left, spots, radius, keys).groupBy(*keys, "ref_id").agg(best.alias("_b")).select(
+                *keys, "ref_id", "_b.det_id", "_b.distance"
+            )
+            out = found if out is None else out.unionByName(found)
+            left = left.join(found, [*keys, "ref_id"], "left_anti")
+        return out
+
+    return _nearest_by_field(left, centers, keys, "ref_id", max(radii), field_limit, large).withColumnRenamed("ref_id", point_id)
 
 
-def center_agreement(refs: DataFrame, dets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def _nearest_by_field(points: DataFrame, centers: DataFrame, keys: list[str], point_id: str, reach: float, field_limit: int, large: Callable) -> DataFrame:
+    """(keys..., point_id, det_id, distance) of the nearest center within `reach`, ties by det_id.
+
+    Both sides of a field meet in one task, a few points at a time; fields of more than `PAIRS_PER_ROW` x `field_limit`
+    possible pairs take the way given.
+    """
+    sound = A.finite(F.col("x")) & A.finite(F.col("y"))
+    for k in keys:
+        sound = sound & F.col(k).isNotNull()
+    a = settled(points.filter(sound).select(*keys, point_id, "x", "y"))
+    b = settled(centers.filter(sound).select(*keys, "det_id", "x", "y"))
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    pairs = F.col("_a").cast("double") * F.col("_b")
+    sizes = settled(count(a, "_a").join(count(b, "_b"), keys).select(*keys, (F.col("_a") + F.col("_b")).alias("_n"), pairs.alias("_pairs")))
+    facts = sizes.agg(F.max("_pairs").alias("most"), F.sum("_n").alias("all")).first()
+    kinds = dict(a.dtypes) | dict(b.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, point_id, "det_id"]) + ", distance double"
+
+    def run(points: pa.Table, centers: pa.Table) -> pa.Table:
+        # In the order of det_id, the first of equal distances is the one to take.
+        centers = centers.sort_by("det_id")
+        px, py, cx, cy = (t.column(c).cast(pa.float64()).to_numpy() for t in (points, centers) for c in ("x", "y"))
+        best, least = np.zeros(len(px), np.int64), np.full(len(px), np.inf)
+        by_x, left = np.argsort(cx, kind="stable"), np.argsort(px, kind="stable")
+        # First within a few times the usual spacing, which settles most points; then the rest as far as it takes.
+        span = max(np.ptp(cx), np.ptp(cy)) if len(cx) else 0.0
+        for within in (min(reach, 4.0 * span / np.sqrt(max(len(cx), 1))), reach):
+            wide = within * (1.0 + 1e-9) + 1e-9 * np.abs(px[left])
+            lo = np.searchsorted(cx[by_x], px[left] - wide)
+            hi = np.searchsorted(cx[by_x], px[left] + wide, side="right")
+            for start in range(0, len(left), POINTS_AT_ONCE):
+                part = left[start : start + POINTS_AT_ONCE]
+                near = np.sort(by_x[lo[start : start + POINTS_AT_ONCE].min() : hi[start : start + POINTS_AT_ONCE].max()])
+                if len(near):
+                    dx, dy = px[part, None] - cx[near], py[part, None] - cy[near]
+                    distance = np.sqrt(dx * dx + dy * dy)
+                    place = distance.argmin(axis=1)
+                    best[part], least[part] = near[place], distance[np.arange(len(part)), place]
+            left = left[least[left] > within]
+        at = np.flatnonzero((least <= reach) & np.isfinite(least))
+        found = pa.table({
+            **{k: points.column(k).take(pa.array(at)) for k in [*keys, point_id]},
+            "det_id": centers.column("det_id").take(pa.array(best[at])),
+            "distance": pa.array(least[at], pa.float64()),
+        })
+        # Points that repeat an id count as one.
+        found = found.sort_by([(c, "ascending") for c in (point_id, "distance", "det_id")])
+        ids = found.column(point_id).to_numpy()
+        return found.take(pa.array(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])))) if len(ids) else found
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        sides = [dealt(df, keys, facts["all"] or 0).groupBy(*keys) for df in (a, b)]
+        return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
+
+    if (facts["most"] or 0) <= PAIRS_PER_ROW * field_limit:
+        return met(a, b)
+    big = sizes.filter(F.col("_pairs") > PAIRS_PER_ROW * field_limit).select(*keys)
+    rest = met(*[df.join(big, keys, "left_anti") for df in (a, b)])
+    return rest.unionByName(large(*[df.join(big, keys, "left_semi") for df in (a, b)]).select(*rest.columns))
+
+
+def center_agreement(refs: DataFrame, dets: DataFrame, keys: list[str] | None = None, field_limit: int = FIELD_LIMIT) -> DataFrame:
     """Per field: references, those with a center within 2 and 5 px, mean and largest distance to the nearest, however far it is."""
     keys = keys or ["field_id"]
-    near = nearest(refs.withColumnRenamed("ref_id", "id"), dets, keys)
+    large = lambda a, b: nearest(a, b, keys)
+    near = _nearest_by_field(refs.withColumnRenamed("ref_id", "id"), dets, keys, "id", float("inf"), field_limit, large)
     counts = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("references"))
     stats = near.groupBy(*keys).agg(
         F.count_if(F.col("distance") <= 2).alias("within_2px"),
