@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from fringeframe.operators.skew import group_rank, running_total
 from fringeframe.operators.spectral import explode_spectra
 
 MAX_BANDS = 4096
+# Values of a band that one task sorts.
+BAND_LIMIT = 1_000_000
 
 
 def scaled_scores(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -71,16 +75,64 @@ def digamma(x: Column) -> Column:
     )
 
 
-def mutual_info(spectra: DataFrame, neighbours: int = 3, block: int = 4096) -> DataFrame:
+def mutual_info(spectra: DataFrame, neighbours: int = 3, block: int = 4096, band_limit: int = BAND_LIMIT) -> DataFrame:
     """Mutual information of each band with the class, k-nearest-neighbour estimator (Ross 2014), floor 0.
 
-    Neighbours within a class are adjacent in sorted order, and the count inside a radius is a difference
-    of two ranks, so both steps are ranked joins that split large bands; classes with one sample drop out.
+    Bands of up to `band_limit` values are sorted in one task each. Above, neighbours within a class are adjacent in sorted order, and
+    the count inside a radius is a difference of two ranks, so both steps are ranked joins that split large bands. Classes with one
+    sample drop out.
     """
+    sizes = settled(spectra.groupBy("class_index").agg(F.count(F.lit(1)).alias("nc")).filter("nc > 1"))
+    if (sizes.agg(F.sum("nc")).first()[0] or 0) <= band_limit:
+        per_point = _counts_by_band(spectra.join(sizes, "class_index"), neighbours)
+    else:
+        per_point = _counts_by_rank(spectra, sizes, neighbours, block)
+    total = F.sum("w")
+    mean = lambda c: F.sum(F.col("w") * digamma(F.col(c))) / total
+    mi = per_point.groupBy("band").agg(total.alias("n"), mean("k").alias("pk"), mean("nc").alias("pc"), mean("m").alias("pm"))
+    value = digamma(F.col("n")) + F.col("pk") - F.col("pc") - F.col("pm")
+    return mi.select("band", F.greatest(F.lit(0.0), value).alias("score"))
+
+
+def _counts_by_band(spectra: DataFrame, neighbours: int) -> DataFrame:
+    """(band, nc, k, m, w): how many points of a class of nc have m values of the band within the distance of their k-th neighbour."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.filter(pa.compute.is_valid(table.column("intensity")))
+        x, label, nc = (table.column(c).to_numpy() for c in ("intensity", "class_index", "nc"))
+        every, parts = np.sort(x), [np.zeros((0, 3), np.int64)]
+        for c in np.unique(label):
+            own = np.sort(x[label == c])
+            n, used = len(own), min(neighbours, len(own) - 1)
+            if not used:
+                continue
+            values = np.full((n, 2 * used), np.nan)
+            for j in range(1, used + 1):
+                values[j:, 2 * j - 2], values[:-j, 2 * j - 1] = own[:-j], own[j:]
+            gaps = np.where(np.isnan(values), np.inf, np.abs(values - own[:, None]))
+            # By distance, of equal ones the smaller value.
+            kth = np.lexsort((values, gaps), axis=1)[:, used - 1]
+            far, radius = values[np.arange(n), kth], gaps[np.arange(n), kth]
+            upper, lower = np.where(far > own, far, own + radius), np.where(far < own, far, own - radius)
+            zero = radius == 0
+            inside = np.searchsorted(every, upper) - np.searchsorted(every, lower, side="right")
+            inside[zero] = np.searchsorted(every, own[zero], side="right") - np.searchsorted(every, own[zero])
+            parts.append(np.stack([np.full(n, nc[label == c][0]), np.full(n, used), inside], axis=1))
+        found, times = np.unique(np.concatenate(parts), axis=0, return_counts=True)
+        band = pa.array([table.column("band")[0].as_py()] * len(found) if len(found) else [], pa.int32())
+        return pa.table({"band": band, **{name: pa.array(found[:, i]) for i, name in enumerate(("nc", "k", "m"))}, "w": pa.array(times.astype(np.int64))})
+
+    long = explode_spectra(spectra.select("class_index", "nc", "spectrum"))
+    long = long.select("band", F.col("class_index").cast("bigint").alias("class_index"), "nc", F.col("intensity").cast("double").alias("intensity"))
+    return long.groupBy("band").applyInArrow(run, "band int, nc bigint, k bigint, m bigint, w bigint")
+
+
+def _counts_by_rank(spectra: DataFrame, sizes: DataFrame, neighbours: int, block: int) -> DataFrame:
+    """`_counts_by_band` for bands of any size, by ranked joins."""
     long = explode_spectra(spectra.select("sample_id", "class_index", "spectrum"))
-    sizes = spectra.groupBy("class_index").agg(F.count(F.lit(1)).alias("nc")).filter("nc > 1")
     long = long.join(sizes, "class_index")
-    ranked = group_rank(long, ["band", "class_index"], [F.col("intensity"), F.col("sample_id")], F.col("intensity"), "r")
+    # Ranks and marks are read several times; without a stored copy every pass would rank the table anew.
+    ranked = settled(group_rank(settled(long), ["band", "class_index"], [F.col("intensity"), F.col("sample_id")], F.col("intensity"), "r"))
     k = neighbours
     home = F.floor((F.col("r") - 1) / block)
     copies = F.array_distinct(
@@ -121,19 +173,12 @@ def mutual_info(spectra: DataFrame, neighbours: int = 3, block: int = 4096) -> D
         "band", "sample_id", "nc", "k", "p.*"
     )
     counted = running_total(
-        marks, ["band"], [F.col("at"), F.col("tie"), F.col("sample_id"), F.col("sign")], F.col("at"), "below", F.col("w")
+        settled(marks), ["band"], [F.col("at"), F.col("tie"), F.col("sample_id"), F.col("sign")], F.col("at"), "below", F.col("w")
     )
     per_point = counted.filter("sign <> 0").groupBy("band", "sample_id", "nc", "k").agg(
         F.sum(F.col("sign") * F.col("below")).alias("m")
     )
-    mi = per_point.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(digamma(F.col("k"))).alias("pk"),
-        F.avg(digamma(F.col("nc"))).alias("pc"),
-        F.avg(digamma(F.col("m"))).alias("pm"),
-    )
-    value = digamma(F.col("n")) + F.col("pk") - F.col("pc") - F.col("pm")
-    return mi.select("band", F.greatest(F.lit(0.0), value).alias("score"))
+    return per_point.withColumn("w", F.lit(1).cast("bigint"))
 
 
 def rf_importance(spectra: DataFrame, trees: int = 500, seed: int = 2026) -> DataFrame:
