@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 LANDMARKS = 300
+# Rows that a task maps at once.
+ROWS_AT_ONCE = 1024
 
 
 def default_gamma(train: DataFrame) -> float:
@@ -48,7 +50,8 @@ def nystroem_features(
 
     def mapped(df: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            # A batch of Arrow may be large; its features and kernel rows are made a few at a time.
+            for batch in (whole.iloc[i : i + ROWS_AT_ONCE] for whole in batches for i in range(0, len(whole), ROWS_AT_ONCE)):
                 there = batch["features"].notna().to_numpy()
                 features, residual = np.full(len(batch), None, object), np.full(len(batch), None, object)
                 if there.any():
