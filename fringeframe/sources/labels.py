@@ -1,9 +1,28 @@
-"""Label text: center labels in, fixed-size boxes out."""
+"""Label text: center labels in, fixed-size boxes out.
+
+Labels are a folder and a file an image. On a mounted folder Hadoop without its native library starts `chmod` for each file, which
+takes longer than all the rest; so there a Python data source writes the files, as for cubes.
+"""
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
+
+from fringeframe.sources.envi import _filesystem
+
+# What Spark writes as %XX in a folder's name, and its name for null or empty values.
+_ESCAPED = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def fixed8(c: Column) -> Column:
@@ -61,6 +80,78 @@ def box_lines(df: DataFrame, width: int, height: int, box: int, class_id: Column
     )
 
 
+def _folder(column: str, value: str | None) -> str:
+    """A folder's name as Spark's partitioned sinks give it."""
+    escape = lambda text: _ESCAPED.sub(lambda c: f"%{ord(c.group()):02X}", text)
+    return f"{escape(column)}={escape(value) if value else _NO_VALUE}"
+
+
+class LabelWriter(DataSourceArrowWriter):
+    """Streams sorted (folder columns, line) rows of a task into one file a folder; holds one batch at a time.
+
+    A file has its name only when it is whole, and always the same name, so a task run again replaces its files.
+    """
+
+    def __init__(self, options):
+        self.root = options["path"]
+
+    def write(self, iterator):
+        store, root = _filesystem(self.root)
+        key, handle, temporary, final = None, None, None, None
+        for batch in iterator:
+            if not len(batch):
+                continue
+            by, lines = batch.schema.names[:-1], batch.column(batch.num_columns - 1).fill_null("")
+            ends = np.unique(np.concatenate([pc.run_end_encode(batch.column(c)).run_ends.to_numpy() for c in by]))
+            starts = np.concatenate([[0], ends[:-1]])
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), lines), "\n")
+            keys = zip(*(batch.column(c).take(pa.array(starts)).to_pylist() for c in by))
+            for new, text in zip(keys, texts.to_pylist()):
+                if new != key:
+                    if handle is not None:
+                        handle.close()
+                        store.move(temporary, final)
+                    key = new
+                    folder = "/".join([root, *map(_folder, by, key)])
+                    store.create_dir(folder, recursive=True)
+                    temporary, final = f"{folder}/_{uuid.uuid4().hex}.part", f"{folder}/labels.txt"
+                    handle = store.open_output_stream(temporary)
+                handle.write(f"{text}\n".encode())
+        if handle is not None:
+            handle.close()
+            store.move(temporary, final)
+        return WriterCommitMessage()
+
+    def commit(self, messages):
+        store, root = _filesystem(self.root)
+        store.create_dir(root, recursive=True)
+        store.open_output_stream(f"{root}/_SUCCESS").close()
+
+
+class LabelSink(DataSource):
+    @classmethod
+    def name(cls):
+        return "box_labels"
+
+    def writer(self, schema: StructType, overwrite: bool):
+        return LabelWriter(self.options)
+
+
 def write_box_labels(lines: DataFrame, path: str, by: list[str]) -> None:
-    """Label lines as text, one folder per value of `by` (split, image)."""
-    lines.select(*by, "line").repartition(*by).write.partitionBy(*by).mode("overwrite").text(path)
+    """Label lines as text, one folder per value of `by` (split, image), in place of what `path` held.
+
+    Stores other than mounted folders get Spark's own text sink, with the same folders.
+    """
+    spark = lines.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().toString()
+    if not uri.startswith("file:"):
+        lines.select(*by, "line").repartition(*by).write.partitionBy(*by).mode("overwrite").text(path)
+        return
+    store, root = _filesystem(uri)
+    if store.get_file_info(root).type == fs.FileType.Directory:
+        store.delete_dir(root)
+    spark.dataSource.register(LabelSink)
+    # Null and empty values share a folder, so they must share a task.
+    named = lines.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in by], "line")
+    named.repartition(*by).sortWithinPartitions(*by).write.format("box_labels").mode("append").save(uri)
