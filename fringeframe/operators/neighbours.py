@@ -20,6 +20,10 @@ from fringeframe.operators.settle import settled
 
 BLOCK = 2048
 PIVOTS = 64
+# Queries of a block that meet the other block at once, and pairs measured again at once: a task's memory does not grow with full
+# blocks, nor with copies, all of which lie within the slack.
+QUERIES_AT_ONCE = 256
+PAIRS_AT_ONCE = 1 << 14
 # Slack of the bounds against rounding.
 _SLACK = 1e-9
 _PACKED = "cell bigint, part bigint, kind bigint, rows bigint, ids array<bigint>, classes array<bigint>, x binary, centre array<double>, radius double"
@@ -76,39 +80,65 @@ def _blocks(df: DataFrame, pivots: np.ndarray, block: int, rows: int) -> DataFra
     return settled(packed.withColumn("block", F.xxhash64("cell", "part", "kind")))
 
 
+def _distances(a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of rows r of a to rows c of b, from their differences."""
+    out = np.empty(len(r))
+    for at in range(0, len(r), PAIRS_AT_ONCE):
+        part = slice(at, at + PAIRS_AT_ONCE)
+        gap = a[r[part]] - b[c[part]]
+        out[part] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
+def _best(a: np.ndarray, b: np.ndarray, bb: np.ndarray, qid: np.ndarray, tid: np.ndarray, k: int, exclude_self: bool):
+    """(row of a, row of b, distance, rank) of the k rows of b nearest each row of a; `bb` are the squares of b's rows."""
+    aa = (a**2).sum(axis=1)
+    square = aa[:, None] - 2 * a @ b.T + bb
+    if exclude_self:
+        square[qid[:, None] == tid] = np.inf
+    # Products round, so all within the slack of the k-th are measured again from their differences.
+    last = np.partition(square, min(k, len(tid)) - 1, axis=1)[:, min(k, len(tid)) - 1]
+    slack = 1e-9 * (aa + bb.max())
+    r, c = np.nonzero((square <= (last + slack)[:, None]) & np.isfinite(square))
+    d = _distances(a, b, r, c)
+    order = np.lexsort((tid[c], d, r))
+    r, c, d = r[order], c[order], d[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    keep = rank < k
+    return r[keep], c[keep], d[keep], rank[keep]
+
+
+def _pair(batch: pa.RecordBatch, i: int, k: int, exclude_self: bool) -> pa.RecordBatch:
+    qid, tid = (batch.column(c)[i].values.to_numpy() for c in ("qids", "ids"))
+    cls = batch.column("classes")[i].values
+    a, b = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(len(n), -1) for c, n in (("qx", qid), ("x", tid)))
+    bb = (b**2).sum(axis=1)
+    found = []
+    for at in range(0, len(qid), QUERIES_AT_ONCE):
+        part = slice(at, at + QUERIES_AT_ONCE)
+        r, *rest = _best(a[part], b, bb, qid[part], tid, k, exclude_self)
+        found.append((r + at, *rest))
+    r, c, d, rank = (np.concatenate(column) for column in zip(*found))
+    known = batch.column("known")[i].as_py()
+    if known:
+        # What a query has found so far: rows farther than its k-th are not handed on.
+        far = {e["query_id"]: e["kth"] for e in known}
+        keep = d <= np.array([far.get(q, np.inf) for q in qid.tolist()])[r] * (1 + _SLACK)
+        r, c, d, rank = r[keep], c[keep], d[keep], rank[keep]
+    full = np.bincount(r, minlength=len(qid)) >= k
+    limit = float(d[rank == k - 1].max(initial=0)) if full.all() else float("inf")
+    n = len(r)
+    columns = [qid[r], tid[c], np.full(n, batch.column("kind")[i].as_py()), cls.take(pa.array(c)), d, np.full(n, batch.column("qblock")[i].as_py()), np.full(n, limit)]
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns], ["query_id", "row_id", "kind", "class_index", "distance", "qblock", "limit"])
+
+
 def _met(k: int, exclude_self: bool):
     """Rows (qblock, kind, qids, qx, ids, classes, x, known) to the k best of each query in the other block, and `limit`: the largest k-th distance (infinite where one has fewer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                qid, tid = (batch.column(c)[i].values.to_numpy() for c in ("qids", "ids"))
-                cls = batch.column("classes")[i].values
-                a, b = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(len(n), -1) for c, n in (("qx", qid), ("x", tid)))
-                square = (a**2).sum(axis=1)[:, None] - 2 * a @ b.T + (b**2).sum(axis=1)
-                if exclude_self:
-                    square[qid[:, None] == tid] = np.inf
-                # Products round, so all within the slack of the k-th are measured again from their differences.
-                last = np.partition(square, min(k, len(tid)) - 1, axis=1)[:, min(k, len(tid)) - 1]
-                slack = 1e-9 * ((a**2).sum(axis=1) + (b**2).sum(axis=1).max())
-                r, c = np.nonzero((square <= (last + slack)[:, None]) & np.isfinite(square))
-                gap = a[r] - b[c]
-                d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                order = np.lexsort((tid[c], d, r))
-                r, c, d = r[order], c[order], d[order]
-                rank = np.arange(len(r)) - np.searchsorted(r, r)
-                keep = rank < k
-                known = batch.column("known")[i].as_py()
-                if known:
-                    # What a query has found so far: rows farther than its k-th are not handed on.
-                    far = {e["query_id"]: e["kth"] for e in known}
-                    keep &= d <= np.array([far.get(q, np.inf) for q in qid.tolist()])[r] * (1 + _SLACK)
-                r, c, d = r[keep], c[keep], d[keep]
-                full = np.bincount(r, minlength=len(qid)) >= k
-                limit = float(d[rank[keep] == k - 1].max(initial=0)) if full.all() else float("inf")
-                n = len(r)
-                columns = [qid[r], tid[c], np.full(n, batch.column("kind")[i].as_py()), cls.take(pa.array(c)), d, np.full(n, batch.column("qblock")[i].as_py()), np.full(n, limit)]
-                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns], ["query_id", "row_id", "kind", "class_index", "distance", "qblock", "limit"])
+                yield _pair(batch, i, k, exclude_self)
 
     return run
 

@@ -58,3 +58,29 @@ def test_far_blocks_are_not_visited(spark):
     best, visited, pairs = search(rows, queries, 5, exclude_self=True, block=64, pivots=40)
     assert visited.count() < 0.25 * pairs.count()
     _held(rows, queries, 5, exclude_self=True, block=64)
+
+
+def test_a_meeting_of_full_blocks_and_of_copies_stays_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from fringeframe.operators import neighbours as N
+
+    entry = pa.list_(pa.struct([("query_id", pa.int64()), ("kth", pa.float64())]))
+    many = pa.list_(pa.int64())
+    schema = pa.schema([("qblock", pa.int64()), ("kind", pa.int64()), ("qids", many), ("qx", pa.binary()), ("ids", many), ("classes", many), ("x", pa.binary()), ("known", entry)])
+    n, rng = N.BLOCK, np.random.default_rng(4)
+    for queries, x in ((n, rng.normal(size=(n, 16))), (n // 4, np.ones((n, 16)))):
+        row = dict(qblock=1, kind=0, qids=list(range(queries)), qx=x[:queries].tobytes(), ids=list(range(n)), classes=[2] * n, x=x.tobytes(), known=None)
+        batch = pa.RecordBatch.from_pylist([row], schema)
+        tracemalloc.start()
+        (got,) = N._met(3, True)(iter([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6, peak
+        square = ((x[:queries] ** 2).sum(1)[:, None] - 2 * x[:queries] @ x.T + (x**2).sum(1)).round(9)
+        square[np.arange(queries), np.arange(queries)] = np.inf
+        want = np.argsort(square, axis=1, kind="stable")[:, :3]
+        assert np.array_equal(got.column("row_id").to_numpy().reshape(-1, 3), want)
+        assert got.column("limit")[0].as_py() == pytest.approx(np.sqrt(np.maximum(np.take_along_axis(square, want, 1), 0)).max())
