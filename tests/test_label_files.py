@@ -42,3 +42,11 @@ def test_a_task_run_again_replaces_its_files(tmp_path):
     for _ in range(2):
         labels.LabelWriter({"path": f"file:{tmp_path}"}).write(iter([batch]))
     assert told(None, tmp_path)[0] == {"field_id=1": ["a", "b"], "field_id=2": ["c"]}
+
+
+def test_centers_of_written_files_keep_their_image(spark, tmp_path):
+    rows = [(i, f"0 0.5 0.25 0.1 0.1 {i}.5 {i}.25 2") for i in range(2, 40)] + [(7, "0 0.5 0.25 0.1 0.1"), (7, "")]
+    df = spark.createDataFrame(rows, "field_id bigint, line string")
+    labels.write_box_labels(df, str(tmp_path / "l"), ["field_id"])
+    found = {r["path"]: (r["x"], r["y"]) for r in labels.read_centers(spark, str(tmp_path / "l"), 100, 80).filter("x <> 50").collect()}
+    assert {p.rsplit("/l/", 1)[1]: v for p, v in found.items()} == {f"field_id={i}/labels.txt": (i + 0.5, i + 0.25) for i in range(2, 40)}
