@@ -1,7 +1,8 @@
 """Label text: center labels in, fixed-size boxes out.
 
 Labels are a folder and a file an image. On a mounted folder Hadoop without its native library starts `chmod` for each file, which
-takes longer than all the rest; so there a Python data source writes the files, as for cubes.
+takes longer than all the rest; so there a Python data source writes the files, as for cubes. Another one reads them: Spark's text
+source spends a task on each folder it lists and some ms on each file it opens, more than on the lines of an image.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from fringeframe.sources.envi import _filesystem
@@ -23,6 +24,10 @@ from fringeframe.sources.envi import _filesystem
 # What Spark writes as %XX in a folder's name, and its name for null or empty values.
 _ESCAPED = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
 _NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+# What Hadoop writes as %XX in the text of a path.
+_QUOTED = re.compile("[^A-Za-z0-9_.~!'()*,;:$&+=/@\u00a1-\U0010ffff-]|[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Reading: text of a task, what opening a file counts as, text held at a time.
+TASK_BYTES, OPEN_BYTES, BLOCK_BYTES = 16 << 20, 16 << 10, 1 << 20
 
 
 def fixed8(c: Column) -> Column:
@@ -51,10 +56,119 @@ def parse_center_lines(lines: DataFrame, width: int, height: int) -> DataFrame:
     ).drop("_p", "_x", "_y")
 
 
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The path as a file: URI if it is on a mounted folder, which pyarrow reads as well."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().toString()
+    return uri if uri.startswith("file:") else None
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's file sources pass over, folders as well as files."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+class FileGroup(InputPartition):
+    def __init__(self, files: list[str]):
+        super().__init__(0)
+        self.files = files
+
+
+class LabelReader(DataSourceReader):
+    """Rows of (path, lines): a row a file, or a row a block of a long file. A file is listed with its size once and read by one task."""
+
+    def __init__(self, options):
+        self.root = options["path"]
+        self.tasks = int(options.get("tasks", 1))
+
+    def partitions(self):
+        store, root = _filesystem(self.root)
+        found = store.get_file_info(fs.FileSelector(root, recursive=True))
+        shown = lambda path: not any(map(_hidden, path[len(root) :].strip("/").split("/")))
+        files = [(f.path, f.size + OPEN_BYTES) for f in found if f.type == fs.FileType.File and shown(f.path)]
+        share = min(TASK_BYTES, sum(size for _path, size in files) // self.tasks)
+        groups, held = [[]], 0
+        for path, size in files:
+            if groups[-1] and held + size > share:
+                groups.append([])
+                held = 0
+            groups[-1].append(path)
+            held += size
+        return [FileGroup(group) for group in groups]
+
+    def read(self, partition):
+        store, _root = _filesystem(self.root)
+        paths, texts, held = [], [], 0
+
+        def batch():
+            # A view, as Spark does not check the encoding of a line either.
+            lines = pc.split_pattern(pa.array(texts, pa.binary()).view(pa.string()), "\n")
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), lines], ["path", "lines"])
+
+        for path in partition.files:
+            name = "file:" + _QUOTED.sub(lambda c: "".join(f"%{b:02X}" for b in c.group().encode()), path)
+            for text in self._blocks(store, path):
+                paths.append(name)
+                texts.append(text)
+                held += len(text)
+                if held >= BLOCK_BYTES:
+                    yield batch()
+                    paths, texts, held = [], [], 0
+        if paths:
+            yield batch()
+
+    @staticmethod
+    def _blocks(store, path):
+        """Whole lines of a file, ended by \\n; \\r ends a line too, so \\r\\n leaves a blank one. Streams of gz, bz2 and zst are unpacked."""
+        rest, first = b"", True
+        with store.open_input_stream(path) as handle:
+            while block := handle.read(BLOCK_BYTES):
+                head, end, tail = block.replace(b"\r", b"\n").rpartition(b"\n")
+                if first:
+                    head, tail = (head.removeprefix(b"\xef\xbb\xbf"), tail) if end else (head, tail.removeprefix(b"\xef\xbb\xbf"))
+                    first = False
+                if end:
+                    yield rest + head
+                    rest = tail
+                else:
+                    rest += tail
+        if rest:
+            yield rest
+
+
+class LabelSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "label_lines"
+
+    def schema(self):
+        return "path string, lines array<string>"
+
+    def reader(self, schema: StructType):
+        return LabelReader(self.options)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, path) of every label file below `path`; blank lines may be lost or added.
+
+    Mounted folders are read by a task for some 16 MB of files; other stores, single files and patterns by Spark's text source.
+    """
+    uri = _mounted(spark, path)
+    if uri is not None:
+        store, root = _filesystem(uri)
+        if store.get_file_info(root).type == fs.FileType.Directory:
+            spark.dataSource.register(LabelSource)
+            files = spark.read.format("label_lines").option("tasks", spark.sparkContext.defaultParallelism).load(uri)
+            return files.select(F.explode("lines").alias("line"), "path")
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    return text.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
+
+
 def read_centers(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
     """Centers of every label file below `path`, with the file's path."""
-    text = spark.read.option("recursiveFileLookup", True).text(path)
-    lines = text.select(F.regexp_replace("value", "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("path"))
+    lines = read_lines(spark, path).withColumn("line", F.regexp_replace("line", "^﻿", ""))
     return parse_center_lines(lines, width, height)
 
 
@@ -143,9 +257,8 @@ def write_box_labels(lines: DataFrame, path: str, by: list[str]) -> None:
     Stores other than mounted folders get Spark's own text sink, with the same folders.
     """
     spark = lines.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().toString()
-    if not uri.startswith("file:"):
+    uri = _mounted(spark, path)
+    if uri is None:
         lines.select(*by, "line").repartition(*by).write.partitionBy(*by).mode("overwrite").text(path)
         return
     store, root = _filesystem(uri)
