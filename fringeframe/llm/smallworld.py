@@ -148,7 +148,7 @@ def _chosen(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, degree: int) -> np
 
 
 def _level(x: np.ndarray, upper: Graph, size: int, degree: int) -> Level:
-    """Graph over the first `size` nodes, inserted in batches; the levels above give each its entry."""
+    """Graph over the first `size` nodes, inserted in batches; the levels above whose nodes are all inserted give each its entry."""
     links = np.full((size, degree), -1)
     for lo in range(0, size, BATCH):
         hi = min(lo + BATCH, size)
@@ -160,7 +160,8 @@ def _level(x: np.ndarray, upper: Graph, size: int, degree: int) -> Level:
         ids, sims = near + lo, np.take_along_axis(inside, near, 1)
         ids = np.where(np.isfinite(sims), ids, -1)
         if lo:
-            old_ids, old_sims = Level(links[:lo]).search(x, q, upper.entry(x, q), BUILD_BEAM)
+            above = Graph([level for level in upper.levels if len(level.links) <= lo])
+            old_ids, old_sims = Level(links[:lo]).search(x, q, above.entry(x, q), BUILD_BEAM)
             ids, sims = np.concatenate([ids, old_ids], axis=1), np.concatenate([sims, old_sims], axis=1)
         order = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD_BEAM]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)

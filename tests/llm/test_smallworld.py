@@ -111,6 +111,32 @@ def test_graph_finds_its_neighbours():
     assert all((a.links == b.links).all() for a, b in zip(graph.levels, again.levels))
 
 
+def test_graph_of_levels_longer_than_a_batch():
+    """Level 1 has more nodes than a batch: the entry of the next batch must not be a node that is not inserted yet."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph, order = smallworld.Graph.build(x)
+    x = x[order]
+    assert len(graph.levels[-2].links) > 2 * smallworld.BATCH
+    for level in graph.levels:
+        n = len(level.links)
+        assert level.links.max() < n and (level.links != np.arange(n)[:, None]).all()
+    q = x[:300]
+    ids, _ = graph.levels[-1].search(x, q, smallworld.Graph(graph.levels[:-1]).entry(x, q), 64)
+    truth = np.argsort(-(q @ x.T), axis=1)[:, :10]
+    assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, truth)]) >= 0.95
+
+
+def test_large_shards(spark):
+    """Shards of more vectors than any of the small tables has."""
+    rows = _clustered(7, 6500, 24, [2, 3, 5, 40, 400], 0.05)
+    want, _, _ = _plain(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert _found(df, shard_rows=7000) == want
+    assert _found(df.repartition(5)) == want
+
+
 def test_audit_widens_the_beam():
     """A graph without most of its edges fails the audit until the beam, at last all nodes, makes up for it."""
     rng = np.random.default_rng(5)
