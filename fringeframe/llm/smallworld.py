@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeframe.llm.graph import components, small_batches
-from fringeframe.operators.settle import settled
+from fringeframe.llm.graph import compact, components, small_batches
+from fringeframe.operators.settle import dealt, settled
 
 # A shard has SPREAD * sqrt(vectors of its label) vectors, within these bounds.
 SPREAD, LEAST, MOST = 64, 4_096, 1 << 18
+# Tasks a shard, or a LEAST vectors if shards are many and short, so that few tasks get two large ones: hashes of few keys fall unevenly.
+_ROOM = 4
 DEGREE = 16
 BUILD_BEAM = 64
 BATCH = 256
@@ -392,11 +394,14 @@ def link_near(
         F.min("id").alias("id"), F.first("mark").alias("mark"), F.count(F.lit(1)).alias("times")
     )
     classes = settled(classes)
-    width = classes.agg(F.max(F.size("v"))).first()[0] or 1
     size = F.lit(shard_rows) if shard_rows else F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.lit(SPREAD) * F.sqrt("all")))
-    shards = classes.groupBy("place").agg(F.count(F.lit(1)).alias("all")).select("place", F.ceil(F.col("all") / size).cast("int").alias("shards"))
-    dealt = classes.join(shards, "place").withColumn("shard", F.pmod(F.xxhash64("id", "mark"), F.col("shards")).cast("int"))
-    index = settled(dealt.groupBy("place", "shard").applyInArrow(_built(width, threshold, degree, recall), BUILT))
+    places = classes.groupBy("place").agg(F.count(F.lit(1)).alias("all"), F.max(F.size("v")).alias("width"))
+    places = places.select("place", "width", "all", F.ceil(F.col("all") / size).cast("int").alias("shards"))
+    shape = places.agg(F.max("width"), F.sum("shards"), F.sum("all")).first()
+    width, count, vectors = shape if shape[0] else (1, 0, 0)
+    keys, tasks = ["place", "shard"], _ROOM * min(count, vectors // LEAST + 1)
+    parts = classes.join(places.select("place", "shards"), "place").withColumn("shard", F.pmod(F.xxhash64("id", "mark"), F.col("shards")).cast("int"))
+    index = settled(dealt(parts, keys, tasks, 1).groupBy(*keys).applyInArrow(_built(width, threshold, degree, recall), BUILT))
     # Of two shards, the one that is asked alternates, so that all are asked about equally often.
     asked = F.filter(
         F.sequence(F.lit(0), F.col("shards") - 1),
@@ -406,9 +411,10 @@ def link_near(
         "place", F.col("shard").alias("own"), F.col("ids").alias("qids"), F.col("marks").alias("qmarks"), F.col("times").alias("qtimes"), F.col("x").alias("qx"),
         F.explode(asked).alias("shard"),
     )
-    met = queries.join(index.drop("shards"), ["place", "shard"]).withColumn("same", F.col("own") == F.col("shard")).drop("place", "shard", "own")
+    queries, graphs = (dealt(side, keys, tasks, 1) for side in (queries, index.drop("shards")))
+    met = queries.join(graphs, keys).withColumn("same", F.col("own") == F.col("shard")).drop("place", "shard", "own")
     with small_batches(spark, 1):
-        found = settled(met.mapInArrow(_searched(width, threshold), "id bigint, mark bigint, links bigint, low bigint"))
+        found = compact(met.mapInArrow(_searched(width, threshold), "id bigint, mark bigint, links bigint, low bigint"))
     own = found.groupBy("id", "mark").agg(F.sum("links").alias("links"))
     # A copied class is known to its members by the smallest of them.
     copied = classes.filter("times > 1").select("place", "v", F.col("id").alias("first"), "times")

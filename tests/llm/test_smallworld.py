@@ -137,6 +137,17 @@ def test_large_shards(spark):
     assert _found(df.repartition(5)) == want
 
 
+@pytest.mark.parametrize("labels, tasks", [(1, 8), (300, 4)])
+def test_tasks_of_shards(spark, monkeypatch, labels, tasks):
+    """Two large shards get tasks of their own; many short ones don't make a task each."""
+    asked = []
+    monkeypatch.setattr(smallworld, "dealt", lambda df, keys, rows, per_task: asked.append(-(-rows // per_task)) or df.repartition(tasks, *keys))
+    rows = [(i, v, str(i % labels)) for i, v, _ in _clustered(8, 5000 if labels == 1 else 500, 8, [3, 30], 0.02)]
+    want, _, _ = _plain(rows)
+    total, exact = (sum(k for _, k, _ in found) for found in (_found(spark.createDataFrame(rows, SCHEMA)), want))
+    assert asked == [tasks] * 3 and 0.99 * exact <= total <= exact
+
+
 def test_audit_widens_the_beam():
     """A graph without most of its edges fails the audit until the beam, at last all nodes, makes up for it."""
     rng = np.random.default_rng(5)
